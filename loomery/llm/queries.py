@@ -18,6 +18,12 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(_table(spark, sf_dir, "documents"))
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomery.llm.pii import pseudonymise
+
+    return pseudonymise(_table(spark, sf_dir, "documents"))
+
+
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomery.llm.secrets import scan_secrets
 
@@ -51,12 +57,18 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_of_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_bpe": op1_bpe, "op3_secrets": op3_secrets, "op4_topk": op4_topk, "op5_sharding": op5_sharding, "op8_language": op8_language, "op9_quality": op9_quality}
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomery.llm.decontaminate import verdicts
 
+    return verdicts(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
-ORACLE: dict[str, str] = {}
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    own = (op1_bpe, op2_pii, op3_secrets, op4_topk, op5_sharding, op8_language, op9_quality, op10_decontamination)
+    return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLE)
+    from loomery.llm import decontaminate
+
+    return {"op10_decontamination": decontaminate.ORACLE}
