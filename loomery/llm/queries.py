@@ -45,6 +45,18 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.select("doc_id", record_size().alias("size"), crc.alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomery.llm.suffix import without_repeats
+
+    return without_repeats(_table(spark, sf_dir, "documents"))
+
+
+def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomery.llm.minhash import classes
+
+    return classes(_table(spark, sf_dir, "documents"))
+
+
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomery.llm.langid import language_of_documents
 
@@ -64,7 +76,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_bpe, op2_pii, op3_secrets, op4_topk, op5_sharding, op8_language, op9_quality, op10_decontamination)
+    own = (op1_bpe, op2_pii, op3_secrets, op4_topk, op5_sharding, op6_repeats, op7_near_duplicates, op8_language, op9_quality, op10_decontamination)
     return {f.__name__: f for f in own}
 
 
