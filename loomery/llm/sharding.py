@@ -22,11 +22,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomery.llm.common import cut, prepare
+from loomery.llm.common import cut, prepare, store
 
 #: Text bytes that a bucket aims at; a worker holds one bucket, a few times over.
 BUCKET_BYTES = 16_000_000
 SEED = 20_240_229
+#: Buckets up to which their offsets are broadcast (16 MB); beyond, they are joined by a shuffle.
+OFFSET_LIMIT = 1_000_000
 
 
 def record_size(text_col: str = "text"):
@@ -46,7 +48,8 @@ def fisher_yates(n: int, rng: np.random.Generator) -> np.ndarray:
 def scatter(docs: DataFrame, text_col: str = "text", bucket_bytes: int = BUCKET_BYTES, seed: int = SEED) -> DataFrame:
     """Pass one: docs with _loom_bucket and _loom_key, dealt to one partition for each bucket."""
     total = docs.agg(F.sum(record_size(text_col))).first()[0] or 0
-    buckets = max(1, math.ceil(total / bucket_bytes))
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(1, tasks, math.ceil(total / bucket_bytes))
     keyed = docs.withColumn("_loom_key", F.xxhash64(F.lit(seed), F.monotonically_increasing_id()))
     return keyed.withColumn("_loom_bucket", F.pmod(F.xxhash64(F.lit(seed + 1), "_loom_key"), F.lit(buckets)).cast("int")).repartition(buckets, "_loom_bucket")
 
@@ -71,10 +74,12 @@ def shuffle_to_shards(docs: DataFrame, shards: int = 24, text_col: str = "text",
     """docs with law `rows`: columns shard (0 to shards - 1) and slot (gapless from 0) are added, both replaced if docs has them."""
     prepare(docs.sparkSession)
     docs = docs.drop("shard", "slot")
-    written = cut(shuffle_buckets(scatter(docs, text_col, bucket_bytes, seed), seed))
+    written = store(shuffle_buckets(scatter(docs, text_col, bucket_bytes, seed), seed))
     counts = written.groupBy("_loom_bucket").agg(F.count(F.lit(1)).alias("_loom_n"))
     before = F.coalesce(F.sum("_loom_n").over(Window.orderBy("_loom_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = counts.select("_loom_bucket", before.alias("_loom_before"))  # one row a bucket: 16 bytes for every 16 MB
+    offsets = cut(counts.select("_loom_bucket", before.alias("_loom_before")))  # 16 bytes for each 16 MB of text
+    if offsets.count() <= OFFSET_LIMIT:
+        offsets = F.broadcast(offsets)
     at = F.col("_loom_before") + F.col("_loom_place")
     placed = written.join(offsets, "_loom_bucket")
     return placed.withColumns({"shard": (at % shards).cast("int"), "slot": F.floor(at / shards).cast("long")}).drop("_loom_bucket", "_loom_key", "_loom_place", "_loom_before")
