@@ -10,8 +10,10 @@ texts are linked if their weighted Jaccard similarity, the sum of the smaller we
   below FLOOR, which lies above that error, weigh alike.
 * Each of 64 consistent weighted samples is one shingle (and level) that two texts share with a chance equal to their
   similarity.  Sixteen bands of four samples make the buckets: texts at 0.8 meet in one with a chance of 0.9998.
-* In a bucket every text is compared with the first; after that, only pairs whose texts aren't connected yet.  Such pairs
-  are taken in slices of bounded size, so that all are compared, without all pairs of a large group ever being made.
+* In a bucket every text is compared with the first.  Buckets that have texts in common form a family; if these links
+  leave it in several parts, the texts outside its largest part are compared with all others of the family, in blocks of
+  bounded size, each by one pass over the block's shingles.  So no link between parts is missed, and of the links that a
+  text has to one part a single one is kept: no group's pairs are ever written out.
 
 Defined results: rows that share an id are one document; rows without an id are in no class; null or wordless texts are
 in a class of their own (with exact copies, if not empty); a text of fewer than five words is one shingle.
@@ -34,10 +36,10 @@ BANDS, ROWS = 16, 4
 SKETCH_BITS = 18
 #: Document frequencies below this share of the documents count as this share.
 FLOOR = 0.01
-TABLE_BITS = 15
+TABLE_BITS = 14
 SEED = 17
-#: Pairs of texts that aren't connected yet, per document, that are compared at once.
-PAIRS_AT_ONCE = 4
+#: Texts of a family that are compared with as many others in one task.
+BLOCK = 1000
 #: Documents up to which the side of a join that holds only ids is broadcast (16 MB).
 ID_LIMIT = 1_000_000
 _RANGES = 16
@@ -99,27 +101,41 @@ class WeightedSampler:
         shape = (BANDS * ROWS, 1 << TABLE_BITS)
         self.weights = weights
         self.r = rng.gamma(2.0, 1.0, shape).astype(np.float32)
-        self.log_c = np.log(rng.gamma(2.0, 1.0, shape)).astype(np.float32)
+        self.log_c = np.log(rng.gamma(2.0, 1.0, shape)).astype(np.float32) + np.float32(256)
         self.beta = rng.random(shape, np.float32)
         self.salts = rng.integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 
     def band_keys(self, texts: list[str]) -> list[np.ndarray | None]:
         """BANDS bucket keys for each text; None for a text without shingles."""
         out: list[np.ndarray | None] = [None] * len(texts)
-        for at, upto in slices(texts, 300_000):
+        for at, upto in slices(texts, 150_000):
             of, h, count = shingles(texts[at:upto])
-            if not len(of):
+            n = len(of)
+            if not n:
                 continue
             log_w = np.log(count * self.weights[_cells(h)]).astype(np.float32)
             starts = np.flatnonzero(np.diff(of, prepend=-1))
-            index = np.arange(len(of), dtype=np.uint64)
+            index = np.arange(n, dtype=np.uint64)
             samples = np.empty((len(starts), BANDS * ROWS), np.uint64)
-            for j in range(BANDS * ROWS):
-                cell = (h * self.salts[j] >> np.uint64(64 - TABLE_BITS)).astype(np.intp)
-                r, beta = self.r[j][cell], self.beta[j][cell]
-                level = np.floor(log_w / r + beta)
-                log_a = self.log_c[j][cell] - r * (level - beta + np.float32(1)) + np.float32(256)  # above 0, so its bits are in order
-                packed = (log_a.view(np.uint32).astype(np.uint64) << np.uint64(32)) | index
+            cell, packed = np.empty(n, np.uint64), np.empty(n, np.uint64)
+            r, beta, level, log_a = (np.empty(n, np.float32) for _ in range(4))
+            for j in range(BANDS * ROWS):  # in place: the arrays stay in the processor's cache
+                np.multiply(h, self.salts[j], out=cell)
+                np.right_shift(cell, np.uint64(64 - TABLE_BITS), out=cell)
+                at_cell = cell.view(np.int64)
+                np.take(self.r[j], at_cell, out=r, mode="clip")
+                np.take(self.beta[j], at_cell, out=beta, mode="clip")
+                np.take(self.log_c[j], at_cell, out=log_a, mode="clip")
+                np.divide(log_w, r, out=level)
+                np.add(level, beta, out=level)
+                np.floor(level, out=level)
+                np.subtract(level, beta, out=beta)
+                np.add(beta, np.float32(1), out=beta)
+                np.multiply(beta, r, out=beta)
+                np.subtract(log_a, beta, out=log_a)  # log c - r * (level - beta + 1), moved above 0 so that its bits are in order
+                packed[:] = log_a.view(np.uint32)
+                np.left_shift(packed, np.uint64(32), out=packed)
+                np.bitwise_or(packed, index, out=packed)
                 best = (np.minimum.reduceat(packed, starts) & np.uint64(0xFFFFFFFF)).astype(np.intp)
                 samples[:, j] = mix(h[best] + level[best].astype(np.int64).astype(np.uint64) * self.salts[j])
             keys = np.zeros((len(starts), BANDS), np.uint64)
@@ -174,6 +190,58 @@ def _links(pairs: DataFrame, docs: DataFrame, weights_on) -> DataFrame:
     return cut(both.select("a", "b", "ta", "tb").mapInPandas(similar, "a long, b long").distinct())
 
 
+def _links_between_parts(families: DataFrame, labels: DataFrame, docs: DataFrame, weights_on) -> DataFrame:
+    """Links (a, b) between the parts (labels) of each family: one for each text outside the largest part and each other part."""
+    spark = docs.sparkSession
+    named = families.select("node", F.col("label").alias("family")).join(labels, "node", "left").select("node", "family", F.coalesce("label", "node").alias("part"))
+    parts = named.groupBy("family", "part").agg(F.count(F.lit(1)).alias("n"))
+    largest = parts.groupBy("family").agg(F.max(F.struct("n", "part"))["part"].alias("core"), F.sum("n").alias("size"), F.count(F.lit(1)).alias("parts"))
+    open_ = named.join(largest.where(F.col("parts") > 1), "family").withColumn("outside", F.col("part") != F.col("core"))
+    outside = open_.groupBy("family").agg(F.count_if("outside").alias("out"))
+    sized = open_.join(outside, "family").withColumns({"rows": F.ceil(F.col("size") / BLOCK), "cols": F.ceil(F.col("out") / BLOCK)})
+    own = sized.withColumns({"row": F.pmod(F.xxhash64("node"), F.col("rows")), "col": F.pmod(F.xxhash64(F.lit(1), "node"), F.col("cols"))})
+    own = cut(own.select("family", "node", "part", "outside", "rows", "cols", "row", "col"))
+    against = own.select("family", "node", "part", "rows", "cols", "row", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cols") - 1)).alias("col"), F.lit(False).alias("asks"))
+    asking = own.where("outside").select("family", "node", "part", "rows", "cols", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rows") - 1)).alias("row"), "col", F.lit(True).alias("asks"))
+    packs = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    small = F.pmod(F.xxhash64("family"), F.lit(packs))  # families of one block share tasks
+    dealt = against.unionByName(asking).withColumn("pack", F.when((F.col("rows") == 1) & (F.col("cols") == 1), small).otherwise(F.xxhash64("family", "row", "col")))
+    texts = docs.select(F.col("doc_id").alias("node"), F.coalesce("text", F.lit("")).alias("text")).join(_sized(own.select("node").distinct()), "node", "left_semi")
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        for _, rows in pdf.groupby(["family", "row", "col"], sort=False):
+            found += _compare_block(rows, weights_on.value)
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+    blocks = dealt.join(texts, "node").select("pack", "family", "row", "col", "node", "part", "asks", "text")
+    return cut(blocks.groupBy("pack").applyInPandas(compare, "a long, b long").distinct())
+
+
+def _compare_block(rows: pd.DataFrame, weights: np.ndarray) -> list[tuple[int, int]]:
+    """Of each asking text the first similar one in each other part among those that don't ask."""
+    there, asking = rows[~rows["asks"]], rows[rows["asks"]]
+    nodes, parts = there["node"].to_numpy(), there["part"].to_numpy()
+    sets = weighted_sets(list(there["text"]), weights)
+    sizes = np.array([len(s[0]) for s in sets])
+    of = np.repeat(np.arange(len(sets)), sizes)
+    names, number = np.unique(np.concatenate([s[0] for s in sets] or [np.zeros(0, np.uint64)]), return_inverse=True)
+    weight = np.concatenate([s[1] for s in sets] or [np.zeros(0)])
+    total = np.bincount(of, weight, minlength=len(sets))
+    found = []
+    for node, part, text in zip(asking["node"], asking["part"], asking["text"], strict=True):
+        ((h, w),) = weighted_sets([text], weights)
+        own = np.zeros(len(names) + 1)
+        at = np.searchsorted(names, h)
+        known = (at < len(names)) & (names[np.minimum(at, max(0, len(names) - 1))] == h) if len(names) else np.zeros(len(h), bool)
+        own[at[known]] = w[known]
+        least = np.bincount(of, np.minimum(own[number], weight), minlength=len(sets))
+        similar = np.flatnonzero((least >= SIMILAR * (total + w.sum() - least)) & (parts != part) & (least > 0))
+        _, first = np.unique(parts[similar], return_index=True)
+        found += [(min(node, nodes[i]), max(node, nodes[i])) for i in similar[first]]
+    return found
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, label: for each node of edges (a, b) the smallest node that it is connected with."""
     both = cut(edges.select("a", "b").union(edges.select("b", "a")).distinct())
@@ -189,7 +257,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def classes(docs: DataFrame) -> DataFrame:
-    """doc_id, class_id (the smallest id of the class), n_links of its text to other texts, for each distinct id."""
+    """doc_id, class_id (the smallest id of the class) for each distinct id."""
     spark = prepare(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     with_id = docs.where(F.col("doc_id").isNotNull())
@@ -197,7 +265,6 @@ def classes(docs: DataFrame) -> DataFrame:
     prints = with_id.select("doc_id", F.coalesce(print_, F.concat(F.lit("id"), F.col("doc_id").cast("string"))).alias("p"))
     firsts = prints.groupBy("p").agg(F.min("doc_id").alias("node"))
     members = cut(prints.join(firsts, "p").select("doc_id", "node").distinct())
-    copies = members.where(F.col("doc_id") != F.col("node")).select(F.col("node").alias("a"), F.col("doc_id").alias("b"))
 
     n, sketch = frequencies(with_id)
     weights = inverse_frequencies(n, sketch)
@@ -219,29 +286,9 @@ def classes(docs: DataFrame) -> DataFrame:
     tried = cut(buckets.where(F.col("first") < F.col("node")).select(F.col("first").alias("a"), F.col("node").alias("b")).distinct())
     links = _links(tried, with_id, weights_on)
     labels = components(links)
-    while True:
-        named = buckets.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
-        mixed = named.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most")).where(F.col("least") < F.col("most"))
-        named = cut(named.join(mixed.select("key"), "key", "left_semi"))
-        each = named.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))) / 2).alias("pairs"))
-        pairs = each.agg(F.sum("pairs")).first()[0] or 0
-        if not pairs:
-            break
-        parts = max(1, int(pairs / (PAIRS_AT_ONCE * max(1, n))))
-        place = F.xxhash64("node")
-        grown = False
-        for part in range(parts):
-            x = named.select("key", F.col("node").alias("a"), F.col("label").alias("la"), F.pmod(part - F.pmod(place, F.lit(parts)), F.lit(parts)).alias("turn"))
-            y = named.select("key", F.col("node").alias("b"), F.col("label").alias("lb"), F.pmod(place, F.lit(parts)).alias("turn"))
-            new = x.join(y, ["key", "turn"]).where((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb"))).select("a", "b").distinct()
-            more = _links(new.join(tried, ["a", "b"], "left_anti"), with_id, weights_on)
-            if more.limit(1).count():
-                grown = True
-                links = cut(links.union(more))
-        if grown:
-            labels = components(links)
-        break  # every pair that wasn't connected has been compared
-    degree = links.select(F.col("a").alias("node")).union(links.select("b")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
+    more = _links_between_parts(components(tried), labels, with_id, weights_on)
+    if more.limit(1).count():
+        labels = components(links.union(more))
     # ids that stand on rows of several texts connect these; otherwise a copy has one node
     joined = members.join(labels, "node", "left").select("doc_id", "node", F.coalesce("label", "node").alias("label"))
     several = joined.groupBy("doc_id").agg(F.min("label").alias("a"), F.max("label").alias("b")).where(F.col("a") < F.col("b"))
@@ -249,8 +296,7 @@ def classes(docs: DataFrame) -> DataFrame:
     if several.limit(1).count():
         again = components(several).select(F.col("node").alias("label"), F.col("label").alias("whole"))
         joined = joined.join(again, "label", "left").select("doc_id", "node", F.coalesce("whole", "label").alias("label"))
-    out = joined.join(degree, "node", "left")
-    return out.groupBy("doc_id").agg(F.min("label").alias("class_id"), F.coalesce(F.sum("n_links"), F.lit(0)).alias("n_links"))
+    return joined.groupBy("doc_id").agg(F.min("label").alias("class_id"))
 
 
 def _later(members: DataFrame) -> DataFrame:
