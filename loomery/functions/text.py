@@ -115,7 +115,7 @@ def contains_phrase(hay: Column, needle: Column) -> Column:
 
 def topic_text(x: Column) -> Column:
     """Without HTML entities and macros."""
-    return F.regexp_replace(F.regexp_replace(present(x), "&[a-zA-Z]+;", " "), "\\\\[a-zA-Z]+", " ")
+    return F.regexp_replace(F.regexp_replace(present(x), "(?i)&#x?[0-9a-f]+;|&[a-z]+;", " "), "(?i)\\\\[a-z]+\\b", " ")
 
 
 def work_key(title: Column, id_: Column) -> Column:
@@ -199,3 +199,9 @@ def concrete_concepts(xs: Column, limit: int, excluded: Column | None = None) ->
     if excluded is not None:
         kept = F.filter(kept, lambda v: ~F.exists(excluded, lambda e: F.lower(e) == F.lower(v)))
     return F.slice(kept, 1, limit)
+
+
+# What tells introductory and applied texts, and texts that hold something like an e-mail address.
+INTRO = r"(?i)\b(survey|review|tutorial|overview|foundation|background|introduction)\b"
+APPLIED = r"(?i)\b(appl(y|ies|ied|ication|ications)|deploy|real.world|production|practical|clinical|industr)\b"
+EMAIL = r"\b[^\s@]+@[^\s@]+\.[^\s@]+\b"

@@ -9,7 +9,8 @@ from loomery.functions import text as T
 from loomery.functions.records import search_parts
 from loomery.operators import ranking as K
 from loomery.plans.registry import query
-from loomery.plans.scalar_queries import EMAIL, sql_search, sql_tokens, sql_work_key
+from loomery.functions.text import EMAIL
+from loomery.plans.scalar_queries import sql_search, sql_tokens, sql_work_key
 from loomery.sources import records as S
 from loomery.sources.views import AUTHORSHIP, BIBLIOGRAPHY, CITED, CORPUS, DENSE, authorship, bibliography, cited_records, corpus, dense, table, with_views
 

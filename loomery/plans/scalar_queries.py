@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from loomery.functions import records as R
 from loomery.functions import text as T
+from loomery.functions.text import APPLIED, INTRO
 from loomery.plans.registry import query
 from loomery.sources.views import CORPUS, WS, corpus, table, with_views
 
@@ -57,11 +58,6 @@ def sql_fnv(x: str) -> str:
     return f"list_reduce(list_prepend(2166136261::UBIGINT, list_transform(string_split({x}, ''), lambda c: unicode(c)::UBIGINT)), lambda h, c: (xor(h, c) * 16777619::UBIGINT) % 4294967296)"
 
 
-# What tells introductory and applied texts, and texts that hold something like an e-mail address.
-INTRO = r"(?i)\b(survey|review|tutorial|overview|foundation|background|introduction)\b"
-APPLIED = r"(?i)\b(appl(y|ies|ied|ication|ications)|deploy|real.world|production|practical|clinical|industr)\b"
-EMAIL = r"\b[^\s@]+@[^\s@]+\.[^\s@]+\b"
-
 C = F.col
 LABELS = "CASE WHEN presentation_type = '' THEN [] ELSE [presentation_type] END"
 
@@ -81,7 +77,7 @@ scalar("c10_sha256_fingerprint", lambda: {"value": T.fingerprint(C("title"))}, {
 scalar("c11_slugify", lambda: {"slug": T.slugify(C("title")), "fallback": F.abs(T.poly_hash(F.concat(F.lit("…"), C("ord").cast("string"))))}, {"slug": "trim(regexp_replace(lower(title), '[^a-z0-9]+', '-', 'g'), '-')", "fallback": "abs(list_reduce(list_prepend(7::BIGINT, list_transform(string_split('…' || ord, ''), lambda c: unicode(c)::BIGINT)), lambda a, c: ((a * 31 + c + 2147483648) & 4294967295) - 2147483648))"})
 scalar("c12_search_normalize", lambda: {"value": T.search_normal(F.concat(C("title"), F.lit(" C++ and C#-"), C("category")))}, {"value": sql_search("title || ' C++ and C#-' || category")})
 scalar("c13_contains_normalized_phrase", lambda: {"hit": T.contains_phrase(T.search_normal(C("abstract")), F.lit("the")), "empty": T.contains_phrase(C("title"), F.lit(""))}, {"hit": f"contains({sql_search('abstract')}, 'the')", "empty": "true"})
-scalar("c16_clean_text", lambda: {"value": T.topic_text(F.concat(C("title"), F.lit(" &amp; \\alpha x")))}, {"value": r"regexp_replace(regexp_replace(title || ' &amp; \alpha x', '&[a-zA-Z]+;', ' ', 'g'), '\\[a-zA-Z]+', ' ', 'g')"})
+scalar("c16_clean_text", lambda: {"value": T.topic_text(F.concat(C("title"), F.lit(" &amp; \\alpha x")))}, {"value": r"regexp_replace(regexp_replace(title || ' &amp; \alpha x', '(?i)&#x?[0-9a-f]+;|&[a-z]+;', ' ', 'g'), '(?i)\\[a-z]+\b', ' ', 'g')"})
 scalar("c17_normalized_work_key", lambda: {"work_key": T.work_key(C("title"), C("id"))}, {"work_key": sql_work_key()})
 scalar("c18_normalized_name", lambda: {"value": T.normalized_name(C("authors"))}, {"value": r"trim(regexp_replace(lower(strip_accents(authors)), '[^\p{L}\p{N}]+', ' ', 'g'))"})
 scalar("c19_parse_authors", lambda: {"names": F.array_join(T.parse_authors(C("authors")), "|")}, {"names": "array_to_string(list_transform(string_split(authors, ';'), lambda n: trim(n)), '|')"})
