@@ -21,17 +21,20 @@ rows of equal id don't take from each other; repeated rows get equal results.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import pickle
+import time
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import zstandard
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomery.llm.common import cut, prepare, row_key
-from loomery.llm.words import mix, span_hash
+from loomery.llm.words import SpanHashes, mix, span_hash
 
 LENGTH, GRAM = 50, 16
 _PER = LENGTH - GRAM + 1
@@ -39,6 +42,8 @@ _PER = LENGTH - GRAM + 1
 STRETCH = 128
 #: Bytes of text that are hashed at once, and that a worker gathers before it sends.
 PIECE, FLUSH = 1_000_000, 24_000_000
+#: Bytes of spans up to which they are broadcast to the texts; beyond, both are shuffled.
+BROADCAST = 64_000_000
 #: Bytes that one suffix array holds.
 ARRAY = 2_000_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -199,13 +204,14 @@ def _stretches(texts: list[bytes], first_text: int):
 
 
 def _flushes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    held, size = [], 0
+    held, size, rows = [], 0, 0
     for b in batches:
         held.append(b)
         size += int(b["text"].str.len().sum())
-        if size >= FLUSH:
+        rows += len(b)
+        if size >= FLUSH or rows + len(b) >= _MANY:
             yield pd.concat(held, ignore_index=True)
-            held, size = [], 0
+            held, size, rows = [], 0, 0
     if held:
         yield pd.concat(held, ignore_index=True)
 
@@ -219,35 +225,57 @@ def _flush_ids() -> Iterator[int]:
         n += 1
 
 
+def _packed(x: object) -> bytes:
+    return zstandard.ZstdCompressor(level=3).compress(pickle.dumps(x, 5))
+
+
+def _unpacked(b: bytes) -> tuple:
+    return pickle.loads(zstandard.ZstdDecompressor().decompress(b))
+
+
+def _release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of frames that are no longer held; it does so after the driver's garbage collection.
+
+    Events on their way to listeners hold the frames too, so these get a moment to arrive.
+    """
+    for _ in range(2):
+        gc.collect()
+        time.sleep(0.5)
+        spark.sparkContext._jvm.System.gc()
+
+
 _PARCEL = "bucket long, flush long, kind int, parcel binary"
 
 
 def _parcels(bucket_of: np.ndarray, make) -> Iterator[tuple[int, bytes]]:
     """(bucket, pickled make(indices)) for each bucket that occurs."""
+    if not len(bucket_of):
+        return
     order = np.argsort(bucket_of, kind="stable")
     sorted_ = bucket_of[order]
     edges = np.flatnonzero(np.diff(sorted_, prepend=-1))
     for s, e in zip(edges, np.append(edges[1:], len(order)), strict=True):
-        yield int(sorted_[s]), pickle.dumps(make(order[s:e]), 5)
+        yield int(sorted_[s]), _packed(make(order[s:e]))
+
+
+#: In the low 16 bits of a packed minimiser: the flush has it in several documents already.
+_MANY = 0xFFFF
 
 
 def _send_minimisers(buckets: int):
     def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Minimisers of a flush: those that it has in two documents are known to be shared; of others the document goes along."""
+        """Minimisers of a flush, each in 8 bytes with its document's place; those that it has in several documents are known to be shared."""
         for flush, b in zip(_flush_ids(), _flushes(batches)):
             of, _, _, m = stretches([t.encode("utf-8", "replace") for t in b["text"]])
-            pairs = np.unique(np.stack([m, of.astype(np.uint64)], axis=1), axis=0) if len(m) else np.zeros((0, 2), np.uint64)
-            m, of = pairs[:, 0], pairs[:, 1].astype(np.int64)
+            pairs = np.unique(m << np.uint64(16) | of.astype(np.uint64))
+            m = pairs >> np.uint64(16)
             first = np.flatnonzero(np.diff(m, prepend=np.uint64(1 << 50)))
             count = np.diff(np.append(first, len(m)))
-            many = np.repeat(count > 1, count)
+            several = pairs[np.repeat(count > 1, count)]
             keys = b[["k_id", "k_text"]].to_numpy(np.int64)
-            rows = []
-            if many.any():
-                rows.append((flush % buckets, flush, 1, pickle.dumps((keys, of[many], m[many]), 5)))
-            one = np.where(count > 1, -1, of[first]).astype(np.int32)  # -1: no answer needed
-            lead = m[first]
-            for bucket, parcel in _parcels((lead % np.uint64(buckets)).astype(np.int64), lambda i, lead=lead, one=one, keys=keys: (lead[i], one[i], keys[one[i]])):
+            rows = [(flush % buckets, flush, 1, _packed((keys, several)))]
+            lead = np.where(count > 1, pairs[first] | np.uint64(_MANY), pairs[first])
+            for bucket, parcel in _parcels(((lead >> np.uint64(16)) % np.uint64(buckets)).astype(np.int64), lambda i, lead=lead: lead[i]):
                 rows.append((bucket, flush, 0, parcel))
             yield pd.DataFrame(rows, columns=["bucket", "flush", "kind", "parcel"])
 
@@ -255,36 +283,31 @@ def _send_minimisers(buckets: int):
 
 
 def _shared_minimisers(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Of one bucket: for each flush its documents' minimisers that others have too."""
-    rows = [(f, p) for f, k, p in zip(pdf["flush"], pdf["kind"], pdf["parcel"], strict=True) if k == 1]
-    sent = [(f, *pickle.loads(p)) for f, k, p in zip(pdf["flush"], pdf["kind"], pdf["parcel"], strict=True) if k == 0]
+    """Of one bucket: for each flush the packed minimisers that other flushes have too."""
+    rows = [(f, 1, p) for f, k, p in zip(pdf["flush"], pdf["kind"], pdf["parcel"], strict=True) if k == 1]
+    sent = [(f, _unpacked(p)) for f, k, p in zip(pdf["flush"], pdf["kind"], pdf["parcel"], strict=True) if k == 0]
     if sent:
-        m = np.concatenate([x[1] for x in sent])
-        one = np.concatenate([x[2] for x in sent])
-        _, back, count = np.unique(m, return_inverse=True, return_counts=True)
-        shared = (count[back] > 1) & (one >= 0)
+        packed = np.concatenate([x[1] for x in sent])
+        _, back, count = np.unique(packed >> np.uint64(16), return_inverse=True, return_counts=True)
+        shared = (count[back] > 1) & (packed & np.uint64(_MANY) != _MANY)
         at = 0
-        for f, own, docs, keys in sent:
-            keep = np.flatnonzero(shared[at : at + len(own)])
+        for f, own in sent:
+            keep = own[shared[at : at + len(own)]]
             at += len(own)
             if len(keep):
-                rows.append((f, pickle.dumps((keys[keep], np.arange(len(keep)), own[keep]), 5)))
-    return pd.DataFrame(rows, columns=["flush", "parcel"])
+                rows.append((f, 0, _packed(keep)))
+    return pd.DataFrame(rows, columns=["flush", "kind", "parcel"])
 
 
 def _by_document(pdf: pd.DataFrame) -> pd.DataFrame:
     """Of one flush: the shared minimisers of each of its documents."""
-    keys, m = [], []
-    for p in pdf["parcel"]:
-        k, of, own = pickle.loads(p)
-        keys.append(k[of])
-        m.append(own)
-    key, value = np.concatenate(keys), np.concatenate(m)
-    order = np.lexsort((value, key[:, 1], key[:, 0]))
-    key, value = key[order], value[order]
-    edge = np.flatnonzero(np.append(True, (key[1:] != key[:-1]).any(axis=1)))
-    parts = np.split(value, edge[1:])
-    return pd.DataFrame({"k_id": key[edge, 0], "k_text": key[edge, 1], "shared": [p.tobytes() for p in parts]})
+    ((keys, several),) = [_unpacked(p) for k, p in zip(pdf["kind"], pdf["parcel"], strict=True) if k == 1]
+    packed = np.concatenate([several, *[_unpacked(p) for k, p in zip(pdf["kind"], pdf["parcel"], strict=True) if k == 0]])
+    of, m = (packed & np.uint64(_MANY)).astype(np.int64), packed >> np.uint64(16)
+    order = np.lexsort((m, of))
+    of, m = of[order], m[order]
+    edge = np.flatnonzero(np.diff(of, prepend=-1))
+    return pd.DataFrame({"k_id": keys[of[edge], 0], "k_text": keys[of[edge], 1], "shared": [p.tobytes() for p in np.split(m, edge[1:])] if len(edge) else []})
 
 
 def _send_stretches(buckets: int):
@@ -318,9 +341,9 @@ def _send_stretches(buckets: int):
             group = np.cumsum(new) - 1
             least = ids[lead]
             later = ids > least[group]
-            rows = []
+            rows, small = [], int(lengths.max()) < 2**31
             if later.any():
-                rows.append((flush % buckets, flush, 1, pickle.dumps((keys[of[later]], begin[later], begin[later] + n[later] + LENGTH - 1), 5)))
+                rows.append((flush % buckets, flush, 1, _packed((keys[of[later]], begin[later], begin[later] + n[later] + LENGTH - 1))))
             own = np.flatnonzero(~later)
             owner = np.split(own, np.flatnonzero(np.diff(group[own])) + 1)
 
@@ -328,7 +351,8 @@ def _send_stretches(buckets: int):
                 holders = np.concatenate([owner[g] for g in i])
                 number = np.repeat(np.arange(len(i)), [len(owner[g]) for g in i])
                 bodies = b"".join(texts[of[lead[g]]][begin[lead[g]] : begin[lead[g]] + n[lead[g]] + LENGTH - 1] for g in i)
-                return m[lead[i]], content[lead[i]], least[i], n[lead[i]], bodies, number, keys[of[holders]], begin[holders]
+                docs, who = np.unique(of[holders], return_inverse=True)
+                return m[lead[i]], content[lead[i]], least[i], n[lead[i]].astype(np.uint8), bodies, number.astype(np.int32), keys[docs], who.astype(np.uint16), begin[holders].astype(np.int32 if small else np.int64)
 
             for bucket, p in _parcels((m[lead] % np.uint64(buckets)).astype(np.int64), parcel):
                 rows.append((bucket, flush, 0, p))
@@ -340,9 +364,10 @@ def _send_stretches(buckets: int):
 def _covered(pdf: pd.DataFrame) -> pd.DataFrame:
     """Of one bucket: the spans of each flush's documents that a smaller document has too."""
     rows = [(f, p) for f, k, p in zip(pdf["flush"], pdf["kind"], pdf["parcel"], strict=True) if k == 1]
-    sent = [(f, *pickle.loads(p)) for f, k, p in zip(pdf["flush"], pdf["kind"], pdf["parcel"], strict=True) if k == 0]
+    sent = [(f, *_unpacked(p)) for f, k, p in zip(pdf["flush"], pdf["kind"], pdf["parcel"], strict=True) if k == 0]
     if not sent:
         return pd.DataFrame(rows, columns=["flush", "parcel"])
+    sent = [(f, m, content, least, n.astype(np.int64), bodies, number, keys[who], begin.astype(np.int64)) for f, m, content, least, n, bodies, number, keys, who, begin in sent]
     m, content, least, n = (np.concatenate([x[j] for x in sent]) for j in range(1, 5))
     parcel_of = np.repeat(np.arange(len(sent)), [len(x[1]) for x in sent])
     body_at = np.concatenate([np.cumsum(x[4] + LENGTH - 1) - (x[4] + LENGTH - 1) for x in sent])
@@ -356,19 +381,9 @@ def _covered(pdf: pd.DataFrame) -> pd.DataFrame:
 
     # stretches whose minimiser others have: which of their windows do smaller documents have?
     _, back, count = np.unique(m[lead], return_inverse=True, return_counts=True)
-    windows: dict[int, np.ndarray] = {}
     several = np.flatnonzero(count[back] > 1)  # in order of their minimisers, as lead is
-    at = 0
-    while at < len(several):
-        upto, size = at, 0
-        while upto < len(several) and (size < ARRAY or m[lead[several[upto]]] == m[lead[several[upto - 1]]]):
-            size += int(n[lead[several[upto]]]) + LENGTH
-            upto += 1
-        own = several[at:upto]
-        bodies = [sent[parcel_of[i]][5][body_at[i] : body_at[i] + n[i] + LENGTH - 1] for i in lead[own]]
-        for g, flags in zip(own, _smaller_windows(bodies, smallest[own]), strict=True):
-            windows[g] = flags
-        at = upto
+    bodies = [sent[parcel_of[i]][5][body_at[i] : body_at[i] + n[i] + LENGTH - 1] for i in lead[several]]
+    windows = dict(zip(several.tolist(), _smaller_windows(bodies, m[lead[several]], smallest[several]), strict=True))
 
     base = 0
     for f, own_m, _, own_least, own_n, _, number, keys, begin in sent:
@@ -386,29 +401,112 @@ def _covered(pdf: pd.DataFrame) -> pd.DataFrame:
         base += len(own_m)
         if spans:
             s = np.array(spans, np.int64)
-            rows.append((f, pickle.dumps((keys[s[:, 0]], s[:, 1], s[:, 2]), 5)))
+            rows.append((f, _packed((keys[s[:, 0]], s[:, 1], s[:, 2]))))
     return pd.DataFrame(rows, columns=["flush", "parcel"])
 
 
-def _smaller_windows(bodies: list[bytes], ids: np.ndarray) -> list[np.ndarray]:
-    """For each body a flag for each window: does a body of a smaller id have the same LENGTH bytes?"""
-    text = b"\xff".join(bodies) + b"\xff"  # never in UTF-8
-    sizes = np.array([len(b) for b in bodies])
-    of = np.repeat(np.arange(len(bodies)), sizes + 1)
-    start = np.cumsum(sizes + 1) - (sizes + 1)
-    order, classes = equal_starts(text.replace(b"\xff", b"\xfe"), LENGTH)
-    body = of[order]
-    real = order - start[body] + LENGTH <= sizes[body]
-    least = np.full(int(classes[-1]) + 1, np.iinfo(np.int64).max)
-    np.minimum.at(least, classes[real], ids[body[real]])
-    flags = np.zeros(len(text), bool)
-    flags[order[real]] = least[classes[real]] < ids[body[real]]
-    return [flags[s : s + max(0, n - LENGTH + 1)] for s, n in zip(start, sizes, strict=True)]
+def _reach(bodies: list[bytes], m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The part (from, to) of each body that may be shared with others of its minimiser; empty if too short for a window.
+
+    Equal windows have their minimiser at the same place, so a body shares to the left of it at most as many bytes as some
+    other body has in common there, and to the right likewise; both are found by hashes of growing length.  Where a
+    minimiser stands in some body more than once, all its bodies stay whole.
+    """
+    size = np.array([len(b) for b in bodies])
+    start = np.cumsum(size) - size
+    data = np.frombuffer(b"".join(bodies), np.uint8)
+    h, base, n = data.astype(np.uint64) + np.uint64(1), np.array([_BASE]), 1
+    while n < GRAM:
+        h = h[:-n] * base + h[n:]
+        base, n = np.multiply(base, base, dtype=np.uint64), 2 * n
+    h = mix(h) >> np.uint64(16)
+    of = np.repeat(np.arange(len(bodies)), size)[: len(h)]
+    at = np.flatnonzero(h == m[of])
+    at = at[at + GRAM <= (start + size)[of[at]]]
+    times = np.bincount(of[at], minlength=len(bodies))
+    gram = np.zeros(len(bodies), np.int64)
+    gram[of[at]] = at
+    hashes = SpanHashes(data)
+    low, high = gram.copy(), gram + GRAM
+    for step in (-1, 1):
+        act = np.flatnonzero(times == 1)
+        for r in range(1, _PER):
+            a, b = (gram[act] - r, gram[act] + GRAM) if step < 0 else (gram[act], gram[act] + GRAM + r)
+            fits = (a >= start[act]) & (b <= (start + size)[act])
+            act, a, b = act[fits], a[fits], b[fits]
+            if not len(act):
+                break
+            key = hashes(a, b)
+            order = np.argsort(key, kind="stable")
+            same = np.zeros(len(key), bool)
+            same[1:] = key[order][1:] == key[order][:-1]
+            same[:-1] |= same[1:]
+            kept = np.zeros(len(key), bool)
+            kept[order] = same
+            act = act[kept]
+            if step < 0:
+                low[act] = a[kept]
+            else:
+                high[act] = b[kept]
+    whole = np.isin(m, m[times != 1])  # with it, those that might share with another place of the minimiser
+    low[whole], high[whole] = start[whole], (start + size)[whole]
+    short = high - low < LENGTH
+    low[short] = high[short] = start[short]
+    return low - start, high - start
+
+
+def _smaller_windows(bodies: list[bytes], m: np.ndarray, ids: np.ndarray) -> list[np.ndarray]:
+    """For each body a flag for each window: does a body of a smaller id, with the same minimiser, have its bytes?"""
+    flags = [np.zeros(len(b) - LENGTH + 1, bool) for b in bodies]
+    if not bodies:
+        return flags
+    low, high = _reach(bodies, m)
+    cores: dict[tuple[int, bytes], int] = {}
+    core_of = np.full(len(bodies), -1)
+    for i, (b, lo, hi) in enumerate(zip(bodies, low.tolist(), high.tolist(), strict=True)):
+        if hi > lo:
+            core_of[i] = cores.setdefault((int(m[i]), b[lo:hi]), len(cores))
+    texts = [t for _, t in cores]
+    some = core_of >= 0
+    least = np.full(len(cores), np.iinfo(np.int64).max)
+    np.minimum.at(least, core_of[some], ids[some])
+    windows = _least_by_window(texts, np.array([k for k, _ in cores], np.uint64), least)
+    for i in np.flatnonzero(some):
+        w = windows[core_of[i]]
+        flags[i][low[i] : low[i] + len(w)] = w < ids[i]
+    return flags
+
+
+def _least_by_window(texts: list[bytes], m: np.ndarray, ids: np.ndarray) -> list[np.ndarray]:
+    """For each window of each text the smallest id of a text that has it; texts come in order of their minimisers."""
+    out = [np.full(len(t) - LENGTH + 1, i) for t, i in zip(texts, ids, strict=True)]
+    _, back, count = np.unique(m, return_inverse=True, return_counts=True)
+    open_ = np.flatnonzero(count[back] > 1) if len(m) else np.zeros(0, np.int64)
+    at = 0
+    while at < len(open_):
+        upto, size = at, 0
+        while upto < len(open_) and (size < ARRAY or m[open_[upto]] == m[open_[upto - 1]]):
+            size += len(texts[open_[upto]]) + 1
+            upto += 1
+        own = open_[at:upto]
+        sizes = np.array([len(texts[i]) for i in own])
+        start = np.cumsum(sizes + 1) - (sizes + 1)
+        order, classes = equal_starts(b"\xfe".join(texts[i] for i in own) + b"\xfe", LENGTH)  # never in UTF-8
+        body = np.repeat(np.arange(len(own)), sizes + 1)[order]
+        real = order - start[body] + LENGTH <= sizes[body]
+        smallest = np.full(int(classes[-1]) + 1, np.iinfo(np.int64).max)
+        np.minimum.at(smallest, classes[real], ids[own][body[real]])
+        found = np.zeros(int((sizes + 1).sum()), np.int64)
+        found[order[real]] = smallest[classes[real]]
+        for i, s, n in zip(own, start, sizes, strict=True):
+            out[i] = found[s : s + n - LENGTH + 1]
+        at = upto
+    return out
 
 
 def _spans_by_document(pdf: pd.DataFrame) -> pd.DataFrame:
     """Of one flush: the united spans of each document, as pairs of 64-bit numbers."""
-    got = [pickle.loads(p) for p in pdf["parcel"]]
+    got = [_unpacked(p) for p in pdf["parcel"]]
     key, s, e = (np.concatenate([x[j] for x in got]) for j in range(3))
     order = np.lexsort((s, key[:, 1], key[:, 0]))
     key, s, e = key[order], s[order], e[order]
@@ -429,12 +527,17 @@ def repeats(docs: DataFrame) -> DataFrame:
     buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.where(F.col("doc_id").isNotNull()).select(*row_key(F.col("doc_id").cast("long"), F.col("text")), F.coalesce("text", F.lit("")).alias("text"))
     sent = rows.mapInPandas(_send_minimisers(buckets), _PARCEL)
-    answers = sent.groupBy("bucket").applyInPandas(_shared_minimisers, "flush long, parcel binary")
+    answers = sent.groupBy("bucket").applyInPandas(_shared_minimisers, "flush long, kind int, parcel binary")
     shared = cut(answers.groupBy("flush").applyInPandas(_by_document, "k_id long, k_text long, shared binary").dropDuplicates(["k_id", "k_text"]))
+    del sent, answers
+    _release(spark)
     near = rows.join(shared, ["k_id", "k_text"]).mapInPandas(_send_stretches(buckets), _PARCEL)
     covered = near.groupBy("bucket").applyInPandas(_covered, "flush long, parcel binary")
     spans = covered.groupBy("flush").applyInPandas(_spans_by_document, "k_id long, k_text long, spans binary")
-    return cut(spans.dropDuplicates(["k_id", "k_text"]))
+    spans = cut(spans.dropDuplicates(["k_id", "k_text"]))
+    del near, covered, shared
+    _release(spark)
+    return spans
 
 
 def keep_and_span(text: str | None, spans: bytes | None) -> tuple[bytes, int, int]:
@@ -454,6 +557,9 @@ def keep_and_span(text: str | None, spans: bytes | None) -> tuple[bytes, int, in
 def without_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the remaining bytes) for each row of docs."""
     spans = repeats(docs)
+    size = spans.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("spans")), F.lit(0))).first()
+    if size[0] * 64 + size[1] <= BROADCAST:
+        spans = F.broadcast(spans)
     rows = docs.select(*row_key(F.col("doc_id").cast("long"), F.col("text")), "text").join(spans, ["k_id", "k_text"], "left")
 
     @F.pandas_udf("n_bytes long, n_removed long, n_spans long, kept_sha256 string")

@@ -33,12 +33,20 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[0], _POWERS[1]
 
 
+class SpanHashes:
+    """64-bit hashes of spans of data, the same wherever the bytes stand."""
+
+    def __init__(self, data: np.ndarray):
+        power, self.inverse = _powers(len(data))
+        self.total = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[: len(data)], out=self.total[1:])
+
+    def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return mix((self.total[ends] - self.total[starts]) * self.inverse[starts] + (ends - starts).astype(np.uint64))
+
+
 def span_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the bytes of each span, the same wherever it stands."""
-    power, inverse = _powers(len(data))
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[: len(data)], out=total[1:])
-    return mix((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+    return SpanHashes(data)(starts, ends)
 
 
 def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -77,7 +85,7 @@ def shingles(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return of[at], value[at], np.diff(np.append(at, len(of)))
 
 
-def slices(texts: list[str], most: int = 1_000_000):
+def slices(texts: list[str], most: int = 300_000):
     """(start, end) of runs of texts of about `most` characters, one text at least."""
     at = 0
     while at < len(texts):
