@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+from loomery.session import ship
+
 Run = Callable[[SparkSession, str], DataFrame]
 
 
@@ -26,7 +29,12 @@ def query(name: str, sql: str | None = None) -> Callable[[Run], Run]:
     def add(run: Run) -> Run:
         if name in QUERIES:
             raise ValueError(f"two queries are named {name}")
-        QUERIES[name] = Query(name, run, sql)
+
+        @functools.wraps(run)
+        def shipped(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return run(ship(spark), sf_dir)
+
+        QUERIES[name] = Query(name, shipped, sql)
         return run
 
     return add
