@@ -113,7 +113,7 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     kept = F.transform(words, lambda w, i: F.when(F.exists("_loom_spans", lambda x: (x["s"] <= i) & (i < x["e"])), "").otherwise(w))
     text = F.concat(gaps[0], F.array_join(F.zip_with(kept, F.slice(gaps, 2, F.size(gaps)), lambda w, g: F.concat(w, g)), ""))
     cut_text = F.when(F.col("_loom_spans").isNotNull(), text).otherwise(F.col("text"))
-    size = {"n_chars": F.length("text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {}
+    size = {"n_chars": F.when(F.col("_loom_spans").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))} if "n_chars" in docs.columns else {}
     return joined.withColumn("text", cut_text).withColumns(size).select(docs.columns)
 
 

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomery.llm.common import crc_of_id, prepare
+from loomery.llm.common import crc_of_id, give_back, prepare
 
 SAMPLE = 20_000
 TREES, DEPTH, BINS, RATE, LEAST, RIDGE = 60, 4, 64, 0.2, 10, 1.0
@@ -123,7 +123,7 @@ class BoostedTrees:
     """Gradient-boosted trees for a 0/1 label, kept as arrays: feature, threshold, left child and value of each node."""
 
     def __init__(self, x: np.ndarray, y: np.ndarray):
-        cuts = [np.unique(np.quantile(c, np.linspace(0, 1, BINS + 1)[1:-1])) for c in x.T]
+        cuts = [np.unique(np.quantile(c, np.linspace(0, 1, BINS + 1)[1:-1])) if len(c) else np.zeros(0) for c in x.T]
         binned = np.column_stack([np.searchsorted(c, v, side="left") for c, v in zip(cuts, x.T, strict=True)]) if len(x) else np.zeros((0, x.shape[1]), int)
         rate = float(np.clip(y.mean(), 1e-4, 1 - 1e-4)) if len(y) else 0.5
         self.base = float(np.log(rate / (1 - rate)))
@@ -227,6 +227,7 @@ def score_column(docs: DataFrame, model: BoostedTrees, text: Column) -> Column:
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in batches:
             yield pd.Series(on.value.score(batched_statistics([t or "" for t in s])))
+        give_back()
 
     return score(text)
 
