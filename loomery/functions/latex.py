@@ -5,12 +5,23 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from loomery.functions.text import present
+from loomery.functions.text import ordered_distinct_ignoring_case, present
 
 # Greek letters by name, and macros whose argument stands for itself.
 GREEK = {"alpha": "α", "beta": "β", "gamma": "γ", "delta": "δ", "epsilon": "ε", "lambda": "λ", "mu": "μ", "pi": "π", "sigma": "σ", "theta": "θ"}
 STYLES = "texttt|textbf|textit|mathrm|mathbf|mathsf|operatorname"
-TEXT_STYLES = "text|textbf|textit|texttt|emph|mathrm|mathbf|mathit|mathcal|mathsf|mathbb|operatorname"
+TEXT_STYLES = "textit|texttt|textbf|textrm|textsc|emph|text|mathbb|mathbf|mathrm|mathsf|mathcal"
+# Plain text between dollar signs, and lines that are no titles.
+PLAIN_MATH = r"""^[A-Za-z0-9][A-Za-z0-9\s.,;:'"!?+\-/]*(?:\^[0-9]+)?$"""
+NO_TITLES = (
+    r"(?i)^(url\s+https?:|https?:|arxiv preprint|openreview\.net|association for computational linguistics)$",
+    r"(?i)^(and|[a-z]\.)\s+",
+    r"^[A-Za-z]{1,3},\s*[A-Z]\.",
+    r"[a-z]{3,}[A-Z]\.,",
+    r"^(?:[A-Z][\w'\u2019.-]+,\s*(?:[A-Z]\.|[A-Z][a-z]+|et al\.?)\s*){2,}$",
+    r"^[A-Z]\.,?\s+",
+    r"^[A-Z][\w'\u2019.-]+,\s+[A-Z]\.?[, ]",
+)
 
 
 def plain_math_title(x: Column) -> Column:
@@ -24,16 +35,29 @@ def plain_math_title(x: Column) -> Column:
 
 
 def clean_abstract(x: Column) -> Column:
-    """Without citations; text and math styles unwrapped; dollar signs stay only where they come in pairs."""
-    t = F.regexp_replace(present(x), r"~?\\cite[a-z]*\*?(?:\[[^\]]*\])*\{[^{}]*\}", "")
+    """Without citations, styles unwrapped, plain text between dollar signs freed of them, no space before punctuation."""
+    t = F.regexp_replace(F.regexp_replace(present(x), r"(?i)\[cite:\s*\d+(?:\s*,\s*\d+)*\]", ""), r"\\cite[tp]?\{[^{}]*\}", "")
     t = F.regexp_replace(t, rf"\\(?:{TEXT_STYLES})\{{([^{{}}]*)\}}", "$1")
-    odd = F.length(t) - F.length(F.replace(t, F.lit("$"), F.lit("")))
-    t = F.when(odd % 2 == 1, F.replace(t, F.lit("$"), F.lit(""))).otherwise(t)
-    return F.trim(F.regexp_replace(t, r"\s+", " "))
+    parts = F.split(t, r"\$", -1)
+
+    def part(p: Column, i: Column) -> Column:
+        inside, last = i % 2 == 1, i == F.size(parts) - 1
+        plain = F.trim(p).rlike(PLAIN_MATH)
+        return F.when(inside & last, F.concat(F.lit("$"), p)).when(inside & plain, F.trim(p)).when(inside, F.concat(F.lit("$"), F.trim(p), F.lit("$"))).otherwise(p)
+
+    joined = F.array_join(F.transform(parts, part), "")
+    return F.regexp_replace(F.regexp_replace(joined, r"\s+([,.;:])", "$1"), r"\s{2,}", " ")
 
 
 def looks_like_citation_title(x: Column) -> Column:
-    """Long enough for a title, of words, and not an address, a page range or a list of initials."""
+    """Long enough for a title, of three words or more, and not an address, a publisher or a run of names."""
     t = F.trim(present(x))
-    words = F.size(F.split(t, r"\s+"))
-    return F.length(t).between(12, 240) & (words >= 3) & t.rlike("[a-z]{3}") & ~t.rlike(r"(?i)^(https?:|doi|arxiv|pp?\.|vol\.|in proceedings)") & ~t.rlike(r"^(?:[A-Z]\.\s*){2,}")
+    odd = F.lit(False)
+    for p in NO_TITLES:
+        odd = odd | t.rlike(p)
+    return (F.length(t) >= 18) & ~odd & (F.size(F.split(t, r"\s+")) >= 3) & t.rlike("(?i)[a-z]{3,}")
+
+
+def shown_references(titles: Column, limit: int = 12) -> Column:
+    """The first distinct titles, whatever their case, that look like ones."""
+    return F.slice(F.filter(ordered_distinct_ignoring_case(titles), looks_like_citation_title), 1, limit)

@@ -6,7 +6,7 @@ import importlib
 
 from loomery.plans.registry import QUERIES, Query, Run
 
-MODULES = ("scalar_queries", "corpus_queries", "graph_queries", "semantic_queries")
+MODULES = ("scalar_queries", "corpus_queries", "graph_queries", "semantic_queries", "artifact_queries")
 
 
 def all_queries() -> dict[str, Query]:
