@@ -220,9 +220,9 @@ def hashed_queries(spark, sf_dir):
     return P.hashed_vectors(table(spark, sf_dir, "benchmark").select(C("item_id").alias("id"), "text"))
 
 
-@q("j12_hashed_vectors", f"{with_views(CORPUS, _HDOCS)} SELECT id, term, round(w, 6) AS w FROM hd")
+@q("j12_hashed_vectors", f"{with_views(CORPUS, _HDOCS)} SELECT id, term, round(w, 6) + 0.0 AS w FROM hd")
 def j12(spark, sf_dir):
-    return hashed_docs(spark, sf_dir).select("id", "term", F.round("w", 6).alias("w"))
+    return hashed_docs(spark, sf_dir).select("id", "term", (F.round("w", 6) + 0.0).alias("w"))  # no negative zeros
 
 
 @q("j13_quantise", f"{with_views(CORPUS, _HDOCS)} SELECT id, sum(trunc(round(w * 127, 9)))::BIGINT AS total, sum((trunc(round(w * 127, 9)) <> 0)::INT)::BIGINT AS cells FROM hd GROUP BY 1")
