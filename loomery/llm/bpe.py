@@ -13,52 +13,99 @@ special tokens in a text become those tokens, as the library does by default; re
 
 from __future__ import annotations
 
+import functools
 import json
+import os
 import re
 from collections.abc import Iterator, Sequence
+from typing import TYPE_CHECKING
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomery.llm.common import prepare
+from loomery.llm.common import give_back, prepare
+
+if TYPE_CHECKING:
+    from tokenizers import Tokenizer
 
 #: Pieces longer than this many characters are joined from leaves.
 SPLIT_ABOVE = 2048
 LEAF_CHARS = 512
-#: Distinct pieces kept by a worker; beyond it the table is emptied and filled anew.
-CACHE_ENTRIES = 600_000
+#: Pieces, and words, in the newer of two generations that a worker keeps; when it is full, the older one goes.
+CACHE_ENTRIES = 150_000
+#: Pieces in a call of the library, and texts whose pieces are held at once: what is held is small and of one size.
+CALL, TEXTS = 5_000, 200
 #: str.split() parts at these too, but the tokenizer takes them for ordinary symbols.
 _NOT_SPACE = re.compile("[\x1c-\x1f]")
 #: Letters whose lower case is one letter that composes with nothing: ASCII and Latin-1.
 _LATIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
 
 
+class Generations:
+    """A table of bounded size that keeps what is asked for often: what was asked for since the last change is in `newer`."""
+
+    def __init__(self, size: int):
+        self.size, self.newer, self.older = size, {}, {}
+
+    def missing(self, keys: set[str]) -> list[str]:
+        """The keys that neither generation has; those of the older one move to the newer."""
+        if len(self.newer) > self.size:
+            self.newer, self.older = {}, self.newer
+        out = []
+        for k in keys - self.newer.keys():
+            v = self.older.get(k)
+            if v is None:
+                out.append(k)
+            else:
+                self.newer[k] = v
+        return out
+
+
 class TreeBpe:
     """Encodes and decodes with the tokenizer described by spec (the text of its JSON file)."""
 
-    def __init__(self, spec: str, split_above: int = SPLIT_ABOVE, leaf_chars: int = LEAF_CHARS):
+    def __init__(self, spec: str, split_above: int = SPLIT_ABOVE, leaf_chars: int = LEAF_CHARS, cache_entries: int = CACHE_ENTRIES):
+        os.environ.setdefault("RAYON_NUM_THREADS", "2")  # a batch is shared among these; cores are shared among tasks
         from tokenizers import Tokenizer
 
-        self.whole = Tokenizer.from_str(spec)
-        parts = json.loads(spec)
+        self.whole = Tokenizer.from_str(spec)  # the file isn't parsed in Python: that would take, and scatter, far more memory
         self.split_above, self.leaf_chars = split_above, leaf_chars
-        self.special = {t["content"]: t["id"] for t in parts["added_tokens"]}
+        self.special = {t.content: i for i, t in self.whole.get_added_tokens_decoder().items()}
         self.special_re = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
-        suffix = parts["model"].get("end_of_word_suffix")
-        bare = parts | {"normalizer": None, "pre_tokenizer": None, "post_processor": None, "added_tokens": []}
-        self.ends = Tokenizer.from_str(json.dumps(bare))
-        self.inner = Tokenizer.from_str(json.dumps(bare | {"model": parts["model"] | {"end_of_word_suffix": None}}))
+        self.suffix = getattr(self.whole.model, "end_of_word_suffix", None) or ""
+        self.spec = spec
         size = self.whole.get_vocab_size(with_added_tokens=True)
         self.names = [self.whole.id_to_token(i) or "" for i in range(size)]
-        cut = len(suffix) if suffix else 0
-        self.plain = [n[:-cut] if cut and n.endswith(suffix) else n for n in self.names]
-        self.cache: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        self.cache, self.words = Generations(cache_entries), Generations(cache_entries)
         #: Joining words into one call needs tokens that show where a word ends.
-        self.closes = np.array([bool(suffix) and n.endswith(suffix) for n in self.names])
-        self.joins = bool(suffix) and self.whole.pre_tokenizer is not None and "\\p{L}" in json.dumps(parts["pre_tokenizer"])
+        self.closes = np.array([bool(self.suffix) and n.endswith(self.suffix) for n in self.names])
+        self.joins = bool(self.suffix) and "\\p{L}" in str(self.whole.pre_tokenizer)
+
+    @functools.cached_property
+    def plain(self) -> list[str]:
+        """What each token stands for: its name without the mark of a word's end."""
+        cut = len(self.suffix)
+        return [n[:-cut] if cut and n.endswith(self.suffix) else n for n in self.names]
+
+    def _model(self, **changes) -> "Tokenizer":
+        """The model alone: nothing is normalised or parted."""
+        from tokenizers import Tokenizer
+
+        parts = json.loads(self.spec)
+        bare = parts | {"normalizer": None, "pre_tokenizer": None, "post_processor": None, "added_tokens": []}
+        return Tokenizer.from_str(json.dumps(bare | {"model": parts["model"] | changes}))
+
+    @functools.cached_property
+    def ends(self) -> "Tokenizer":
+        """For what reaches the end of a word.  Made only when a long piece comes, as it is as large as the tokenizer."""
+        return self._model()
+
+    @functools.cached_property
+    def inner(self) -> "Tokenizer":
+        """For what lies inside a word."""
+        return self._model(end_of_word_suffix=None)
 
     def encode_long(self, word: str) -> list[int]:
         """The ids of one unsplit word, already normalised and byte-mapped, by tree concatenation."""
@@ -115,18 +162,17 @@ class TreeBpe:
 
     def _encode_words(self, pieces: list[str]) -> list[str]:
         """Caches the pieces that are one word of plain Latin letters, or one with full stops or commas behind; returns the rest."""
-        words, cache, rest, found = self.words, self.cache, [], []
-        if len(words) > CACHE_ENTRIES:
-            words.clear()
+        rest, found = [], []
         for p in pieces:
             core = p.rstrip(".,")
             if core.isalpha() and _LATIN.fullmatch(core):
                 found.append((p, core.lower(), p[len(core) :]))
             else:
                 rest.append(p)
-        new = list({x for _, w, tail in found for x in (w, tail) if x and x not in words})
-        for at in range(0, len(new), 20_000):
-            some = new[at : at + 20_000]
+        new = self.words.missing({x for _, w, tail in found for x in (w, tail) if x})
+        words, cache = self.words.newer, self.cache.newer
+        for at in range(0, len(new), CALL):
+            some = new[at : at + CALL]
             ids = np.asarray(self.whole.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
             for w, own in zip(some, np.split(ids, np.flatnonzero(self.closes[ids])[:-1] + 1), strict=True):
                 words[w] = own.tobytes()
@@ -136,14 +182,15 @@ class TreeBpe:
 
     def encode_batch(self, texts: Sequence[str]) -> list[np.ndarray]:
         """Ids of each text as unsigned 32-bit integers."""
+        return [a for at in range(0, len(texts), TEXTS) for a in self._encode_some(texts[at : at + TEXTS])]
+
+    def _encode_some(self, texts: Sequence[str]) -> list[np.ndarray]:
         pieces = [[t] if _NOT_SPACE.search(t) else t.split() for t in texts]
-        cache = self.cache
-        if len(cache) > CACHE_ENTRIES:
-            cache.clear()
-        new = list({p for own in pieces for p in own if p not in cache})
+        new = self.cache.missing({p for own in pieces for p in own})
+        cache = self.cache.newer
         usual = self._encode_words([p for p in new if len(p) <= self.split_above]) if self.joins else [p for p in new if len(p) <= self.split_above]
-        for at in range(0, len(usual), 20_000):
-            some = usual[at : at + 20_000]
+        for at in range(0, len(usual), CALL):
+            some = usual[at : at + CALL]
             for p, e in zip(some, self.whole.encode_batch(some, add_special_tokens=False), strict=True):
                 cache[p] = np.asarray(e.ids, "<u4").tobytes()
         long = {p: np.asarray(self._encode_piece(p), "<u4").tobytes() for p in new if len(p) > self.split_above}
@@ -170,11 +217,11 @@ def load_spec(path: str | None = None) -> str:
 _CODERS: dict[int, TreeBpe] = {}
 
 
-def _coder(key: int, spec: str) -> TreeBpe:
-    """One coder for each worker process and tokenizer, with the pieces it has met."""
+def _coder(key: int, spec: str, cache_entries: int = CACHE_ENTRIES) -> TreeBpe:
+    """One coder for each task and tokenizer, with the pieces it has met."""
     if key not in _CODERS:
         _CODERS.clear()
-        _CODERS[key] = TreeBpe(spec)
+        _CODERS[key] = TreeBpe(spec, cache_entries=cache_entries)
     return _CODERS[key]
 
 
@@ -187,6 +234,8 @@ def encode_column(spark: SparkSession, text: Column, spec: str | None = None) ->
         coder = _coder(hash(spec_on.value), spec_on.value)
         for s in batches:
             yield pd.Series([a.astype("int32") for a in coder.encode_batch([x or "" for x in s])], dtype=object)
+        del coder
+        give_back(_CODERS)
 
     return ids(text)
 
@@ -200,6 +249,8 @@ def decode_column(spark: SparkSession, ids: Column, spec: str | None = None) ->
         coder = _coder(hash(spec_on.value), spec_on.value)
         for s in batches:
             yield pd.Series(["" if x is None else coder.decode(x) for x in s], dtype=object)
+        del coder
+        give_back(_CODERS)
 
     return text(ids)
 
@@ -215,13 +266,18 @@ def tokenize(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sp
         for s in batches:
             ids = coder.encode_batch([x or "" for x in s])
             yield pd.DataFrame({"ids": pd.Series([a.view("<i4") for a in ids], dtype=object), "decoded": pd.Series([coder.decode(a) for a in ids], dtype=object)})
+        del coder
+        give_back(_CODERS)
 
     rows = docs.select(F.col(id_col).alias("doc_id"), both(F.col(text_col)).alias("r"))
     return rows.select("doc_id", "r.ids", "r.decoded")
 
 
-def token_digests(docs: DataFrame, spec: str | None = None) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256: the same encoding and decoding, reduced to digests by the worker."""
+def token_digests(docs: DataFrame, spec: str | None = None, cache_entries: int = CACHE_ENTRIES) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256: the same encoding and decoding, reduced to digests by the worker.
+
+    Fewer cache entries take less memory and more time.
+    """
     import hashlib
 
     spark = prepare(docs.sparkSession)
@@ -229,7 +285,7 @@ def token_digests(docs: DataFrame, spec: str | None = None) -> DataFrame:
 
     @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
     def digests(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        coder = _coder(hash(spec_on.value), spec_on.value)
+        coder = _coder(hash(spec_on.value), spec_on.value, cache_entries)
         for s in batches:
             ids = coder.encode_batch([x or "" for x in s])
             yield pd.DataFrame({
@@ -237,5 +293,7 @@ def token_digests(docs: DataFrame, spec: str | None = None) -> DataFrame:
                 "ids_sha256": [hashlib.sha256(a.tobytes()).hexdigest() for a in ids],
                 "decoded_sha256": [hashlib.sha256(coder.decode(a).encode("utf-8", "replace")).hexdigest() for a in ids],
             })
+        del coder
+        give_back(_CODERS)
 
     return docs.select("doc_id", digests(F.col("text")).alias("r")).select("doc_id", "r.*")

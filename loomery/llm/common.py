@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
@@ -10,14 +12,17 @@ import zlib
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows in an Arrow batch: with documents of some KB, a batch stays far below a worker's memory.
-BATCH_ROWS = 1000
+from loomery.session import ship
+
+#: Rows in an Arrow batch, and in a batch of the Parquet reader: with documents of some KB, both stay at a MB or two.
+BATCH_ROWS = 400
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Bounds Arrow batches by rows, and sets a checkpoint folder where the cluster names none."""
+    """Bounds batches by rows, and sets a checkpoint folder where the cluster names none."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    context = spark.sparkContext
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", str(BATCH_ROWS))
+    context = ship(spark).sparkContext
     if not (spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()):
         context.setCheckpointDir(os.path.join(tempfile.gettempdir(), "loomery-checkpoints"))
     return spark
@@ -43,6 +48,20 @@ def store(df: DataFrame) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def give_back(*tables: dict) -> None:
+    """Empties a worker's tables and hands freed memory back to the system.
+
+    A worker process is kept for whatever stage comes next, and what it holds would count against that.
+    """
+    for t in tables:
+        t.clear()
+    gc.collect()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def row_key(doc_id: Column, text: Column) -> list[Column]:
     """Two columns that name a row by its id and content; rows equal in both get equal results."""
     return [doc_id.alias("k_id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("k_text")]

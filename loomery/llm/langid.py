@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomery.llm.common import crc_of_id, prepare
+from loomery.llm.common import crc_of_id, give_back, prepare
 
 SAMPLE = 300
 LANGUAGES = 200
@@ -158,6 +158,7 @@ def predict_column(docs: DataFrame, model: KernelClassifier | None, text: Column
                 top, score = own.score([s.iloc[i] for i in known])
                 names[known], scores[known] = own.names[top], score
             yield pd.DataFrame({"lang_pred": names, "score": scores})
+        give_back()
 
     return predict(text)
 

@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomery.llm.common import cut, prepare
+from loomery.llm.common import cut, give_back, prepare
 from loomery.llm.words import mix, shingles, slices
 
 SIMILAR = 0.8
@@ -71,6 +71,7 @@ def frequencies(docs: DataFrame) -> tuple[int, np.ndarray]:
                 of, h, _ = shingles(texts[at:upto])
                 n += len(np.unique(of))
                 total += np.bincount(_cells(h), minlength=len(total))
+        give_back()
         salt = TaskContext.get().partitionId() % _SALTS
         if n:
             parts = [*np.split(total, _RANGES), np.array([n], np.int64)]
@@ -186,6 +187,7 @@ def _links(pairs: DataFrame, docs: DataFrame, weights_on) -> DataFrame:
                 sets = dict(zip(own, weighted_sets(own, weights_on.value), strict=True))
                 keep = [weighted_jaccard(sets[x], sets[y]) >= SIMILAR for x, y in zip(some["ta"], some["tb"], strict=True)]
                 yield some.loc[keep, ["a", "b"]]
+        give_back()
 
     return cut(both.select("a", "b", "ta", "tb").mapInPandas(similar, "a long, b long").distinct())
 
@@ -275,6 +277,7 @@ def classes(docs: DataFrame) -> DataFrame:
         sampler = WeightedSampler(weights_on.value)
         for s in batches:
             yield pd.Series(sampler.band_keys([t or "" for t in s]), dtype=object)
+        give_back()
 
     # a copy's buckets are its first's; where an id stands on several rows each text has its own
     signed = with_id.select(F.col("doc_id").alias("node"), keys("text").alias("keys")).join(_later(members), "node", "left_anti")

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomery.llm.common import prepare
+from loomery.llm.common import give_back, prepare
 
 KINDS = ("assign", "access", "hex", "random")
 # The patterns of the three base kinds, and the least length of what counts.
@@ -113,6 +113,8 @@ def scan_column(spark: SparkSession, text: Column, ranks: bytes | None = None) -
                 n = [sum(k == i for _, k, _ in every) for i in range(4)]
                 out.append((*n, hashlib.sha256(write_spans(base).encode()).hexdigest(), write_spans(every), redact(t, every) if every else None))
             yield pd.DataFrame(out, columns=["n_assign", "n_access", "n_hex", "n_random", "base_sha256", "spans", "redacted"])
+        del encoding
+        give_back(_ENCODINGS)
 
     return scan(text)
 

@@ -25,7 +25,7 @@ _POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse modulo 2^64, up to the nth."""
     if len(_POWERS[0]) <= n:
-        size = max(n + 1, 1 << 20)
+        size = max(n + 1, 1 << 19)
         for i, base in enumerate((int(_ODD), pow(int(_ODD), -1, 1 << 64))):
             p = np.full(size, base, np.uint64)
             p[0] = 1
