@@ -15,6 +15,8 @@ from loomery.llm import bpe, common, decontaminate, langid, minhash, secrets
 
 #: A document whose best language scores below this is rejected, as is one without letters.
 LEAST_LANGUAGE_SCORE = 0.2
+#: Workers are kept between stages, and what the last one held counts against the next run's first: so it holds little.
+CACHE_ENTRIES = 20_000
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,13 +40,13 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Every secret becomes [secret]; no document goes."""
     found = docs.withColumn("_loom_scan", secrets.scan_column(spark, F.col("text")))
     text = F.coalesce(F.col("_loom_scan.redacted"), F.col("text"))
-    size = {"n_chars": F.length(text).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {}
+    size = {"n_chars": F.when(F.col("_loom_scan.redacted").isNotNull(), F.length(text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))} if "n_chars" in docs.columns else {}
     return found.withColumns({"text": text} | size).select(docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of what is left, encoded and decoded."""
-    return bpe.token_digests(docs)
+    return bpe.token_digests(docs, cache_entries=CACHE_ENTRIES)
 
 
 STAGES = [
