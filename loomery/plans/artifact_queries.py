@@ -126,12 +126,9 @@ def b10(spark, sf_dir):
     return A.read(spark, path, "empty").agg(F.count(F.lit(1)).cast("int").alias("n"))
 
 
-_MATH = F.concat(F.lit("\\textbf{Deep} $\\alpha$ nets:"), C("category"), F.lit(" in \\mathbb{R}"))
-
-
 @q("c14_plain_math_title", f"{with_views(CORPUS)} SELECT id, 'Deep α nets: ' || category || ' in ℝ' AS value FROM corpus")
 def c14(spark, sf_dir):
-    return corpus(spark, sf_dir).select("id", L.plain_math_title(_MATH).alias("value"))
+    return corpus(spark, sf_dir).select("id", L.plain_math_title(F.concat(F.lit("\\textbf{Deep} $\\alpha$ nets:"), C("category"), F.lit(" in \\mathbb{R}"))).alias("value"))
 
 
 @q("c15_clean_abstract", f"{with_views(CORPUS)} SELECT id, 'We use x, $\\alpha_1$ and ' || category || '.' AS value FROM corpus")
