@@ -33,3 +33,12 @@ def test_names_are_those_of_the_inventory():
     names = list(catalog.runs())
     assert len(names) > 150
     assert all(n[0] in "abcdefghjklm" and "_" in n for n in names)
+
+
+def test_queries_can_be_listed_before_there_is_a_session():
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.abspath(entry.__file__))
+    code = "import __spark_entry__ as e; assert len(e.queries()) > 150 and len(e.oracle_sql()) > 150"
+    subprocess.run([sys.executable, "-c", code], cwd=root, check=True)
