@@ -24,10 +24,6 @@ poster record results that the their this through toward towards using via with
 WORD = "[a-z0-9][a-z0-9+\\-]+"
 
 
-def words_of(text: str) -> Column:
-    return F.array(*[F.lit(w) for w in text])
-
-
 def present(x: Column) -> Column:
     return F.coalesce(x, F.lit(""))
 

@@ -60,7 +60,6 @@ def a16(spark, sf_dir):
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).select("id", "type")
 
 
-_REVIEWED = "reviewed AS (SELECT DISTINCT ON (doc_id) 'doc-' || doc_id AS record_id, CASE WHEN quality = 1 THEN 'accepted' ELSE 'open' END AS review_status FROM labels ORDER BY doc_id)"
 
 
 def reviewed(spark, sf_dir):

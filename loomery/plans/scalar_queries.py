@@ -59,7 +59,6 @@ def sql_fnv(x: str) -> str:
 
 
 C = F.col
-LABELS = "CASE WHEN presentation_type = '' THEN [] ELSE [presentation_type] END"
 
 
 def labels() -> Column:

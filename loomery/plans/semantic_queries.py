@@ -11,7 +11,7 @@ from loomery.operators import neighbours as N
 from loomery.operators import postings as P
 from loomery.operators import summaries as S
 from loomery.operators import topics as O
-from loomery.operators.ranking import content_fingerprint, counted, numbered, top
+from loomery.operators.ranking import content_fingerprint, numbered, top
 from loomery.plans.registry import query as q
 from loomery.functions.text import APPLIED, INTRO
 from loomery.plans.scalar_queries import sql_bigrams, sql_fnv, sql_search, sql_tokens
@@ -135,7 +135,6 @@ def j5(spark, sf_dir):
     return K.cluster_ids(dense(spark, sf_dir))
 
 
-_BY_SOURCE = "m AS (SELECT ord AS id, dense_rank() OVER (ORDER BY category) AS cluster FROM corpus)"
 
 
 @q("g4_top_terms", f"{with_views(CORPUS, _VECS)}, m AS (SELECT ord AS id, area_tags[1] AS cluster FROM corpus), base AS (SELECT term, sum(w) / max(n) AS base FROM vecs, n GROUP BY 1), sz AS (SELECT cluster, count(*) AS size FROM m GROUP BY 1), own AS (SELECT cluster, term, sum(w) AS s FROM vecs JOIN m USING (id) GROUP BY 1, 2) SELECT cluster, term, round(s / size - 0.6 * base, 6) AS score, row_number() OVER (PARTITION BY cluster ORDER BY round(s / size - 0.6 * base, 6) DESC, term)::INTEGER AS rank FROM own JOIN sz USING (cluster) JOIN base USING (term) QUALIFY rank <= 5")
