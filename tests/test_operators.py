@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from loomery.operators import artifacts as A
 from loomery.operators import citations, cluster, contract, graph, neighbours, people, postings, ranking, summaries, topics
+from loomery.plans import catalog
 from loomery.plans.build import build
 
 WORDS = {"a": "language models decode tokens grammar text corpus", "b": "robot arms control grasp motion torque planning"}
@@ -65,6 +66,15 @@ def test_smoothing_and_levels(spark):
     assert cluster.label_of([], "Cluster 1") == "Cluster 1"
 
 
+def test_every_embedding_is_in_every_level(spark, tmp_path):
+    r = np.random.default_rng(3)
+    rows = [(i, [float(x) for x in r.normal(size=4)], 0) for i in range(60)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = catalog.runs()["j6_cluster_levels"](spark, str(tmp_path)).collect()
+    assert {r["k"] for r in got} == set(cluster.LEVELS)
+    assert sorted((r["k"], r["id"]) for r in got) == [(k, i) for k in cluster.LEVELS for i in range(60)]
+
+
 def test_topics_fit_no_worse_each_round(spark):
     c = small_records(spark, 40)
     rows, dims = cluster.pack(postings.topic_vectors(c), c.select("id", "ord"))
