@@ -3,7 +3,8 @@
 The efficiency test takes runs of key-like characters and counts the tokens that a byte-level vocabulary needs for
 them.  Text that the vocabulary was made from takes few tokens for its length; random strings take many, so a low ratio
 of characters to tokens exposes them.  Digests of known lengths, UUIDs, and what the fixed patterns hold already are
-set aside first.
+set aside first, and so are runs made of numbers and of words of text alone; the ratio decides on all others, whatever their
+letters and digits.
 
 Defined results: null is scanned as the empty text and has no spans; spans count code points, end exclusive; matches of
 one kind never overlap, those of different kinds may; repeated rows get equal results.
@@ -31,9 +32,10 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 #: Runs that the efficiency test looks at, and the characters a token below which a run counts as random.
 RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 CHARS_PER_TOKEN = 2.0
-DIGEST = re.compile(r"(?i:[0-9a-f]+)")
+DIGEST = re.compile("|".join(rf"(?i:[0-9a-f]{{{n}}})" for n in (32, 40, 56, 64, 96, 128)))
 UUID = re.compile(r"(?i:[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12})")
-_DIGIT, _UPPER, _LOWER = re.compile("[0-9]"), re.compile("[A-Z]"), re.compile("[a-z]")
+#: What no ratio makes random by itself: numbers, and words that take as few tokens as text does.
+_PART, _NUMBER, _WORD = re.compile("[A-Za-z0-9]+"), re.compile("[0-9]+"), re.compile("[A-Z]?[a-z]+|[A-Z]+")
 
 
 def load_ranks(path: str | None = None) -> bytes:
@@ -63,16 +65,27 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
+def _ratio(s: str, encoding) -> float:
+    return len(s) / max(1, len(encoding.encode_ordinary(s)))
+
+
+def _plain(part: str, encoding, least: float) -> bool:
+    """Whether a part between separators is a number or a word of text."""
+    return bool(_NUMBER.fullmatch(part)) or bool(_WORD.fullmatch(part)) and _ratio(part, encoding) >= least
+
+
+def _random(s: str, encoding, least: float) -> bool:
+    return not DIGEST.fullmatch(s) and _ratio(s, encoding) < least and not all(_plain(p, encoding, least) for p in _PART.findall(s))
+
+
 def random_spans(text: str, base: list[tuple[int, int, int]], encoding, least: float = CHARS_PER_TOKEN) -> list[tuple[int, int, int]]:
     """Spans of random strings outside the base spans."""
     found = []
     for m in RUN.finditer(text):
         run = m[0]
-        if not _DIGIT.search(run) or not (_UPPER.search(run) and _LOWER.search(run)) or DIGEST.fullmatch(run) or UUID.search(run):
-            continue
-        if any(s < m.end() and m.start() < e for s, _, e in base):
+        if UUID.search(run) or any(s < m.end() and m.start() < e for s, _, e in base):
             continue
-        if len(run) / max(1, len(encoding.encode_ordinary(run))) < least:
+        if _random(run, encoding, least):
             found.append((m.start(), 3, m.end()))
     return found
 

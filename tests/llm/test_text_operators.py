@@ -92,6 +92,18 @@ def test_random_strings_are_found_and_digests_set_aside():
     assert secrets.redact("abcdef", [(1, 0, 3), (2, 1, 4)], "*") == "a*ef"
 
 
+def test_random_strings_of_any_letters_and_digits_are_found():
+    encoding = secrets.make_encoding(secrets.load_ranks())
+    r = random.Random(5)
+    lower, upper, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    for letters in (lower + digits, upper + "234567", lower + upper, lower + upper + digits, upper):
+        keys = ["".join(r.choice(letters) for _ in range(28)) for _ in range(200)]
+        found = sum(secrets.random_spans(f"see {k} end", [], encoding) == [(4, 3, 32)] for k in keys)
+        assert found >= 195, letters
+    for plain in ("internationalization/of/words", "2024-01-02-03-04-05-06-07", "backup-2024-01-02-03-04-05", "A" * 32, "0123456789ABCDEF" * 4, "=" * 40):
+        assert secrets.random_spans(f"see {plain} end", [], encoding) == []
+
+
 def test_scan_of_odd_rows(spark):
     rows = secrets.scan_secrets(odd(spark)).collect()
     assert len(rows) == len(ODD) and all(r["spans"] == "" and r["redacted"] is None for r in rows)
