@@ -4,7 +4,8 @@ The efficiency test takes runs of key-like characters and counts the tokens that
 them.  Text that the vocabulary was made from takes few tokens for its length; random strings take many, so a low ratio
 of characters to tokens exposes them.  Digests of known lengths, UUIDs, and what the fixed patterns hold already are
 set aside first, and so are runs made of numbers and of words of text alone; the ratio decides on all others, whatever their
-letters and digits.
+letters and digits.  A run that isn't random as a whole is looked at again in windows of its tokens, so a readable prefix hides
+nothing; UUIDs, and the parts between separators that a fixed pattern touches, are cut out of a run and the rest is tested.
 
 Defined results: null is scanned as the empty text and has no spans; spans count code points, end exclusive; matches of
 one kind never overlap, those of different kinds may; repeated rows get equal results.
@@ -30,11 +31,13 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 ACCESS_LEAST = 20
 HEX = re.compile(r"[0-9a-f]{24,}")
 #: Runs that the efficiency test looks at, and the characters a token below which a run counts as random.
-RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+LEAST = 20
+RUN = re.compile(rf"[A-Za-z0-9+/_=-]{{{LEAST},}}")
 CHARS_PER_TOKEN = 2.0
 DIGEST = re.compile("|".join(rf"(?i:[0-9a-f]{{{n}}})" for n in (32, 40, 56, 64, 96, 128)))
 UUID = re.compile(r"(?i:[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12})")
 #: What no ratio makes random by itself: numbers, and words that take as few tokens as text does.
+_SEPARATORS = "+/_=-"
 _PART, _NUMBER, _WORD = re.compile("[A-Za-z0-9]+"), re.compile("[0-9]+"), re.compile("[A-Z]?[a-z]+|[A-Z]+")
 
 
@@ -75,18 +78,78 @@ def _plain(part: str, encoding, least: float) -> bool:
 
 
 def _random(s: str, encoding, least: float) -> bool:
-    return not DIGEST.fullmatch(s) and _ratio(s, encoding) < least and not all(_plain(p, encoding, least) for p in _PART.findall(s))
+    if DIGEST.fullmatch(s) or _ratio(s, encoding) >= least:
+        return False
+    parts = _PART.findall(s)
+    return 2 * sum(len(p) for p in parts if not _plain(p, encoding, least)) >= sum(map(len, parts)) > 0
+
+
+def _pieces(run: re.Match, base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """The run without its UUIDs and without the parts that base spans touch."""
+    text, first, last = run.string, run.start(), run.end()
+    cuts = [(m.start(), m.end()) for m in UUID.finditer(text, first, last)]
+    touched = [(max(s, first), min(e, last)) for s, _, e in base if s < last and first < e]
+    for p in _PART.finditer(text, first, last) if touched else ():
+        if any(s < p.end() and p.start() < e for s, e in touched):
+            cuts.append(p.span())
+    out, at = [], first
+    for s, e in [*sorted(cuts + touched), (last, last)]:
+        if s > at:
+            start = at if at == first else at + len(text[at:s]) - len(text[at:s].lstrip(_SEPARATORS))
+            if s - start >= LEAST:
+                out.append((start, s))
+        at = max(at, e)
+    return out
+
+
+def _windows(text: str, start: int, end: int, encoding, least: float) -> list[tuple[int, int]]:
+    """Stretches of text[start:end] whose tokens, taken together LEAST characters or just more at a time, are random.
+
+    A stretch ends where a part does; words of text at its ends are left out.
+    """
+    sizes = [len(x) for x in encoding.decode_tokens_bytes(encoding.encode_ordinary(text[start:end]))]
+    found: list[list[int]] = []
+    to, size, at = 0, 0, start
+    for i, own in enumerate(sizes):
+        while to < len(sizes) and size < LEAST:
+            size += sizes[to]
+            to += 1
+        if size < LEAST:
+            break
+        if size < least * (to - i):
+            if found and at <= found[-1][1]:
+                found[-1][1] = at + size
+            else:
+                found.append([at, at + size])
+        at, size = at + own, size - own
+    parts = [p.span() for p in _PART.finditer(text, start, end)] if found else []
+    out = []
+    for s, e in found:
+        own = [p for p in parts if p[0] < e and s < p[1]]
+        word = lambda p: p[1] - p[0] >= 4 and bool(_WORD.fullmatch(text[p[0] : p[1]])) and _plain(text[p[0] : p[1]], encoding, least)
+        inner = list(own)
+        while inner and word(inner[0]):
+            inner.pop(0)
+        while inner and word(inner[-1]):
+            inner.pop()
+        for some in (inner, own):
+            if some and some[-1][1] - some[0][0] >= LEAST and _random(text[some[0][0] : some[-1][1]], encoding, least):
+                out.append((some[0][0], some[-1][1]))
+                break
+    return out
 
 
 def random_spans(text: str, base: list[tuple[int, int, int]], encoding, least: float = CHARS_PER_TOKEN) -> list[tuple[int, int, int]]:
     """Spans of random strings outside the base spans."""
     found = []
     for m in RUN.finditer(text):
-        run = m[0]
-        if UUID.search(run) or any(s < m.end() and m.start() < e for s, _, e in base):
-            continue
-        if _random(run, encoding, least):
-            found.append((m.start(), 3, m.end()))
+        for s, e in _pieces(m, base):
+            spans = [(s, e)] if _random(text[s:e], encoding, least) else _windows(text, s, e, encoding, least)
+            for a, b in spans:
+                if found and a < found[-1][2]:
+                    found[-1] = (found[-1][0], 3, max(b, found[-1][2]))
+                else:
+                    found.append((a, 3, b))
     return found
 
 

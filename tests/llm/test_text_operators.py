@@ -104,6 +104,21 @@ def test_random_strings_of_any_letters_and_digits_are_found():
         assert secrets.random_spans(f"see {plain} end", [], encoding) == []
 
 
+def test_random_strings_behind_readable_text_are_found():
+    encoding = secrets.make_encoding(secrets.load_ranks())
+    r = random.Random(6)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    hex_, uuid = "0123456789abcdef" * 2, "123e4567-e89b-12d3-a456-426614174000"
+    for prefix in ("production/database/connection/", "my-company-production-deployment-", "db_production_key=", f"{uuid}/", f"{hex_}/"):
+        found = 0
+        for _ in range(200):
+            text = f"see {prefix}{''.join(r.choice(letters) for _ in range(24))} end"
+            found += any(s <= 4 + len(prefix) and e == len(text) - 4 for s, _, e in secrets.random_spans(text, secrets.base_spans(text), encoding))
+        assert found >= 195, prefix
+    for plain in ("production/database/connection/settings/default", f"{uuid}/production/database/connection", "x86-backup-2024-01-02-03-04-05"):
+        assert secrets.random_spans(f"see {plain} end", [], encoding) == []
+
+
 def test_scan_of_odd_rows(spark):
     rows = secrets.scan_secrets(odd(spark)).collect()
     assert len(rows) == len(ODD) and all(r["spans"] == "" and r["redacted"] is None for r in rows)
