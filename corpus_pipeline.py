@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from loomery.llm import bpe, common, decontaminate, langid, minhash, secrets
 
-#: A document whose best language scores below this is rejected, as is one without letters.
+#: A document whose best language scores below this is rejected, as is one without letters or in none of the languages.
 LEAST_LANGUAGE_SCORE = 0.2
 #: Workers are kept between stages, and what the last one held counts against the next run's first: so it holds little.
 CACHE_ENTRIES = 20_000
@@ -22,7 +22,7 @@ CACHE_ENTRIES = 20_000
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told: learned from the rows of docs that state theirs."""
     told = langid.identify(docs)
-    kept = told.where((F.col("_loom_lang.lang_pred") != "und") & (F.col("_loom_lang.score") >= LEAST_LANGUAGE_SCORE))
+    kept = told.where((F.col("_loom_lang.lang_pred") != "und") & F.col("_loom_lang.known") & (F.col("_loom_lang.score") >= LEAST_LANGUAGE_SCORE))
     return kept.select(docs.columns)
 
 

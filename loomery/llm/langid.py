@@ -5,6 +5,10 @@ spaces; presence counts, not frequency, so a long text weighs no more than a sho
 cosine of their presence vectors.  Nystrom landmarks from the labelled rows give each text coordinates, one-versus-rest
 ridge regression on them gives a score for each language, and scoring is two matrix products a batch.
 
+The score tells languages apart, not whether a text is in any of them.  That is told by its mass: the share of a language's
+rows that hold an n-gram, averaged over the text's n-grams, for the language where it is largest.  Learned rows, each left
+out of its own language's shares, give the least mass by size; a text below it is not known.
+
 The sample of labelled rows is bounded by SAMPLE rows a language (and LANGUAGES languages, the most frequent first);
 rows are chosen by a seeded hash.  Everything else covers all rows and whole texts.
 
@@ -30,6 +34,8 @@ LANDMARKS = 96
 BITS = 14
 RIDGE = 1e-2
 SEED = 7
+#: A text is foreign if its mass is below this share of what nearly all learned rows of its size have.
+MASS_SHARE, MASS_QUANTILE = 0.65, 0.01
 _LETTER = re.compile(r"[^\W\d_]")
 _KEEP = np.full(256, 32, np.uint8)
 _KEEP[97:123] = np.arange(97, 123)
@@ -93,6 +99,35 @@ class KernelClassifier:
         weight = 1.0 / np.bincount(index, minlength=len(names))[index][:, None]
         ridged = own.T @ (own * weight) + ridge * np.eye(own.shape[1]) / own.shape[1]
         self.weights = (root @ np.linalg.solve(ridged, own.T @ (target * weight))).astype(np.float32)
+        counts = np.stack([flags[index == i].sum(axis=0) for i in range(len(names))])
+        rows = np.bincount(index, minlength=len(names))
+        self.shares = (counts / rows[:, None]).T.astype(np.float32)
+        sizes = flags.sum(axis=1)
+        masses = self._masses(flags)
+        at = np.arange(len(index))
+        among = masses[at, index] * sizes  # the row itself holds all of its n-grams
+        masses[at, index] = np.where(rows[index] > 1, (among * rows[index] - sizes) / np.maximum(1, rows[index] - 1) / np.maximum(1, sizes), 0.0)
+        self.largest, self.least = int(sizes.max()), self._least(sizes, masses.max(axis=1))
+
+    def _masses(self, flags: np.ndarray) -> np.ndarray:
+        return (flags.astype(np.float32) @ self.shares).astype(np.float64) / np.maximum(1, flags.sum(axis=1, keepdims=True))
+
+    @staticmethod
+    def _least(sizes: np.ndarray, masses: np.ndarray) -> np.ndarray:
+        """The least mass for each power of two of a text's size: of those without rows, that of the next larger; never rising."""
+        power = np.log2(np.maximum(1, sizes)).astype(int)
+        out = np.full(BITS + 1, np.inf)
+        for b in np.unique(power):
+            out[b] = MASS_SHARE * np.quantile(masses[power == b], MASS_QUANTILE)
+        for b in range(power.max() - 1, -1, -1):
+            out[b] = out[b] if out[b] < np.inf else out[b + 1]
+        return np.minimum.accumulate(out)
+
+    def known(self, flags: np.ndarray) -> np.ndarray:
+        """Whether each text is in one of the languages; a text larger than any that was learned may thin its mass out."""
+        sizes = np.maximum(1, flags.sum(axis=1))
+        least = self.least[np.log2(sizes).astype(int)] * np.sqrt(np.minimum(1.0, self.largest / sizes))
+        return self._masses(flags).max(axis=1) >= least
 
     @staticmethod
     def _unit(flags: np.ndarray) -> np.ndarray:
@@ -101,19 +136,25 @@ class KernelClassifier:
 
     def score(self, texts: list[str], batch: int = 64) -> tuple[np.ndarray, np.ndarray]:
         """Best language and its score from 0 to 1 for each text."""
-        best, scores = [], []
+        return self.judge(texts, batch)[:2]
+
+    def judge(self, texts: list[str], batch: int = 64) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Best language, its score from 0 to 1, and whether the text is in any of the languages."""
+        best, scores, known = [], [], []
         at = 0
         while at < len(texts):
             upto, size = at, 0
             while upto < len(texts) and upto - at < batch and (size < 2_000_000 or upto == at):
                 size += len(texts[upto])
                 upto += 1
-            f = (self._unit(presence(texts[at:upto])) @ self.marks.T) @ self.weights
+            flags = presence(texts[at:upto])
+            f = (self._unit(flags) @ self.marks.T) @ self.weights
             top = f.argmax(axis=1)
             best.append(top)
             scores.append(np.clip((1.0 + f[np.arange(len(top)), top]) / 2.0, 0.0, 1.0))
+            known.append(self.known(flags))
             at = upto
-        return (np.concatenate(best), np.concatenate(scores)) if best else (np.zeros(0, int), np.zeros(0))
+        return (np.concatenate(best), np.concatenate(scores), np.concatenate(known)) if best else (np.zeros(0, int), np.zeros(0), np.zeros(0, bool))
 
 
 def fit(docs: DataFrame, learn: Column | None = None, sample: int = SAMPLE) -> KernelClassifier | None:
@@ -145,26 +186,26 @@ def fit(docs: DataFrame, learn: Column | None = None, sample: int = SAMPLE) -> K
 
 
 def predict_column(docs: DataFrame, model: KernelClassifier | None, text: Column) -> Column:
-    """struct(lang_pred, score) of a string column."""
+    """struct(lang_pred, score, known) of a string column."""
     on = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("lang_pred string, score double")
+    @F.pandas_udf("lang_pred string, score double, known boolean")
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         own = on.value
         for s in batches:
-            names, scores = np.full(len(s), "und", dtype=object), np.zeros(len(s))
+            names, scores, inside = np.full(len(s), "und", dtype=object), np.zeros(len(s)), np.zeros(len(s), bool)
             known = [i for i, t in enumerate(s) if own is not None and t is not None and _LETTER.search(t)]
             if known:
-                top, score = own.score([s.iloc[i] for i in known])
+                top, score, inside[known] = own.judge([s.iloc[i] for i in known])
                 names[known], scores[known] = own.names[top], score
-            yield pd.DataFrame({"lang_pred": names, "score": scores})
+            yield pd.DataFrame({"lang_pred": names, "score": scores, "known": inside})
         give_back()
 
     return predict(text)
 
 
 def identify(docs: DataFrame, learn: Column | None = None) -> DataFrame:
-    """docs with a column `_loom_lang`, struct(lang_pred, score); learned from docs itself."""
+    """docs with a column `_loom_lang`, struct(lang_pred, score, known); learned from docs itself."""
     model = fit(docs, learn)
     return docs.withColumn("_loom_lang", predict_column(docs, model, F.col("text")))
 

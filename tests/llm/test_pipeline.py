@@ -64,3 +64,15 @@ def test_empty_input(spark, folder):
     docs = spark.read.parquet(f"{path}/documents.parquet").limit(0)
     for _, stage in P.STAGES:
         assert stage(spark, docs, path).count() == 0
+
+
+def test_foreign_text_and_gibberish_go(spark, tmp_path):
+    r = random.Random(2)
+    clean = spark.createDataFrame([(i, " ".join(r.choice(LANGS[lang].split()) for _ in range(30 + 5 * i)), lang, "s", 1) for i in range(40) for lang in [list(LANGS)[i % 2]]], SCHEMA)
+    finnish = "kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan heille on annettu järki omatunto toimittava toisiaan kohtaan".split()
+    russian = "все люди рождаются свободными и равными в своем достоинстве".split()
+    texts = [" ".join(r.choice(words) for _ in range(120)) for words in (finnish, russian)]
+    texts += [" ".join("".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(n)) for n in (30, 120, 900)]
+    foreign = spark.createDataFrame([(200 + i, t, None, "s", 1) for i, t in enumerate(texts)], SCHEMA)
+    kept = P.keep_known_languages(spark, clean.unionByName(foreign), str(tmp_path))
+    assert {row["doc_id"] for row in kept.collect()} == set(range(40))
