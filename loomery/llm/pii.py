@@ -9,7 +9,8 @@ A Feistel network over two number ranges a and b adds to each half, in turn, a k
 That is one-to-one on a * b whatever the ranges, so each format needs only a split into two:
 
   card   the digits but the last, which is the Luhn digit and worked out anew
-  iban   the digits behind the country and check digits, which are worked out anew (modulo 97)
+  iban   the digits, and the letters, behind the country and check digits, each within their kind; the check digits are
+         worked out anew (modulo 97, letters counting 10 to 35)
   ssn    898 areas by 99 * 9999 numbers, the ones that are ever given out
   phone  the digits behind a country code
   date   the 146097 = 189 * 773 days of 1700 to 2099, in year-month-day, day-month-year or month-day-year order
@@ -33,13 +34,20 @@ ROUNDS = 8
 KINDS = ("email", "date", "ip", "ssn", "iban", "card", "phone")
 _OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 _DAY, _MONTH, _YEAR = "(?:0[1-9]|[12][0-9]|3[01])", "(?:0[1-9]|1[0-2])", "(?:1[789]|20)[0-9]{2}"
+# The lengths of account numbers by country; those of other countries are looked for with digits only.
+_IBANS = {
+    15: "NO", 16: "BE", 18: "DK|FI|FK|FO|GL|NL|SD", 19: "MK|SI", 20: "AT|BA|EE|KZ|LT|LU|MN|XK", 21: "CH|HR|LI|LV", 22: "BG|BH|CR|DE|GB|GE|IE|ME|RS|VA",
+    23: "AE|GI|IL|IQ|OM|SO|TL", 24: "AD|CZ|ES|MD|PK|RO|SA|SE|SK|TN|VG", 25: "LY|PT|ST", 26: "IS|TR", 27: "BI|DJ|FR|GR|IT|MC|MR|SM",
+    28: "AL|AZ|BY|CY|DO|GT|HN|HU|LB|NI|PL|SV", 29: "BR|EG|PS|QA|UA", 30: "JO|KW|MU|YE", 31: "MT|SC", 32: "LC", 33: "RU",
+}
+_IBAN = "|".join(rf"(?:{c})[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{{n // 4 - 1}}}" + (rf" ?[A-Z0-9]{{{n % 4}}}" if n % 4 else "") + "(?![A-Za-z0-9])" for n, c in _IBANS.items())
 # What each kind looks like.  Runs are bounded and don't start inside a run, so no text takes long to scan.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9])",
     "date": rf"(?<![0-9]){_YEAR}([-/.]){_MONTH}\1{_DAY}(?![0-9])|(?<![0-9])[0-3][0-9]([-/.])[0-3][0-9]\2{_YEAR}(?![0-9])",
     "ip": rf"(?<![0-9.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\.?[0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[0-9]{4}){2,6}(?: ?[0-9]{1,4})?(?![A-Za-z0-9])",
+    "iban": rf"(?<![A-Za-z0-9])(?=[A-Z]{{2}}[0-9]{{2}})(?:{_IBAN}|[A-Z]{{2}}[0-9]{{2}}(?: ?[0-9]{{4}}){{2,6}}(?: ?[0-9]{{1,4}})?(?![A-Za-z0-9]))",
     "card": r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])",
     "phone": r"(?<![0-9+])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})(?:[ .-]?[0-9]{2,4}){2,4}|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4})(?![0-9])",
 }
@@ -115,9 +123,9 @@ def _mod97(digits: Column) -> Column:
     return F.aggregate(F.split(digits, ""), F.lit(0), lambda a, c: (a * 10 + c.cast("int")) % 97)
 
 
-def _country(m: Column) -> Column:
-    """The four digits that stand for an IBAN's two letters."""
-    return F.concat((F.ascii(F.substring(m, 1, 1)) - 55).cast("string"), (F.ascii(F.substring(m, 2, 1)) - 55).cast("string"))
+def _numbers(x: Column) -> Column:
+    """Digits as they are and letters A to Z as 10 to 35."""
+    return F.array_join(F.transform(F.split(x, ""), lambda c: F.when(c.rlike("[A-Z]"), (F.ascii(c) - 55).cast("string")).otherwise(c)), "")
 
 
 def _date(m: Column) -> Column:
@@ -138,7 +146,8 @@ def kind_of(m: Column) -> Column:
     whole = lambda k: m.rlike(f"^(?:{PATTERNS[k]})$")
     ssn = whole("ssn") & ~m.rlike("^(?:000|666|9)|-00-|-0000$")
     card = whole("card") & (_luhn(d, 0) % 10 == 0)
-    iban = whole("iban") & F.length(d).between(14, 30) & (_mod97(F.concat(F.substring(d, 3, 30), _country(m), F.substring(d, 1, 2))) == 1)
+    x = F.replace(m, F.lit(" "), F.lit(""))
+    iban = whole("iban") & F.length(x).between(15, 34) & (_mod97(_numbers(F.concat(F.substring(x, 5, 30), F.substring(x, 1, 4)))) == 1)
     return F.when(whole("email"), "email").when(whole("date") & _date(m)["day"].isNotNull(), "date").when(whole("ip"), "ip").when(ssn, "ssn").when(iban, "iban").when(card, "card").when(whole("phone"), "phone")
 
 
@@ -150,13 +159,35 @@ def _card(m: Column, key: str) -> Column:
     return _let(_digits(m), swap)
 
 
+def _letters(x: Column, key: str, *more: Column) -> Column:
+    """A string of letters A to Z, permuted 12 at a time among those of its length."""
+
+    def swap(piece: Column, i: Column) -> Column:
+        n = F.length(piece)
+        half = F.floor(n / 2).cast("int")
+        number = lambda s: F.aggregate(F.split(s, ""), F.lit(0).cast("long"), lambda a, c: a * 26 + F.when(c == "", 0).otherwise(F.ascii(c) - 65))
+        power = lambda k: F.element_at(F.array(*[F.lit(26**j) for j in range(7)]), k + 1)
+        text = lambda v, k: F.array_join(F.transform(F.slice(F.array(*[F.lit(j) for j in range(5, -1, -1)]), 7 - k, k), lambda j: F.char(F.floor(v / power(j)) % 26 + 65)), "")
+        left, right = F.substring(piece, F.lit(1), half), F.substring(piece, half + 1, n - half)
+        mixed = _feistel(number(left), number(right), power(half), power(n - half), F.lit(key), F.lit("iban letters"), n, i, *more)
+        return _let(mixed, lambda s: F.concat(F.when(half > 0, text(s["l"], F.greatest(half, F.lit(1)))).otherwise(""), text(s["r"], n - half)))
+
+    pieces = F.transform(F.sequence(F.lit(0), F.floor((F.length(x) - 1) / 12).cast("int")), lambda i: swap(F.substring(x, i * 12 + 1, F.lit(12)), i))
+    return F.when(x == "", x).otherwise(F.array_join(pieces, ""))
+
+
 def _iban(m: Column, key: str) -> Column:
+    land, tail = F.substring(m, 1, 2), F.substring(m, F.lit(5), F.length(m))
+
     def swap(d: Column) -> Column:
-        body = _permute_string(F.substring(d, F.lit(3), F.length(d) - 2), 10, "iban", key, F.substring(m, 1, 2))
-        check = lambda x: F.lpad((98 - _mod97(F.concat(x, _country(m), F.lit("00")))).cast("string"), 2, "0")
-        return _refill(m, _let(body, lambda x: F.concat(check(x), x)))
+        digits = F.when(d == "", d).otherwise(_permute_string(d, 10, "iban", key, land))
+        return _refill(_refill(tail, digits), _letters(F.regexp_replace(tail, "[^A-Z]", ""), key, land), "[A-Z]")
 
-    return _let(_digits(m), swap)
+    def write(x: Column) -> Column:
+        left = _mod97(_numbers(F.concat(F.replace(x, F.lit(" "), F.lit("")), land, F.lit("00"))))
+        return F.concat(land, F.lpad((98 - left).cast("string"), 2, "0"), x)
+
+    return _let(_let(_digits(tail), swap), write)
 
 
 def _ssn(m: Column, key: str) -> Column:

@@ -331,6 +331,21 @@ def test_dates_addresses_phones_and_numbers_of_people(spark):
     assert len(x) == 22 and int(x[4:] + "1314" + x[2:4]) % 97 == 1 and iban != "DE89 3704 0044 0532 0130 00 y"
 
 
+def test_account_numbers_with_letters(spark):
+    ibans = ["GB82 WEST 1234 5698 7654 32", "NL91ABNA0417164300", "FR14 2004 1010 0505 0001 3M02 606", "MT84MALT011000012345MTLCAST001S", "DE89 3704 0044 0532 0130 00"]
+    number = lambda x: int("".join(str(int(c, 36)) for c in x[4:] + x[:4])) % 97
+    got = swap(spark, *[f"pay {x}, now" for x in ibans], "pay GB82WEST12345698765432, now", "pay GB83 WEST 1234 5698 7654 32, now", "BE68 5390 0754 7034 THEN", "FR76 CARD 4111 1111 1111 1111")
+    for old, new in zip(ibans, got):
+        value = re.fullmatch(r"pay (.*), now", new)[1]
+        kinds = lambda x: re.sub("[0-9]", "0", re.sub("[A-Z]", "A", x))
+        assert kinds(value) == kinds(old) and value[:2] == old[:2] and value[4:] != old[4:] and number(value.replace(" ", "")) == 1
+        assert re.sub("[^A-Z]", "", value[4:]) != re.sub("[^A-Z]", "", old[4:]) or not re.search("[A-Z]", old[4:])
+    assert got[5] == got[0].replace(" ", "").replace("pay", "pay ").replace(",now", ", now")
+    assert got[6] == "pay GB83 WEST 1234 5698 7654 32, now"
+    assert got[7].endswith(" THEN") and got[7] != "BE68 5390 0754 7034 THEN" and number(got[7][:-5].replace(" ", "")) == 1
+    assert got[8].startswith("FR76 CARD ") and luhn(re.sub("[^0-9]", "", got[8][10:])) and "4111 1111" not in got[8]
+
+
 def test_different_values_stay_different(spark):
     days = [f"{y}-{m:02d}-01" for y in range(1950, 2000) for m in range(1, 13)]
     swapped = swap(spark, " ".join(days))[0].split()
