@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomery.functions import text as T
@@ -173,10 +176,21 @@ def j9a(spark, sf_dir):
     return P.topic_vectors(records(spark, sf_dir)).select("id", "term", F.round("w", 6).alias("w"))
 
 
-def _topics(spark, sf_dir, k=8, rounds=6):
-    c = records(spark, sf_dir)
+def _primary(spark, sf_dir):
+    """id, cluster of the primary level, made as the build does."""
+    c, vecs = records(spark, sf_dir), G.cut(vectors(spark, sf_dir))
+    rows, dims = K.pack(vecs, c.select("id", "ord"))
+    made = K.levels(G.cut(rows), max(1, dims), c.count(), G.cut(N.nearest(vecs)))
+    parts = [own.groupBy("cluster").agg(F.count(F.lit(1)).alias("size")).select(F.lit(k).alias("k"), "cluster", "size") for k, own in made.items()]
+    return made[K.primary_level(functools.reduce(DataFrame.unionAll, parts)).first()["k"]]
+
+
+def _topics(spark, sf_dir):
+    """As many topics as the build asks for, begun from the clusters of the primary level."""
+    c, start = records(spark, sf_dir), _primary(spark, sf_dir)
     rows, dims = K.pack(G.cut(P.topic_vectors(c)), c.select("id", "ord"))
-    return O.factorise(G.cut(rows), dims, k, rounds)
+    k = max(O.TOPICS, start.select("cluster").distinct().count())
+    return O.factorise(G.cut(rows), dims, k, start=start)
 
 
 @q("j9_nmf_topics")

@@ -87,6 +87,20 @@ def test_topics_fit_no_worse_each_round(spark):
     assert [t["component"] for t in named] == [1, 0] and named[0]["id"] == "topic-1"
 
 
+def test_topic_queries_ask_for_the_builds_topics(spark, tmp_path, monkeypatch):
+    rows = [(i, " ".join(WORDS["ab"[i % 2]].split()[j] for j in range(7) if j != i % 7), "en", "s", 1) for i in range(8)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    seen, own = [], topics.factorise
+
+    def factorise(packed, dims, k, rounds=topics.ROUNDS, seed=42, start=None):
+        seen.append((k, rounds, start is not None and start.count()))
+        return own(packed, dims, k, 2, seed, start)
+
+    monkeypatch.setattr(topics, "factorise", factorise)
+    assert catalog.runs()["j10_topic_labels"](spark, str(tmp_path)).count() == 8
+    assert seen == [(40, 30, 8)]
+
+
 def test_components_join_everything_connected(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(20)] + [(100, 101)], "a long, b long")
     got = {r["node"]: r["label"] for r in graph.components(edges).collect()}
