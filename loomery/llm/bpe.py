@@ -1,11 +1,15 @@
 """BPE encoding and decoding with a published tokenizer file.
 
-White space always separates what the tokenizer merges, so a text's ids are those of its pieces between white space in
-turn, and each distinct piece is encoded once.  A piece may still be long: text without spaces, base64, one repeated
-character.  Such unsplit text is encoded by tree concatenation: it is cut into leaves that are encoded in parallel, and
-neighbours are joined level by level.  At each join a window around it is encoded anew and grown until its outer tokens
-are the ones that both sides already had; every pair of neighbouring tokens is then one that BPE itself produces, and
-so the joined list is exactly what encoding the whole would give.
+A text above LEAF_CHARS characters is encoded by tree concatenation.  It is cut into leaves of that many characters,
+wherever the cuts fall, in words too.  The leaves are encoded by themselves, all those of a batch of texts together, and
+neighbours are joined level by level.  At each join a window around it is encoded anew, and grown until its outermost pieces
+have the ids that both sides had already.  Pieces are what stands between white space, which always separates what the
+tokenizer merges; so what lies beyond agreed pieces can't change, and the joined list is exactly what encoding the whole
+would give.  Distinct pieces are encoded once and kept in a table of bounded size.
+
+A single piece may be long too: text without spaces, base64, one repeated character.  Above SPLIT_ABOVE characters it isn't
+encoded by joins of texts but by a tree of its own over tokens: windows grow until their outer tokens are those that both
+sides had; every pair of neighbouring tokens is then one that BPE itself produces.
 
 Defined results: null is encoded as the empty text; empty text has no tokens and decodes to the empty text; strings of
 special tokens in a text become those tokens, as the library does by default; repeated rows get equal results.
@@ -30,15 +34,16 @@ from loomery.llm.common import give_back, prepare
 if TYPE_CHECKING:
     from tokenizers import Tokenizer
 
-#: Pieces longer than this many characters are joined from leaves.
-SPLIT_ABOVE = 2048
+#: Characters of a leaf, of texts and of long pieces alike; pieces above SPLIT_ABOVE have a tree of their own.
 LEAF_CHARS = 512
+SPLIT_ABOVE = 2048
 #: Pieces, and words, in the newer of two generations that a worker keeps; when it is full, the older one goes.
 CACHE_ENTRIES = 150_000
 #: Pieces in a call of the library, and texts whose pieces are held at once: what is held is small and of one size.
 CALL, TEXTS = 5_000, 200
 #: str.split() parts at these too, but the tokenizer takes them for ordinary symbols.
 _NOT_SPACE = re.compile("[\x1c-\x1f]")
+_SPACES = re.compile("[^\\S\x1c-\x1f]+")
 #: Letters whose lower case is one letter that composes with nothing: ASCII and Latin-1.
 _LATIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
 
@@ -49,20 +54,46 @@ class Generations:
     def __init__(self, size: int):
         self.size, self.newer, self.older = size, {}, {}
 
-    def missing(self, keys: set[str]) -> list[str]:
-        """The keys that neither generation has; those of the older one move to the newer."""
+    def turn(self) -> None:
+        """To be called between batches: a full newer generation becomes the older one."""
         if len(self.newer) > self.size:
             self.newer, self.older = {}, self.newer
+
+    def missing(self, keys: set[str]) -> list[str]:
+        """The keys that neither generation has; those of the older one move to the newer."""
         out = []
-        for k in keys - self.newer.keys():
-            v = self.older.get(k)
-            if v is None:
-                out.append(k)
-            else:
-                self.newer[k] = v
+        for k in keys:
+            if k not in self.newer:
+                v = self.older.get(k)
+                if v is None:
+                    out.append(k)
+                else:
+                    self.newer[k] = v
         return out
 
 
+class _Node:
+    """A stretch of a text: its pieces, and whether white space stands at its head and at its tail."""
+
+    __slots__ = ("head", "pieces", "tail")
+
+    def __init__(self, pieces: list[str], head: bool, tail: bool):
+        self.pieces, self.head, self.tail = pieces, head, tail
+
+    @classmethod
+    def leaf(cls, text: str) -> _Node:
+        if _NOT_SPACE.search(text):
+            return cls([p for p in _SPACES.split(text) if p], bool(_SPACES.match(text)), bool(_SPACES.match(text[-1])))
+        return cls(text.split(), text[0].isspace(), text[-1].isspace())
+
+    def window(self, right: _Node, reach: int) -> list[str]:
+        """The pieces, parted anew, of the last `reach` pieces here and the first ones there."""
+        a, b = self.pieces[-reach:], right.pieces[:reach]
+        if self.tail or right.head or not a or not b:
+            return a + b
+        return [*a[:-1], a[-1] + b[0], *b[1:]]
+
+
 class TreeBpe:
     """Encodes and decodes with the tokenizer described by spec (the text of its JSON file)."""
 
@@ -182,20 +213,60 @@ class TreeBpe:
 
     def encode_batch(self, texts: Sequence[str]) -> list[np.ndarray]:
         """Ids of each text as unsigned 32-bit integers."""
+        return [ids for ids, _ in self.encode_and_count(texts)]
+
+    def encode_and_count(self, texts: Sequence[str]) -> list[tuple[np.ndarray, int]]:
+        """Ids of each text, and how many joins of leaves they came through."""
         return [a for at in range(0, len(texts), TEXTS) for a in self._encode_some(texts[at : at + TEXTS])]
 
-    def _encode_some(self, texts: Sequence[str]) -> list[np.ndarray]:
-        pieces = [[t] if _NOT_SPACE.search(t) else t.split() for t in texts]
-        new = self.cache.missing({p for own in pieces for p in own})
-        cache = self.cache.newer
-        usual = self._encode_words([p for p in new if len(p) <= self.split_above]) if self.joins else [p for p in new if len(p) <= self.split_above]
+    def _learn(self, pieces: set[str]) -> None:
+        """Sees to it that the ids of these pieces are in the newer generation; those of long pieces are left out."""
+        new = self.cache.missing({p for p in pieces if len(p) <= self.split_above})
+        usual = self._encode_words(new) if self.joins else new
         for at in range(0, len(usual), CALL):
             some = usual[at : at + CALL]
             for p, e in zip(some, self.whole.encode_batch(some, add_special_tokens=False), strict=True):
-                cache[p] = np.asarray(e.ids, "<u4").tobytes()
-        long = {p: np.asarray(self._encode_piece(p), "<u4").tobytes() for p in new if len(p) > self.split_above}
-        get = {**cache, **long}.__getitem__ if long else cache.__getitem__
-        return [np.frombuffer(b"".join(map(get, own)), "<u4") for own in pieces]
+                self.cache.newer[p] = np.asarray(e.ids, "<u4").tobytes()
+
+    def _encode_some(self, texts: Sequence[str]) -> list[tuple[np.ndarray, int]]:
+        self.cache.turn()
+        self.words.turn()
+        n = self.leaf_chars
+        levels = [[_Node.leaf(t[i : i + n]) for i in range(0, len(t), n)] for t in texts]
+        self._learn({p for nodes in levels for x in nodes for p in x.pieces})
+        joins = [max(0, len(nodes) - 1) for nodes in levels]
+        open_ = [i for i, k in enumerate(joins) if k]
+        while open_:
+            pairs = [(nodes[j], nodes[j + 1]) for nodes in (levels[i] for i in open_) for j in range(0, len(nodes) - 1, 2)]
+            joined = iter(self._join_texts(pairs))
+            for i in open_:
+                levels[i] = [next(joined) for _ in range(len(levels[i]) // 2)] + levels[i][len(levels[i]) // 2 * 2 :]
+            open_ = [i for i in open_ if len(levels[i]) > 1]
+        out = []
+        for nodes, k in zip(levels, joins, strict=True):
+            ids = [self.cache.newer[p] if len(p) <= self.split_above else np.asarray(self._encode_piece(p), "<u4").tobytes() for p in (nodes[0].pieces if nodes else ())]
+            out.append((np.frombuffer(b"".join(ids), "<u4"), k))
+        return out
+
+    def _join_texts(self, pairs: list[tuple[_Node, _Node]]) -> list[_Node]:
+        """Each pair as one node; windows of all pairs are encoded together, and those that don't agree yet are grown."""
+        joined: list[_Node | None] = [None] * len(pairs)
+        open_, reach = range(len(pairs)), 1
+        ids = self.cache.newer.get
+        while open_:
+            windows = [pairs[j][0].window(pairs[j][1], reach) for j in open_]
+            self._learn({p for w in windows for p in w})
+            still = []
+            for j, w in zip(open_, windows, strict=True):
+                left, right = pairs[j]
+                agrees = reach >= len(left.pieces) or (same := ids(w[0])) is not None and same == ids(left.pieces[-reach])
+                agrees = agrees and (reach >= len(right.pieces) or (same := ids(w[-1])) is not None and same == ids(right.pieces[reach - 1]))
+                if agrees:
+                    joined[j] = _Node(left.pieces[: max(0, len(left.pieces) - reach)] + w + right.pieces[reach:], left.head, right.tail)
+                else:
+                    still.append(j)
+            open_, reach = still, 2 * reach
+        return joined  # type: ignore[return-value]
 
     def decode(self, ids: Sequence[int] | np.ndarray) -> str:
         """The library's decoding with special tokens kept: with no decoder in the file, token names joined by spaces."""
@@ -274,24 +345,26 @@ def tokenize(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sp
 
 
 def token_digests(docs: DataFrame, spec: str | None = None, cache_entries: int = CACHE_ENTRIES) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256: the same encoding and decoding, reduced to digests by the worker.
+    """doc_id, n_tokens, ids_sha256, decoded_sha256, n_joins: the same encoding and decoding, reduced to digests by the worker.
 
-    Fewer cache entries take less memory and more time.
+    n_joins is the number of joins of leaves that a text's ids came through.  Fewer cache entries take less memory and more time.
     """
     import hashlib
 
     spark = prepare(docs.sparkSession)
     spec_on = spark.sparkContext.broadcast(spec or load_spec())
 
-    @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
+    @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string, n_joins long")
     def digests(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         coder = _coder(hash(spec_on.value), spec_on.value, cache_entries)
         for s in batches:
-            ids = coder.encode_batch([x or "" for x in s])
+            found = coder.encode_and_count([x or "" for x in s])
+            ids = [a for a, _ in found]
             yield pd.DataFrame({
                 "n_tokens": [len(a) for a in ids],
                 "ids_sha256": [hashlib.sha256(a.tobytes()).hexdigest() for a in ids],
                 "decoded_sha256": [hashlib.sha256(coder.decode(a).encode("utf-8", "replace")).hexdigest() for a in ids],
+                "n_joins": [k for _, k in found],
             })
         del coder
         give_back(_CODERS)

@@ -38,6 +38,26 @@ def test_tree_concatenation_agrees_with_the_library(library):
         assert coder.decode(got) == library.decode(want.ids, skip_special_tokens=False)
 
 
+def test_texts_are_joined_from_leaves_wherever_they_are_cut(library):
+    r = random.Random(11)
+    words = ["the", "naïve", "İstanbul", "it's", "日本語", "e\u0301te", "x9,", "<|endoftext|>", "a\x1cb", "...", "supercalifragilistic", "\u00a0", "12345"]
+    texts = [r.choice([" ", "\n", "  ", "\u2003"]).join(r.choice(words) for _ in range(n)) for n in (0, 1, 5, 60, 300, 900)] + ["ab" * 3000 + " end " + "c" * 700, " " * 2000, "x" + " " * 1500 + "y"]
+    for leaf in (1, 2, 7, 512):
+        coder = bpe.TreeBpe(bpe.load_spec(), split_above=40, leaf_chars=leaf)
+        got = coder.encode_and_count(texts)
+        assert [a.tolist() for a, _ in got] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+        assert [k for _, k in got] == [max(0, -(-len(t) // leaf) - 1) for t in texts]
+
+
+def test_most_documents_come_through_joins(spark, library):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = {r["doc_id"]: r for r in bpe.token_digests(docs).collect()}
+    assert sum(r["n_joins"] > 0 for r in rows.values()) > len(rows) / 2
+    for d in docs.collect():
+        ids = library.encode(d["text"] or "", add_special_tokens=False).ids
+        assert (rows[d["doc_id"]]["n_tokens"], rows[d["doc_id"]]["ids_sha256"]) == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest())
+
+
 def test_a_long_unsplit_text_is_joined_exactly(library):
     coder = bpe.TreeBpe(bpe.load_spec())
     r = random.Random(2)
@@ -57,7 +77,7 @@ def test_token_digests_of_odd_rows(spark):
     assert len(rows) == len(ODD)
     empty = hashlib.sha256(b"").hexdigest()
     assert {(r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in rows if r["doc_id"] in (1, 2)} == {(0, empty, empty)}
-    assert len({tuple(r)[1:] for r in rows if r["doc_id"] in (4, None)}) == 1
+    assert len({tuple(r)[1:] for r in rows if r["doc_id"] in (4, None)}) == 1 and {r["n_joins"] for r in rows} == {0}
     assert bpe.token_digests(odd(spark).limit(0)).count() == 0
 
 
