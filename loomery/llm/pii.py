@@ -6,7 +6,8 @@ separators where they were.  Equal values become equal pseudonyms in every docum
 different ones stay different, so links survive and the values don't.
 
 A Feistel network over two number ranges a and b adds to each half, in turn, a keyed hash of the other, modulo its range.
-That is one-to-one on a * b whatever the ranges, so each format needs only a split into two:
+That is one-to-one on a * b whatever the ranges, so each format needs only a split into two.  The hash is 60 bits of the
+SHA-256 of key, kind, format, round and half; ranges stay below 2^60, so no sum leaves 64 bits.
 
   card   the digits but the last, which is the Luhn digit and worked out anew
   iban   the digits, and the letters, behind the country and check digits, each within their kind; the check digits are
@@ -15,11 +16,11 @@ That is one-to-one on a * b whatever the ranges, so each format needs only a spl
   phone  the digits behind a country code
   date   the 146097 = 189 * 773 days of 1700 to 2099, in year-month-day, day-month-year or month-day-year order
   ip     two halves of 16 bits
-  email  the letters and digits before the @, as numbers to the base 36
+  email  the letters and digits before the @, PIECE at a time, as numbers to the base 36
 
 Values that fail their test stay as they are (a number that fails Luhn may still be a phone number).  Defined results:
 null text stays null with no values; text without values comes back unchanged; repeated rows get equal results; other
-columns are left out.  The key is a parameter; keep it secret and the permutation can't be undone.
+columns are left out.  The key has no default: whoever knows it can undo the permutation, so it must come from outside.
 """
 
 from __future__ import annotations
@@ -29,8 +30,9 @@ from pyspark.sql import functions as F
 
 from loomery.llm.common import prepare
 
-KEY = "loomery"
 ROUNDS = 8
+#: Letters and digits of an e-mail name that are permuted together: halves of ten, 36^10 < 2^52.
+PIECE = 20
 KINDS = ("email", "date", "ip", "ssn", "iban", "card", "phone")
 _OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 _DAY, _MONTH, _YEAR = "(?:0[1-9]|[12][0-9]|3[01])", "(?:0[1-9]|1[0-2])", "(?:1[789]|20)[0-9]{2}"
@@ -66,11 +68,15 @@ def _joined() -> str:
 
 
 def _feistel(left: Column, right: Column, a: Column, b: Column, *salt: Column) -> Column:
-    """struct(l, r): the permuted halves, l of range a and r of range b."""
+    """struct(l, r): the permuted halves, l of range a and r of range b; salt begins with the key."""
+
+    def hashed(i: Column, half: Column) -> Column:
+        digest = F.sha2(F.concat_ws(":", *[x.cast("string") for x in salt], i.cast("string"), half.cast("string")).cast("binary"), 256)
+        return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
 
     def both(s: Column, i: Column) -> Column:
-        into_left = F.pmod(s["l"] + F.pmod(F.xxhash64(*salt, i, s["r"]), a), a)
-        into_right = F.pmod(s["r"] + F.pmod(F.xxhash64(*salt, i, s["l"]), b), b)
+        into_left = F.pmod(s["l"] + F.pmod(hashed(i, s["r"]), a), a)
+        into_right = F.pmod(s["r"] + F.pmod(hashed(i, s["l"]), b), b)
         return F.struct(F.when(i % 2 == 0, into_left).otherwise(s["l"]).alias("l"), F.when(i % 2 == 1, into_right).otherwise(s["r"]).alias("r"))
 
     start = F.struct(left.cast("long").alias("l"), right.cast("long").alias("r"))
@@ -87,15 +93,15 @@ def _let(value: Column, body) -> Column:
 
 
 def _power(base: int, n: Column) -> Column:
-    return F.element_at(F.array(*[F.lit(base**i) for i in range(13 if base == 36 else 19)]), (n + 1).cast("int"))
+    return F.element_at(F.array(*[F.lit(base**i) for i in range(PIECE // 2 + 1 if base == 36 else 19)]), (n + 1).cast("int"))
 
 
 def _permute_string(x: Column, base: int, kind: str, key: str, *more: Column) -> Column:
-    """A string of digits to the base, permuted among those of its length (up to 24 long for base 36, 36 for base 10)."""
+    """A string of digits to the base, permuted among those of its length (up to PIECE long for base 36, 36 for base 10)."""
     n = F.length(x)
     half = F.floor(n / 2).cast("int")
     left, right = F.substring(x, F.lit(1), half), F.substring(x, half + 1, n - half)
-    number = (lambda s: F.coalesce(F.conv(s, base, 10).cast("long"), F.lit(0).cast("long"))) if base != 10 else (lambda s: F.coalesce(F.expr("null").cast("long") if s is None else s.try_cast("long"), F.lit(0).cast("long")))
+    number = (lambda s: F.coalesce(F.conv(s, base, 10).cast("long"), F.lit(0).cast("long"))) if base != 10 else (lambda s: F.coalesce(s.try_cast("long"), F.lit(0).cast("long")))
     text = (lambda v, size: F.lpad(F.lower(F.conv(v.cast("string"), 10, base)), size, "0")) if base != 10 else (lambda v, size: F.lpad(v.cast("string"), size, "0"))
     mixed = _feistel(number(left), number(right), _power(base, half), _power(base, n - half), F.lit(key), F.lit(kind), n, *more)
     return _let(mixed, lambda s: F.concat(F.when(half > 0, text(s["l"], half)).otherwise(""), text(s["r"], n - half)))
@@ -231,18 +237,18 @@ def _ip(m: Column, key: str) -> Column:
 
 
 def _email(m: Column, key: str) -> Column:
-    """The part before the @, permuted 24 letters and digits at a time; the host stays."""
+    """The part before the @, permuted PIECE letters and digits at a time; the host stays."""
     at = F.instr(m, "@")
     local = F.lower(F.substring(m, F.lit(1), at - 1))
 
     def swap(plain: Column) -> Column:
-        pieces = F.transform(F.sequence(F.lit(0), F.floor((F.length(plain) - 1) / 24).cast("int")), lambda i: _permute_string(F.substring(plain, i * 24 + 1, F.lit(24)), 36, "email", key, i))
+        pieces = F.transform(F.sequence(F.lit(0), F.floor((F.length(plain) - 1) / PIECE).cast("int")), lambda i: _permute_string(F.substring(plain, i * PIECE + 1, F.lit(PIECE)), 36, "email", key, i))
         return F.when(plain == "", local).otherwise(_refill(local, F.array_join(pieces, ""), "[a-z0-9]"))
 
     return F.concat(_let(F.regexp_replace(local, "[^a-z0-9]", ""), swap), F.substring(m, at, F.length(m)))
 
 
-def pseudonym(m: Column, kind: Column, key: str = KEY) -> Column:
+def pseudonym(m: Column, kind: Column, key: str) -> Column:
     """What a match becomes; itself where its kind is null."""
     swaps = {"email": _email, "date": _day, "ip": _ip, "ssn": _ssn, "iban": _iban, "card": _card, "phone": _phone}
     out = None
@@ -251,8 +257,10 @@ def pseudonym(m: Column, kind: Column, key: str = KEY) -> Column:
     return out.otherwise(m)
 
 
-def pseudonymise(docs: DataFrame, key: str = KEY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pseudonymise(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, text with pseudonyms, n_values, and n_<kind> of each kind, for each row of docs."""
+    if not key:
+        raise ValueError("pseudonyms need a key")
     prepare(docs.sparkSession)
     pattern = _joined()
     t = F.col("text")

@@ -20,10 +20,14 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(_table(spark, sf_dir, "documents"))
 
 
+#: Where the cluster names the key of the pseudonyms, and what stands for it on made-up tables: it is no secret.
+KEY_SETTING, TEST_KEY = "spark.loomery.pii.key", "a key for tables of made-up people"
+
+
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomery.llm.pii import pseudonymise
 
-    return pseudonymise(_table(spark, sf_dir, "documents"))
+    return pseudonymise(_table(spark, sf_dir, "documents"), spark.conf.get(KEY_SETTING, TEST_KEY))
 
 
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -357,8 +357,148 @@ def test_different_values_stay_different(spark):
 
 
 def test_pseudonyms_of_odd_rows(spark):
-    rows = pii.pseudonymise(odd(spark)).collect()
+    rows = pii.pseudonymise(odd(spark), "k").collect()
     assert Counter((r["doc_id"], r["text"], r["n_values"]) for r in rows) == Counter((d, t, 0) for d, t, *_ in ODD)
-    assert pii.pseudonymise(odd(spark).limit(0)).count() == 0
+    assert pii.pseudonymise(odd(spark).limit(0), "k").count() == 0
     long = "a" * 200_000 + " x@y.org " + "1" * 100_000
     assert swap(spark, long)[0].endswith("@y.org " + "1" * 100_000)
+
+
+class Twin:
+    """The permutations in plain Python, forwards or backwards."""
+
+    def __init__(self, key, back=False):
+        self.key, self.rounds = key, range(pii.ROUNDS)[:: -1 if back else 1]
+        self.sign = -1 if back else 1
+        self.pattern = re.compile(pii._joined())
+        self.kinds = {k: re.compile(p) for k, p in pii.PATTERNS.items()}
+
+    def feistel(self, left, right, a, b, *salt):
+        for i in self.rounds:
+            half = right if i % 2 == 0 else left
+            h = int(hashlib.sha256(":".join(map(str, (self.key, *salt, i, half))).encode()).hexdigest()[:15], 16)
+            if i % 2 == 0:
+                left = (left + self.sign * h) % a
+            else:
+                right = (right + self.sign * h) % b
+        return left, right
+
+    def string(self, x, alphabet, *salt):
+        n, base = len(x), len(alphabet)
+        half = n // 2
+        number = lambda s: sum(alphabet.index(c) * base**i for i, c in enumerate(reversed(s)))
+        text = lambda v, k: "".join(alphabet[v // base**i % base] for i in reversed(range(k)))
+        a, b = self.feistel(number(x[:half]), number(x[half:]), base**half, base ** (n - half), salt[0], n, *salt[1:])
+        return text(a, half) + text(b, n - half)
+
+    @staticmethod
+    def refill(form, fill, which):
+        new = iter(fill)
+        return "".join(next(new) if re.match(which, c) else c for c in form)
+
+    def kind(self, m):
+        import datetime as dt
+
+        d = re.sub("[^0-9]", "", m)
+        whole = lambda k: self.kinds[k].fullmatch(m)
+        if whole("email"):
+            return "email", None
+        if whole("date"):
+            for f in ["%Y%m%d"] if re.match("[0-9]{4}", m) else ["%d%m%Y", "%m%d%Y"]:
+                try:
+                    return "date", (f, dt.datetime.strptime(d, f).date())
+                except ValueError:
+                    pass
+        if whole("ip"):
+            return "ip", None
+        if whole("ssn") and not re.search("^(?:000|666|9)|-00-|-0000$", m):
+            return "ssn", None
+        x = m.replace(" ", "")
+        if whole("iban") and 15 <= len(x) <= 34 and int("".join(str(int(c, 36)) for c in x[4:] + x[:4])) % 97 == 1:
+            return "iban", None
+        if whole("card") and luhn(d):
+            return "card", None
+        return ("phone" if whole("phone") else None), None
+
+    def swap(self, m):
+        import datetime as dt
+
+        kind, more = self.kind(m)
+        d, digits, small = re.sub("[^0-9]", "", m), "0123456789", "abcdefghijklmnopqrstuvwxyz"
+        if kind == "email":
+            name, host = m.split("@", 1)
+            name = name.lower()
+            plain = re.sub("[^a-z0-9]", "", name)
+            pieces = [self.string(plain[i : i + pii.PIECE], digits + small, "email", i // pii.PIECE) for i in range(0, len(plain), pii.PIECE)]
+            return self.refill(name, "".join(pieces), "[a-z0-9]") + "@" + host
+        if kind == "date":
+            n = (more[1] - dt.date(1700, 1, 1)).days
+            a, b = self.feistel(n // 773, n % 773, 189, 773, "date")
+            return self.refill(m, (dt.date(1700, 1, 1) + dt.timedelta(a * 773 + b)).strftime(more[0]), "[0-9]")
+        if kind == "ip":
+            o = list(map(int, m.split(".")))
+            a, b = self.feistel(o[0] * 256 + o[1], o[2] * 256 + o[3], 65536, 65536, "ip")
+            return f"{a // 256}.{a % 256}.{b // 256}.{b % 256}"
+        if kind == "ssn":
+            area, group, serial = map(int, m.split("-"))
+            a, b = self.feistel(area - 1 - (area > 666), (group - 1) * 9999 + serial - 1, 898, 99 * 9999, "ssn")
+            return f"{a + 1 + (a >= 665):03d}-{b // 9999 + 1:02d}-{b % 9999 + 1:04d}"
+        if kind == "iban":
+            land, tail = m[:2], m[4:]
+            new = self.string(re.sub("[^0-9]", "", tail), digits, "iban", land) if re.search("[0-9]", tail) else ""
+            letters = re.sub("[^A-Z]", "", tail)
+            caps = "".join(self.string(letters[i : i + 12], small.upper(), "iban letters", i // 12, land) for i in range(0, len(letters), 12))
+            tail = self.refill(self.refill(tail, new, "[0-9]"), caps, "[A-Z]")
+            return f"{land}{98 - int(''.join(str(int(c, 36)) for c in tail.replace(' ', '') + land + '00')) % 97:02d}{tail}"
+        if kind == "card":
+            body = self.string(d[:-1], digits, "card")
+            return self.refill(m, body + next(c for c in digits if luhn(body + c)), "[0-9]")
+        if kind == "phone":
+            code = re.match(r"\+[0-9]{1,3}(?=[ .-])|\+[0-9]|", m)[0]
+            rest = m[len(code) :]
+            return code + self.refill(rest, self.string(re.sub("[^0-9]", "", rest), digits, "phone", code), "[0-9]")
+        return m
+
+    def text(self, t):
+        return self.pattern.sub(lambda m: self.swap(m[0]), t)
+
+
+def values(r):
+    """Values of every kind, valid ones and others, with e-mail names of 1 to 64 characters."""
+    letters = "abcdefghijklmnopqrstuvwxyz0123456789"
+    out = ["".join(r.choice(letters) for _ in range(n)) + "@example.com" for n in range(1, 65)]
+    out += ["z" * n + "@example.com" for n in range(1, 65)] + ["9" * 24 + "@x.org", "a.b-c_d+e%f" * 5 + "@mail.example.org", "...@x.org"]
+    for _ in range(40):
+        n = "".join(r.choice("0123456789") for _ in range(r.choice([12, 15, 18])))
+        out.append(n + next(c for c in "0123456789" if luhn(n + c)))
+        out.append(f"{r.randrange(1, 900):03d}-{r.randrange(1, 100):02d}-{r.randrange(1, 10000):04d}")
+        out.append(".".join(str(r.randrange(256)) for _ in range(4)))
+        out.append(f"{r.randrange(1700, 2100)}-{r.randrange(1, 13):02d}-{r.randrange(1, 29):02d}")
+        out.append(f"{r.randrange(1, 29):02d}/{r.randrange(1, 13):02d}/{r.randrange(1700, 2100)}")
+        out.append(f"+{r.choice(['1', '44', '351'])} {r.randrange(10, 999)} {r.randrange(100, 9999)} {r.randrange(100, 9999)}")
+        out.append(f"({r.randrange(100, 1000)}) {r.randrange(100, 1000)}-{r.randrange(1000, 10000)}")
+        bban = "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ") for _ in range(4)) + "".join(r.choice("0123456789") for _ in range(14))
+        out.append(f"GB{98 - int(''.join(str(int(c, 36)) for c in bban + 'GB00')) % 97:02d}{bban}")
+    return out
+
+
+def test_pseudonyms_agree_with_plain_python_and_can_be_undone_with_the_key(spark):
+    r = random.Random(12)
+    texts = [f"see {v}, end" for v in values(r)] + ["; ".join(r.sample(values(r), 30)) for _ in range(10)]
+    got = swap(spark, *texts, key="some key")
+    assert got == [Twin("some key").text(t) for t in texts]
+    back = [Twin("some key", back=True).text(t) for t in got]
+    assert back == [Twin("some key").pattern.sub(lambda m: m[0].split("@")[0].lower() + m[0][len(m[0].split("@")[0]) :] if "@" in m[0] else m[0], t) for t in texts]
+    assert swap(spark, *texts[:5], key="other") != got[:5]
+
+
+def test_long_names_are_permuted_one_to_one(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz0123456789"
+    names = sorted({f"{a}{b}{'z' * 22}" for a in letters for b in letters} | {f"{'z' * 22}{a}{b}" for a in letters for b in letters})
+    got = [t.split("@")[0] for t in swap(spark, *[f"{n}@example.com" for n in names])]
+    assert len(set(got)) == len(names) and {len(n) for n in got} == {24}
+
+
+def test_pseudonyms_need_a_key(spark):
+    with pytest.raises(ValueError):
+        pii.pseudonymise(odd(spark), "")
