@@ -1,6 +1,7 @@
 """Top-k, sharding, repeats, near duplicates, decontamination, pseudonyms: against brute force on small tables."""
 
 import hashlib
+import math
 import random
 import re
 from collections import Counter
@@ -22,41 +23,46 @@ def odd(spark):
 # top-k
 
 
+def whole(x):
+    return int(x) * 256 if abs(x) >= 2.0**52 else math.floor(256 * x)
+
+
 def brute_top(rows, k):
-    good = {i: np.floor(256 * np.array(v, float)).astype(int) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)}
+    good = [(i, [whole(float(x)) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
     out = []
-    for i in good:
+    for a, (i, q) in enumerate(good):
         if i % 50 == 0:
-            best = sorted(((-int(good[i] @ good[j]), j) for j in good if j != i and len(good[j]) == len(good[i])))[:k]
-            out += [(i, r + 1, j, -s) for r, (s, j) in enumerate(best)]
+            scores = [(max(-(2**63) + 1, min(2**63 - 1, sum(x * y for x, y in zip(q, v)))), j) for b, (j, v) in enumerate(good) if b != a and len(v) == len(q)]
+            out += [(i, r + 1, j, s) for r, (s, j) in enumerate(sorted(scores, key=lambda x: (-x[0], x[1]))[:k])]
     return sorted(out)
 
 
-@pytest.mark.parametrize("case", ["random", "ties", "few", "large"])
-def test_top_k_agrees_with_sorting(spark, case):
+@pytest.mark.parametrize("case", ["random", "ties", "few", "large", "repeated", "shuffled"])
+def test_top_k_agrees_with_sorting(spark, monkeypatch, case):
     rng = np.random.default_rng(6)
     n = 3 if case == "few" else 260
     vec = rng.normal(size=(n, 5)) * (1e4 if case == "large" else 1)
     if case == "ties":
         vec = np.round(vec[rng.integers(0, 4, n)])
-    rows = [(i, v.tolist()) for i, v in enumerate(vec)]
+    rows = [(i // 3 if case == "repeated" else i, v.tolist()) for i, v in enumerate(vec)]
     rows += [(1000, None), (1050, [1.0, None, 0.0, 0.0, 0.0]), (1100, [float("nan")] * 5), (None, [1.0] * 5), (1150, [float("inf")] * 5)]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("q", F.lit("clash")).repartition(3)
-    v = topk.quantised(df)
-    got = topk.top_k(v, v.where(F.col("vec_id") % 50 == 0), 5).collect()
+    if case == "large":
+        rows += [(1200, [1e300, 0.0, 0.0, 0.0, -1.0]), (1201, [-1e300, 2.0, 0.0, 0.0, 0.0]), (1250, [3e15, 1.5, 0.0, 0.0, 0.0]), (1300, [1.0]), (1301, [2.0]), (1350, [])]
+    if case == "repeated":
+        rows += [(50, [0.5] * 5)] * 3
+    if case == "shuffled":
+        monkeypatch.setattr(topk, "BROADCAST", 0)
+        monkeypatch.setattr(topk, "BLOCK", 2)
+        monkeypatch.setattr(topk, "CHUNK", 30)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("q", F.lit("clash")).withColumn("rank", F.lit(0)).repartition(3)
+    got = topk.top_k(df, F.col("vec_id") % 50 == 0, 5).collect()
     assert sorted(map(tuple, got)) == brute_top(rows, 5)
 
 
 def test_top_k_of_nothing(spark):
-    v = topk.quantised(spark.createDataFrame([], "vec_id long, embedding array<double>"))
-    assert topk.top_k(v, v, 5).count() == 0
-
-
-def test_query_blocks_cover_all_queries(spark, monkeypatch):
-    rows = [(i, [float(i % 7), 1.0]) for i in range(120)]
-    v = topk.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
-    blocks = list(topk._query_blocks(v, 50))
-    assert [len(b) for b in blocks] == [50, 50, 20]
+    v = spark.createDataFrame([], "vec_id long, embedding array<double>")
+    assert topk.top_k(v, F.lit(True), 5).count() == 0
+    assert topk.top_k(spark.createDataFrame([(1, [1.0])], "vec_id long, embedding array<double>"), F.lit(True), 5).count() == 0
 
 
 # sharding
