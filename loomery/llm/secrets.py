@@ -85,7 +85,7 @@ def _random(s: str, encoding, least: float) -> bool:
 
 
 def _pieces(run: re.Match, base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
-    """The run without its UUIDs and without the parts that base spans touch."""
+    """The run without its UUIDs and without the parts that base spans touch; base holds those near the run."""
     text, first, last = run.string, run.start(), run.end()
     cuts = [(m.start(), m.end()) for m in UUID.finditer(text, first, last)]
     touched = [(max(s, first), min(e, last)) for s, _, e in base if s < last and first < e]
@@ -142,8 +142,18 @@ def _windows(text: str, start: int, end: int, encoding, least: float) -> list[tu
 def random_spans(text: str, base: list[tuple[int, int, int]], encoding, least: float = CHARS_PER_TOKEN) -> list[tuple[int, int, int]]:
     """Spans of random strings outside the base spans."""
     found = []
+    by_kind = [[x for x in base if x[1] == k] for k in range(3)]  # of one kind none overlap: starts and ends are in order
+    at = [0, 0, 0]
     for m in RUN.finditer(text):
-        for s, e in _pieces(m, base):
+        near = []
+        for k, own in enumerate(by_kind):
+            while at[k] < len(own) and own[at[k]][2] <= m.start():
+                at[k] += 1
+            i = at[k]
+            while i < len(own) and own[i][0] < m.end():
+                near.append(own[i])
+                i += 1
+        for s, e in _pieces(m, sorted(near)):
             spans = [(s, e)] if _random(text[s:e], encoding, least) else _windows(text, s, e, encoding, least)
             for a, b in spans:
                 if found and a < found[-1][2]:

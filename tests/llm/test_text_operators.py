@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 
 import numpy as np
 import pytest
@@ -112,6 +113,71 @@ def test_random_strings_are_found_and_digests_set_aside():
     assert secrets.redact("abcdef", [(1, 0, 3), (2, 1, 4)], "*") == "a*ef"
 
 
+BASE_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+a AS (SELECT doc_id, t, unnest(regexp_extract_all(t, '(?i:(?:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?[A-Za-z0-9+/_.=-]+)')) AS m FROM d),
+n AS (SELECT doc_id, count(*) AS n_assign FROM a WHERE length(regexp_extract(m, '(?i:(?:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?)([A-Za-z0-9+/_.=-]+)', 1)) >= 6 GROUP BY 1)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, len(list_filter(regexp_extract_all(t, 'AKIA[A-Z0-9]+'), lambda x: length(x) >= 20)) AS n_access,
+  len(list_filter(regexp_extract_all(t, '[0-9a-f]+'), lambda x: length(x) >= 24)) AS n_hex FROM d LEFT JOIN n USING (doc_id)"""
+
+
+def test_base_counts_agree_with_sql_on_whole_documents(spark):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute("CREATE VIEW documents AS SELECT * FROM '/root/testdata/sf0.01/documents.parquet'")
+    want = sorted(map(tuple, con.sql(BASE_SQL).fetchall()))
+    rows = secrets.scan_secrets(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).collect()
+    assert sorted((r["doc_id"], r["n_assign"], r["n_access"], r["n_hex"]) for r in rows) == want
+    assert sum(x[1] + x[2] + x[3] for x in want) > 0
+
+
+def brute_scan(t):
+    """Base spans one kind after the other, by the contract's words."""
+    out = []
+    assign = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
+    for kind, pattern, group, least in (("assign", assign, 1, 6), ("access", re.compile("AKIA[A-Z0-9]+"), 0, 20), ("hex", re.compile("[0-9a-f]+"), 0, 24)):
+        out += [(m.start(), ("assign", "access", "hex").index(kind), m.end()) for m in pattern.finditer(t) if len(m[group]) >= least]
+    return sorted(out)
+
+
+def test_whole_scans_agree_with_brute_force_and_keep_base_spans(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()
+    r = random.Random(13)
+    texts = [d["text"] or "" for d in docs]
+    texts += [" ".join(r.choice(["token=abcdef12", "AKIA" + "Z9" * 9, "ab12" * 8, "Secret: 'x.y_z-1'", "plain words", "éAKIA日"]) for _ in range(60)) for _ in range(20)]
+    rows = secrets.scan_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    for row in rows:
+        base = brute_scan(texts[row["doc_id"]])
+        written = secrets.write_spans(base)
+        assert row["base_sha256"] == hashlib.sha256(written.encode()).hexdigest()
+        assert set(written.split(",")) - {""} <= set(row["spans"].split(","))
+
+
+def test_recall_and_false_positives_of_planted_keys(spark):
+    """Keys of five alphabets among whole documents: 0.97 or more are found, and documents without one gain next to nothing."""
+    encoding = secrets.make_encoding(secrets.load_ranks())
+    r = random.Random(14)
+    docs = [d["text"] for d in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect() if d["text"]][:400]
+    lower, upper, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    false = sum(bool(secrets.random_spans(t, secrets.base_spans(t), encoding)) for t in docs)
+    assert false <= 2
+    for letters in (lower + digits, upper + "234567", lower, lower + upper, lower + upper + digits):
+        found = 0
+        for t in docs:
+            key, at = "".join(r.choice(letters) for _ in range(r.randint(24, 40))), t.find(" ", r.randrange(len(t)))
+            text = f"{t[:at]} {key} {t[at:]}" if at >= 0 else f"{t} {key}"
+            place = text.index(key)
+            found += any(s <= place and e >= place + len(key) for s, _, e in secrets.random_spans(text, secrets.base_spans(text), encoding))
+        assert found >= 0.97 * len(docs), letters
+
+
+def test_a_long_text_full_of_secrets_takes_linear_time():
+    encoding = secrets.make_encoding(secrets.load_ranks())
+    text = " ".join(f"token=abc{i:09d}xyzw0123456789" for i in range(30_000))
+    assert secrets.random_spans(text, secrets.base_spans(text), encoding) == []
+
+
 def test_random_strings_of_any_letters_and_digits_are_found():
     encoding = secrets.make_encoding(secrets.load_ranks())
     r = random.Random(5)
@@ -171,6 +237,36 @@ def test_languages_of_held_out_rows(spark):
     assert held and all(r["lang_pred"] == truth[r["doc_id"]] and 0 <= r["score"] <= 1 for r in held)
 
 
+def test_the_classifier_is_plain_kernel_ridge_regression_on_landmarks(spark):
+    docs = language_table(spark, 90).repartition(3)
+    model = langid.fit(docs, landmarks=12)
+    rows = sorted((r["lang"], r["place"], r["flags"]) for r in langid.sampled(docs).collect())
+    flags = np.unpackbits(np.frombuffer(b"".join(f for *_, f in rows), np.uint8).reshape(len(rows), -1), axis=1)
+    names = sorted(LANGS)
+    index = np.array([names.index(x) for x, *_ in rows])
+    unit = flags / np.sqrt(flags.sum(axis=1, keepdims=True))
+    marks = np.concatenate([unit[index == i][:4] for i in range(3)])
+    among, kernel = marks @ marks.T, unit @ marks.T
+    weight = 1 / np.bincount(index)[index][:, None]
+    target = np.where(index[:, None] == np.arange(3), 1.0, -1.0)
+    # minimise the weighted squares of kernel @ x - target, plus ridge * x' among x / landmarks
+    x = np.linalg.solve(kernel.T @ (kernel * weight) + langid.RIDGE / 12 * among, kernel.T @ (target * weight))
+    own = langid.presence([prose(random.Random(i), lang, 40) for i, lang in enumerate(names * 5)])
+    want = (own / np.sqrt(own.sum(axis=1, keepdims=True))) @ marks.T @ x
+    got = (langid._unit(own) @ model.marks.T) @ model.weights
+    assert list(model.names) == names and np.allclose(got, want, atol=1e-3)
+
+
+def test_many_languages_and_one_id_on_many_rows(spark):
+    r = random.Random(9)
+    words = {f"l{k:03d}": ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(2, 6))) for _ in range(12)] for k in range(500)}
+    rows = [(i * 500 + k, " ".join(r.choice(own) for _ in range(40)), lang, "s", 1) for i in range(8) for k, (lang, own) in enumerate(words.items())]
+    docs = spark.createDataFrame(rows + [(0, "the same text", "l000", "s", 1)] * 3000, SCHEMA)
+    got = [r for r in langid.language_of_documents(docs).collect() if r["held_out"] and r["doc_id"]]
+    truth = {i: lang for i, _, lang, *_ in rows}
+    assert sum(r["lang_pred"] == truth[r["doc_id"]] for r in got) > 0.95 * len(got) > 500
+
+
 def test_presence_doesnt_depend_on_neighbours_or_pieces(monkeypatch):
     r = random.Random(4)
     texts = ["".join(r.choice("abcé Z9日") for _ in range(r.choice([0, 1, 2, 50, 700]))) for _ in range(40)]
