@@ -11,9 +11,12 @@ repeats() marks each byte covered by a 50-byte string that also starts in a docu
 strings together without moving whole texts, a 50-byte string is known by its minimiser, the least hash of its 35 runs
 of 16 bytes; neighbouring strings with the same minimiser form one stretch.  Minimisers that one document alone holds are
 out after a first exchange of 8 bytes for each stretch; the stretches of the rest are grouped by minimiser, equal ones as
-one, and the suffix array over the different ones of a bucket tells which 50-byte strings they share.
+one, and the suffix array over the different ones of a bucket tells which 50-byte strings they share.  Hashes only bring
+candidates together: equal stretches are compared byte by byte.
 
 Hot passages: a partition sends one copy of a stretch, with its smallest document; larger ones are decided where they are.
+Hot minimisers, those of more than HOT documents, are split: their strings go by the pair of least and greatest hash, which
+equal strings have in common too.  Buckets are dealt by counted bytes, so a task's share doesn't grow with the input.
 
 Defined results: null counts as empty, texts below 50 bytes lose nothing; rows without an id neither lose nor take bytes;
 rows of equal id don't take from each other; repeated rows get equal results.
@@ -42,6 +45,8 @@ _PER = LENGTH - GRAM + 1
 STRETCH = 128
 #: Bytes of text that are hashed at once, and that a worker gathers before it sends.
 PIECE, FLUSH = 1_000_000, 24_000_000
+#: Bytes of text for each bucket of stretches, and documents of one minimiser beyond which its strings are split.
+BUCKET_BYTES, HOT = 16_000_000, 4096
 #: Bytes of spans up to which they are broadcast to the texts; beyond, both are shuffled.
 BROADCAST = 64_000_000
 #: Bytes that one suffix array holds.
@@ -146,8 +151,8 @@ def equal_starts(text: bytes, length: int) -> tuple[np.ndarray, np.ndarray]:
     return order, np.cumsum(~same) - 1
 
 
-def stretches(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The stretches of texts: text, first window, number of windows, minimiser (48 bits)."""
+def stretches(texts: list[bytes], extreme=np.minimum) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The stretches of texts: text, first window, number of windows, minimiser (48 bits), or with np.maximum the greatest hash."""
     parts, at = [], 0
     while at < len(texts):
         upto, size = at, 0
@@ -155,23 +160,23 @@ def stretches(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
             size += len(texts[upto])
             upto += 1
         own = texts[at:upto]
-        parts.append(_stretches(own, at) if size <= 16 * PIECE else _long_stretches(own[0], at))
+        parts.append(_stretches(own, at, extreme) if size <= 16 * PIECE else _long_stretches(own[0], at, extreme))
         at = upto
     if not parts:
         return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64))  # type: ignore[return-value]
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True))  # type: ignore[return-value]
 
 
-def _long_stretches(text: bytes, at: int):
+def _long_stretches(text: bytes, at: int, extreme=np.minimum):
     """Those of one very long text, by pieces that overlap so that each window lies in one of them."""
     parts = []
     for s in range(0, max(1, len(text) - LENGTH + 1), PIECE):
-        of, first, n, m = _stretches([text[s : s + PIECE + LENGTH - 1]], at)
+        of, first, n, m = _stretches([text[s : s + PIECE + LENGTH - 1]], at, extreme)
         parts.append((of, first + s, n, m))
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
-def _stretches(texts: list[bytes], first_text: int):
+def _stretches(texts: list[bytes], first_text: int, extreme=np.minimum):
     size = np.array([len(b) for b in texts], np.int64)
     data = np.frombuffer(b"".join(texts), np.uint8)
     if len(data) < LENGTH:
@@ -183,9 +188,9 @@ def _stretches(texts: list[bytes], first_text: int):
     h = mix(h) >> np.uint64(16)
     n = 1
     while 2 * n <= _PER:
-        h = np.minimum(h[:-n], h[n:])
+        h = extreme(h[:-n], h[n:])
         n *= 2
-    h = np.minimum(h[: len(data) - LENGTH + 1], h[_PER - n :])
+    h = extreme(h[: len(data) - LENGTH + 1], h[_PER - n :])
     ends = np.cumsum(size)
     doc = np.repeat(np.arange(len(texts)), size)[: len(h)]
     place = np.arange(len(h))
@@ -203,6 +208,20 @@ def _stretches(texts: list[bytes], first_text: int):
     return doc[begin] + first_text, place[begin] - (ends - size)[doc[begin]], count, h[begin]
 
 
+def split_hot(texts: list[bytes], of: np.ndarray, begin: np.ndarray, n: np.ndarray, m: np.ndarray, hot: np.ndarray):
+    """The stretches and their keys: the minimiser, or for hot minimisers parts of one greatest hash each and the pair of both."""
+    is_hot = np.isin(m, hot)
+    if not is_hot.any():
+        return of, begin, n, m, m
+    some = np.flatnonzero(is_hot)
+    part, at, count, greatest = stretches([texts[of[i]][begin[i] : begin[i] + n[i] + LENGTH - 1] for i in some], np.maximum)
+    whole, some = ~is_hot, some[part]
+    key = np.concatenate([m[whole], mix(m[some] ^ mix(greatest)) >> np.uint64(16)])
+    of, begin, n, m = (np.concatenate([x[whole], y]) for x, y in ((of, of[some]), (begin, begin[some] + at), (n, count), (m, m[some])))
+    order = np.argsort(of, kind="stable")
+    return of[order], begin[order], n[order], m[order], key[order]
+
+
 def _flushes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     held, size, rows = [], 0, 0
     for b in batches:
@@ -260,6 +279,8 @@ def _parcels(bucket_of: np.ndarray, make) -> Iterator[tuple[int, bytes]]:
 
 #: In the low 16 bits of a packed minimiser: the flush has it in several documents already.
 _MANY = 0xFFFF
+#: In the highest bit of a document's minimiser: it is hot.
+_HOT = np.uint64(1 << 63)
 
 
 def _send_minimisers(buckets: int):
@@ -275,7 +296,7 @@ def _send_minimisers(buckets: int):
             keys = b[["k_id", "k_text"]].to_numpy(np.int64)
             rows = [(flush % buckets, flush, 1, _packed((keys, several)))]
             lead = np.where(count > 1, pairs[first] | np.uint64(_MANY), pairs[first])
-            for bucket, parcel in _parcels(((lead >> np.uint64(16)) % np.uint64(buckets)).astype(np.int64), lambda i, lead=lead: lead[i]):
+            for bucket, parcel in _parcels(((lead >> np.uint64(16)) % np.uint64(buckets)).astype(np.int64), lambda i, lead=lead, count=count: (lead[i], count[i].astype(np.uint16))):
                 rows.append((bucket, flush, 0, parcel))
             yield pd.DataFrame(rows, columns=["bucket", "flush", "kind", "parcel"])
 
@@ -283,27 +304,31 @@ def _send_minimisers(buckets: int):
 
 
 def _shared_minimisers(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Of one bucket: for each flush the packed minimisers that other flushes have too."""
+    """Of one bucket: for each flush the packed minimisers that other flushes have too, and (kind 2) the hot ones."""
     rows = [(f, 1, p) for f, k, p in zip(pdf["flush"], pdf["kind"], pdf["parcel"], strict=True) if k == 1]
     sent = [(f, _unpacked(p)) for f, k, p in zip(pdf["flush"], pdf["kind"], pdf["parcel"], strict=True) if k == 0]
     if sent:
-        packed = np.concatenate([x[1] for x in sent])
+        packed = np.concatenate([x[1][0] for x in sent])
         _, back, count = np.unique(packed >> np.uint64(16), return_inverse=True, return_counts=True)
         shared = (count[back] > 1) & (packed & np.uint64(_MANY) != _MANY)
+        hot = np.bincount(back, np.concatenate([x[1][1] for x in sent]))[back] > HOT
         at = 0
-        for f, own in sent:
-            keep = own[shared[at : at + len(own)]]
+        for f, (own, _) in sent:
+            for kind, keep in ((0, own[shared[at : at + len(own)]]), (2, own[hot[at : at + len(own)]] >> np.uint64(16))):
+                if len(keep):
+                    rows.append((f, kind, _packed(keep)))
             at += len(own)
-            if len(keep):
-                rows.append((f, 0, _packed(keep)))
     return pd.DataFrame(rows, columns=["flush", "kind", "parcel"])
 
 
 def _by_document(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Of one flush: the shared minimisers of each of its documents."""
+    """Of one flush: the shared minimisers of each of its documents, hot ones marked."""
     ((keys, several),) = [_unpacked(p) for k, p in zip(pdf["kind"], pdf["parcel"], strict=True) if k == 1]
     packed = np.concatenate([several, *[_unpacked(p) for k, p in zip(pdf["kind"], pdf["parcel"], strict=True) if k == 0]])
     of, m = (packed & np.uint64(_MANY)).astype(np.int64), packed >> np.uint64(16)
+    hot = [_unpacked(p) for k, p in zip(pdf["kind"], pdf["parcel"], strict=True) if k == 2]
+    if hot:
+        m = np.where(np.isin(m, np.concatenate(hot)), m | _HOT, m)
     order = np.lexsort((m, of))
     of, m = of[order], m[order]
     edge = np.flatnonzero(np.diff(of, prepend=-1))
@@ -318,10 +343,12 @@ def _send_stretches(buckets: int):
             of, begin, n, m = stretches(texts)
             wanted = [np.frombuffer(x, np.uint64) for x in b["shared"]]
             bounds = np.searchsorted(of, np.arange(len(texts) + 1))
-            keep = np.concatenate([np.isin(m[s:e], w) for s, e, w in zip(bounds[:-1], bounds[1:], wanted, strict=True)] or [np.zeros(0, bool)])
+            keep = np.concatenate([np.isin(m[s:e], w & ~_HOT) for s, e, w in zip(bounds[:-1], bounds[1:], wanted, strict=True)] or [np.zeros(0, bool)])
             of, begin, n, m = of[keep], begin[keep], n[keep], m[keep]
             if not len(of):
                 continue
+            hot = np.unique(np.concatenate([w[w >= _HOT] for w in wanted]) & ~_HOT)
+            of, begin, n, m, key = split_hot(texts, of, begin, n, m, hot)
             lengths = np.array([len(t) for t in texts])
             content = np.empty(len(of), np.uint64)
             for s in range(0, len(texts), 256):  # hashes of the stretches, some documents at a time
@@ -333,10 +360,15 @@ def _send_stretches(buckets: int):
                     content[lo:hi] = span_hash(data, a, a + n[lo:hi] + LENGTH - 1)
             keys = b[["k_id", "k_text"]].to_numpy(np.int64)
             ids = keys[of, 0]
-            order = np.lexsort((ids, content, m))
-            of, begin, n, m, content, ids = (x[order] for x in (of, begin, n, m, content, ids))
-            new = np.ones(len(of), bool)
-            new[1:] = (m[1:] != m[:-1]) | (content[1:] != content[:-1])
+            body = lambda i: texts[of[i]][begin[i] : begin[i] + n[i] + LENGTH - 1]  # noqa: B023, E731
+            order = np.lexsort((ids, content, key))
+            of, begin, n, m, key, content, ids = (x[order] for x in (of, begin, n, m, key, content, ids))
+            new = _starts(key, content)
+            if not _equal(body, new):  # hashes met by chance: number the stretches by their bytes
+                content = _numbers(body, len(of))
+                order = np.lexsort((ids, content, key))
+                of, begin, n, m, key, content, ids = (x[order] for x in (of, begin, n, m, key, content, ids))
+                new = _starts(key, content)
             lead = np.flatnonzero(new)
             group = np.cumsum(new) - 1
             least = ids[lead]
@@ -350,43 +382,74 @@ def _send_stretches(buckets: int):
             def parcel(i: np.ndarray) -> tuple:
                 holders = np.concatenate([owner[g] for g in i])
                 number = np.repeat(np.arange(len(i)), [len(owner[g]) for g in i])
-                bodies = b"".join(texts[of[lead[g]]][begin[lead[g]] : begin[lead[g]] + n[lead[g]] + LENGTH - 1] for g in i)
+                bodies = b"".join(body(lead[g]) for g in i)
                 docs, who = np.unique(of[holders], return_inverse=True)
-                return m[lead[i]], content[lead[i]], least[i], n[lead[i]].astype(np.uint8), bodies, number.astype(np.int32), keys[docs], who.astype(np.uint16), begin[holders].astype(np.int32 if small else np.int64)
+                return m[lead[i]], key[lead[i]], content[lead[i]], least[i], n[lead[i]].astype(np.uint8), bodies, number.astype(np.int32), keys[docs], who.astype(np.uint16), begin[holders].astype(np.int32 if small else np.int64)
 
-            for bucket, p in _parcels((m[lead] % np.uint64(buckets)).astype(np.int64), parcel):
+            for bucket, p in _parcels((key[lead] % np.uint64(buckets)).astype(np.int64), parcel):
                 rows.append((bucket, flush, 0, p))
             yield pd.DataFrame(rows, columns=["bucket", "flush", "kind", "parcel"])
 
     return send
 
 
+def _starts(key: np.ndarray, content: np.ndarray) -> np.ndarray:
+    """Where, in order of key and content, a new pair begins."""
+    new = np.ones(len(key), bool)
+    new[1:] = (key[1:] != key[:-1]) | (content[1:] != content[:-1])
+    return new
+
+
+def _equal(body, new: np.ndarray) -> bool:
+    """Whether each body has the bytes of the one that its group begins with."""
+    lead, i = b"", 0
+    for i, first in enumerate(new.tolist()):
+        if first:
+            lead = None
+            start = i
+        else:
+            if lead is None:
+                lead = body(start)
+            if body(i) != lead:
+                return False
+    return True
+
+
+def _numbers(body, n: int) -> np.ndarray:
+    """A number for each body, the same for equal bytes."""
+    seen: dict[bytes, int] = {}
+    return np.array([seen.setdefault(body(i), len(seen)) for i in range(n)], np.uint64)
+
+
 def _covered(pdf: pd.DataFrame) -> pd.DataFrame:
     """Of one bucket: the spans of each flush's documents that a smaller document has too."""
     rows = [(f, p) for f, k, p in zip(pdf["flush"], pdf["kind"], pdf["parcel"], strict=True) if k == 1]
     sent = [(f, *_unpacked(p)) for f, k, p in zip(pdf["flush"], pdf["kind"], pdf["parcel"], strict=True) if k == 0]
     if not sent:
         return pd.DataFrame(rows, columns=["flush", "parcel"])
-    sent = [(f, m, content, least, n.astype(np.int64), bodies, number, keys[who], begin.astype(np.int64)) for f, m, content, least, n, bodies, number, keys, who, begin in sent]
-    m, content, least, n = (np.concatenate([x[j] for x in sent]) for j in range(1, 5))
+    sent = [(f, m, key, content, least, n.astype(np.int64), bodies, number, keys[who], begin.astype(np.int64)) for f, m, key, content, least, n, bodies, number, keys, who, begin in sent]
+    m, key, content, least, n = (np.concatenate([x[j] for x in sent]) for j in range(1, 6))
     parcel_of = np.repeat(np.arange(len(sent)), [len(x[1]) for x in sent])
-    body_at = np.concatenate([np.cumsum(x[4] + LENGTH - 1) - (x[4] + LENGTH - 1) for x in sent])
-    order = np.lexsort((least, content, m))
-    new = np.ones(len(order), bool)
-    new[1:] = (m[order][1:] != m[order][:-1]) | (content[order][1:] != content[order][:-1])
+    body_at = np.concatenate([np.cumsum(x[5] + LENGTH - 1) - (x[5] + LENGTH - 1) for x in sent])
+    body = lambda i: sent[parcel_of[i]][6][body_at[i] : body_at[i] + n[i] + LENGTH - 1]
+    order = np.lexsort((least, content, key))
+    new = _starts(key[order], content[order])
+    if not _equal(lambda i: body(order[i]), new):
+        content = _numbers(body, len(n))
+        order = np.lexsort((least, content, key))
+        new = _starts(key[order], content[order])
     lead = order[new]
     group = np.empty(len(order), np.int64)
     group[order] = np.cumsum(new) - 1
     smallest = least[lead]
 
-    # stretches whose minimiser others have: which of their windows do smaller documents have?
-    _, back, count = np.unique(m[lead], return_inverse=True, return_counts=True)
-    several = np.flatnonzero(count[back] > 1)  # in order of their minimisers, as lead is
-    bodies = [sent[parcel_of[i]][5][body_at[i] : body_at[i] + n[i] + LENGTH - 1] for i in lead[several]]
-    windows = dict(zip(several.tolist(), _smaller_windows(bodies, m[lead[several]], smallest[several]), strict=True))
+    # stretches whose key others have: which of their windows do smaller documents have?
+    _, back, count = np.unique(key[lead], return_inverse=True, return_counts=True)
+    several = np.flatnonzero(count[back] > 1)  # in order of their keys, as lead is
+    windows = dict(zip(several.tolist(), _smaller_windows([body(i) for i in lead[several]], m[lead[several]], key[lead[several]], smallest[several]), strict=True))
 
     base = 0
-    for f, own_m, _, own_least, own_n, _, number, keys, begin in sent:
+    for f, own_m, _, _, own_least, own_n, _, number, keys, begin in sent:
         spans = []
         g = group[base : base + len(own_m)]
         whole = own_least > smallest[g]
@@ -405,12 +468,12 @@ def _covered(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["flush", "parcel"])
 
 
-def _reach(bodies: list[bytes], m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The part (from, to) of each body that may be shared with others of its minimiser; empty if too short for a window.
+def _reach(bodies: list[bytes], m: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The part (from, to) of each body that may be shared with others of its key; empty if too short for a window.
 
     Equal windows have their minimiser at the same place, so a body shares to the left of it at most as many bytes as some
     other body has in common there, and to the right likewise; both are found by hashes of growing length.  Where a
-    minimiser stands in some body more than once, all its bodies stay whole.
+    minimiser stands in some body more than once, all bodies of its key stay whole.
     """
     size = np.array([len(b) for b in bodies])
     start = np.cumsum(size) - size
@@ -448,24 +511,24 @@ def _reach(bodies: list[bytes], m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
                 low[act] = a[kept]
             else:
                 high[act] = b[kept]
-    whole = np.isin(m, m[times != 1])  # with it, those that might share with another place of the minimiser
+    whole = np.isin(keys, keys[times != 1])  # with it, those that might share with another place of the minimiser
     low[whole], high[whole] = start[whole], (start + size)[whole]
     short = high - low < LENGTH
     low[short] = high[short] = start[short]
     return low - start, high - start
 
 
-def _smaller_windows(bodies: list[bytes], m: np.ndarray, ids: np.ndarray) -> list[np.ndarray]:
-    """For each body a flag for each window: does a body of a smaller id, with the same minimiser, have its bytes?"""
+def _smaller_windows(bodies: list[bytes], m: np.ndarray, keys: np.ndarray, ids: np.ndarray) -> list[np.ndarray]:
+    """For each body a flag for each window: does a body of a smaller id, with the same key, have its bytes?"""
     flags = [np.zeros(len(b) - LENGTH + 1, bool) for b in bodies]
     if not bodies:
         return flags
-    low, high = _reach(bodies, m)
+    low, high = _reach(bodies, m, keys)
     cores: dict[tuple[int, bytes], int] = {}
     core_of = np.full(len(bodies), -1)
     for i, (b, lo, hi) in enumerate(zip(bodies, low.tolist(), high.tolist(), strict=True)):
         if hi > lo:
-            core_of[i] = cores.setdefault((int(m[i]), b[lo:hi]), len(cores))
+            core_of[i] = cores.setdefault((int(keys[i]), b[lo:hi]), len(cores))
     texts = [t for _, t in cores]
     some = core_of >= 0
     least = np.full(len(cores), np.iinfo(np.int64).max)
@@ -478,7 +541,7 @@ def _smaller_windows(bodies: list[bytes], m: np.ndarray, ids: np.ndarray) -> lis
 
 
 def _least_by_window(texts: list[bytes], m: np.ndarray, ids: np.ndarray) -> list[np.ndarray]:
-    """For each window of each text the smallest id of a text that has it; texts come in order of their minimisers."""
+    """For each window of each text the smallest id of a text that has it; texts come in order of their keys m."""
     out = [np.full(len(t) - LENGTH + 1, i) for t, i in zip(texts, ids, strict=True)]
     _, back, count = np.unique(m, return_inverse=True, return_counts=True)
     open_ = np.flatnonzero(count[back] > 1) if len(m) else np.zeros(0, np.int64)
@@ -524,16 +587,19 @@ def _spans_by_document(pdf: pd.DataFrame) -> pd.DataFrame:
 def repeats(docs: DataFrame) -> DataFrame:
     """k_id, k_text, spans (binary pairs of 64-bit begin and end): the removed bytes of the documents that lose some."""
     spark = prepare(docs.sparkSession)
-    buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    tasks = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets, flushes = max(tasks, -(-total // BUCKET_BYTES)), max(tasks, -(-total // FLUSH))
     rows = docs.where(F.col("doc_id").isNotNull()).select(*row_key(F.col("doc_id").cast("long"), F.col("text")), F.coalesce("text", F.lit("")).alias("text"))
     sent = rows.mapInPandas(_send_minimisers(buckets), _PARCEL)
-    answers = sent.groupBy("bucket").applyInPandas(_shared_minimisers, "flush long, kind int, parcel binary")
-    shared = cut(answers.groupBy("flush").applyInPandas(_by_document, "k_id long, k_text long, shared binary").dropDuplicates(["k_id", "k_text"]))
+    answers = sent.repartition(buckets, "bucket").groupBy("bucket").applyInPandas(_shared_minimisers, "flush long, kind int, parcel binary")
+    shared = cut(answers.repartition(flushes, "flush").groupBy("flush").applyInPandas(_by_document, "k_id long, k_text long, shared binary").dropDuplicates(["k_id", "k_text"]))
     del sent, answers
     _release(spark)
-    near = rows.join(shared, ["k_id", "k_text"]).mapInPandas(_send_stretches(buckets), _PARCEL)
-    covered = near.groupBy("bucket").applyInPandas(_covered, "flush long, parcel binary")
-    spans = covered.groupBy("flush").applyInPandas(_spans_by_document, "k_id long, k_text long, spans binary")
+    # in order: a task that is tried again deals the same documents to the same flushes
+    near = rows.join(shared, ["k_id", "k_text"]).sortWithinPartitions("k_id", "k_text").mapInPandas(_send_stretches(buckets), _PARCEL)
+    covered = near.repartition(buckets, "bucket").groupBy("bucket").applyInPandas(_covered, "flush long, parcel binary")
+    spans = covered.repartition(flushes, "flush").groupBy("flush").applyInPandas(_spans_by_document, "k_id long, k_text long, spans binary")
     spans = cut(spans.dropDuplicates(["k_id", "k_text"]))
     del near, covered, shared
     _release(spark)

@@ -7,6 +7,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -146,10 +147,50 @@ def test_repeats_agree_with_brute_force(spark, monkeypatch, flush):
     assert sorted(map(tuple, got)) == brute_kept(rows)
 
 
+def run_alone(rows):
+    """The operator's functions one after the other, without Spark: what each document loses."""
+    texts = pd.DataFrame({"k_id": [i for i, _ in rows], "k_text": 0, "text": [t or "" for _, t in rows]})
+    frame = lambda parts: pd.concat(list(parts), ignore_index=True)
+    sent = frame(suffix._send_minimisers(3)(iter([texts.iloc[:40], texts.iloc[40:]])))
+    answers = frame(suffix._shared_minimisers(g.drop(columns="bucket")) for _, g in sent.groupby("bucket"))
+    shared = frame(suffix._by_document(g) for _, g in answers.groupby("flush"))
+    sent = frame(suffix._send_stretches(3)(iter([texts.merge(shared, on=["k_id", "k_text"])])))
+    covered = frame(suffix._covered(g) for _, g in sent.groupby("bucket"))
+    spans = frame(suffix._spans_by_document(g) for _, g in covered.groupby("flush")).set_index("k_id")["spans"]
+    out = []
+    for i, t in rows:
+        rest, removed, runs = suffix.keep_and_span(t, spans.get(i))
+        out.append((i, len(rest) + removed, removed, runs, hashlib.sha256(rest).hexdigest()))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("case", ["plain", "hot", "colliding", "long", "small flushes"])
+def test_parts_of_repeats_agree_with_brute_force(monkeypatch, case):
+    import pyspark
+
+    class Task:
+        @staticmethod
+        def get():
+            return type("Context", (), {"partitionId": lambda self: 0})()
+
+    monkeypatch.setattr(pyspark, "TaskContext", Task)
+    rows = repeating_texts()
+    if case == "hot":  # each minimiser of more than one document is split
+        monkeypatch.setattr(suffix, "HOT", 1)
+    if case == "colliding":  # every stretch looks like every other
+        monkeypatch.setattr(suffix, "span_hash", lambda data, a, b: np.zeros(len(a), np.uint64))
+    if case == "long":  # every text is taken in overlapping pieces
+        monkeypatch.setattr(suffix, "PIECE", 10)
+    if case == "small flushes":
+        monkeypatch.setattr(suffix, "FLUSH", 1500)
+        monkeypatch.setattr(suffix, "ARRAY", 300)
+    assert run_alone(rows) == brute_kept(rows)
+
+
 def test_repeats_of_odd_rows(spark):
-    rows = {(r["doc_id"], r["n_removed"]) for r in suffix.without_repeats(odd(spark).drop("k_id")).collect()}
+    rows = {(r["doc_id"], r["n_removed"]) for r in suffix.without_repeats(odd(spark)).collect()}
     assert rows == {(1, 0), (2, 0), (None, 0), (4, 0), (5, 0)}
-    assert suffix.without_repeats(odd(spark).drop("k_id").limit(0)).count() == 0
+    assert suffix.without_repeats(odd(spark).limit(0)).count() == 0
 
 
 # near duplicates
@@ -289,10 +330,10 @@ def test_cleaning_cuts_hit_words_and_drops_contaminated_rows(spark):
 
 def test_decontamination_of_odd_rows(spark):
     bench = spark.createDataFrame([(0, "the same the same the same the same the same the same the"), (None, "zz"), (None, None)], "item_id long, text string")
-    rows = decontaminate.verdicts(odd(spark).drop("k_id"), bench).collect()
+    rows = decontaminate.verdicts(odd(spark), bench).collect()
     assert Counter((r["doc_id"], r["n_hit"], r["contaminated"]) for r in rows) == Counter([(1, 0, False), (2, 0, False), (5, 0, False), (4, 23, True), (4, 23, True), (None, 23, True)])
-    assert decontaminate.verdicts(odd(spark).drop("k_id"), bench.limit(0)).where("contaminated").count() == 0
-    assert decontaminate.verdicts(odd(spark).drop("k_id").limit(0), bench).count() == 0
+    assert decontaminate.verdicts(odd(spark), bench.limit(0)).where("contaminated").count() == 0
+    assert decontaminate.verdicts(odd(spark).limit(0), bench).count() == 0
     assert Counter(r["doc_id"] for r in decontaminate.clean(odd(spark), bench).collect()) == Counter([1, 2, 5])
 
 
