@@ -6,6 +6,7 @@ import ctypes
 import gc
 import os
 import tempfile
+import time
 import uuid
 import zlib
 
@@ -62,6 +63,17 @@ def give_back(*tables: dict) -> None:
         pass
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of frames that are no longer held; it does so after the driver's garbage collection.
+
+    Events on their way to listeners hold the frames too, so these get a moment to arrive.
+    """
+    for _ in range(2):
+        gc.collect()
+        time.sleep(0.5)
+        spark.sparkContext._jvm.System.gc()
+
+
 def row_key(doc_id: Column, text: Column) -> list[Column]:
     """Two columns that name a row by its id and content; rows equal in both get equal results."""
     return [doc_id.alias("k_id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("k_text")]

@@ -24,19 +24,17 @@ rows of equal id don't take from each other; repeated rows get equal results.
 
 from __future__ import annotations
 
-import gc
 import hashlib
 import pickle
-import time
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomery.llm.common import cut, prepare, row_key
+from loomery.llm.common import cut, prepare, release, row_key
 from loomery.llm.words import SpanHashes, mix, span_hash
 
 LENGTH, GRAM = 50, 16
@@ -252,17 +250,6 @@ def _unpacked(b: bytes) -> tuple:
     return pickle.loads(zstandard.ZstdDecompressor().decompress(b))
 
 
-def _release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of frames that are no longer held; it does so after the driver's garbage collection.
-
-    Events on their way to listeners hold the frames too, so these get a moment to arrive.
-    """
-    for _ in range(2):
-        gc.collect()
-        time.sleep(0.5)
-        spark.sparkContext._jvm.System.gc()
-
-
 _PARCEL = "bucket long, flush long, kind int, parcel binary"
 
 
@@ -595,14 +582,14 @@ def repeats(docs: DataFrame) -> DataFrame:
     answers = sent.repartition(buckets, "bucket").groupBy("bucket").applyInPandas(_shared_minimisers, "flush long, kind int, parcel binary")
     shared = cut(answers.repartition(flushes, "flush").groupBy("flush").applyInPandas(_by_document, "k_id long, k_text long, shared binary").dropDuplicates(["k_id", "k_text"]))
     del sent, answers
-    _release(spark)
+    release(spark)
     # in order: a task that is tried again deals the same documents to the same flushes
     near = rows.join(shared, ["k_id", "k_text"]).sortWithinPartitions("k_id", "k_text").mapInPandas(_send_stretches(buckets), _PARCEL)
     covered = near.repartition(buckets, "bucket").groupBy("bucket").applyInPandas(_covered, "flush long, parcel binary")
     spans = covered.repartition(flushes, "flush").groupBy("flush").applyInPandas(_spans_by_document, "k_id long, k_text long, spans binary")
     spans = cut(spans.dropDuplicates(["k_id", "k_text"]))
     del near, covered, shared
-    _release(spark)
+    release(spark)
     return spans
 
 

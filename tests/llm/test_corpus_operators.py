@@ -211,8 +211,33 @@ def near_texts():
     return rows + [(n, rows[0][1]), (n + 1, "one two"), (n + 2, "one two"), (n + 3, "One, two!"), (n + 4, None), (n + 5, ""), (n + 6, "!!"), (n + 7, "!!")]
 
 
-def brute_classes(rows, weights):
-    sets = minhash.weighted_sets([t or "" for _, t in rows], weights)
+def brute_sets(rows):
+    """Weighted sets of texts by the words of the docstring: shingles as strings, counts, logarithms."""
+    shingled = []
+    for _, t in rows:
+        words = re.findall(r"[0-9a-z\x80-\U0010ffff]+", (t or "").lower())
+        shingled.append(Counter(" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))) if words else Counter())
+    df = Counter(x for c in shingled for x in c)
+    return [{x: k * math.log1p(len(rows) / df[x]) for x, k in c.items()} for c in shingled]
+
+
+def brute_links(rows):
+    """All pairs of similarity 0.8 or more: every text against all that share a shingle with it."""
+    sets, having = brute_sets(rows), {}
+    total = [sum(s.values()) for s in sets]
+    found = set()
+    for b, own in enumerate(sets):
+        least = Counter()
+        for x, w in own.items():
+            for a in having.get(x, ()):
+                least[a] += min(w, sets[a][x])
+        found |= {(a, b) for a, m in least.items() if m >= minhash.SIMILAR * (total[a] + total[b] - m) * (1 + 1e-12)}
+        for x in own:
+            having.setdefault(x, []).append(b)
+    return found
+
+
+def brute_classes(rows):
     label = {i: i for i, _ in rows}
 
     def root(i):
@@ -220,43 +245,59 @@ def brute_classes(rows, weights):
             i = label[i]
         return i
 
-    for a in range(len(rows)):
-        for b in range(a):
-            same = bool(rows[a][1]) and rows[a][1] == rows[b][1]
-            if same or minhash.weighted_jaccard(sets[a], sets[b]) >= minhash.SIMILAR:
-                x, y = root(rows[a][0]), root(rows[b][0])
-                label[max(x, y)] = min(x, y)
+    same = {}
+    for k, (_, t) in enumerate(rows):
+        same.setdefault(t or k, []).append(k)
+    pairs = brute_links(rows) | {(x[0], y) for x in same.values() for y in x[1:]}
+    for a, b in pairs:
+        x, y = root(rows[a][0]), root(rows[b][0])
+        label[max(x, y)] = min(x, y)
     return {i: root(i) for i, _ in rows}
 
 
-@pytest.mark.parametrize("block", [2, 1000])
-def test_classes_agree_with_all_pairs(spark, monkeypatch, block):
-    monkeypatch.setattr(minhash, "BLOCK", block)
+@pytest.mark.parametrize("small", [False, True])
+def test_classes_agree_with_all_pairs(spark, monkeypatch, small):
+    if small:  # blocks, flushes, buckets and hot groups of next to nothing
+        for name, value in {"BLOCK": 2, "FLUSH_BYTES": 3000, "BUCKET_BYTES": 5000, "HOT": 1}.items():
+            monkeypatch.setattr(minhash, name, value)
     rows = near_texts()
-    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("node", F.lit(0)).withColumn("key", F.lit(0))
-    weights = minhash.inverse_frequencies(*minhash.frequencies(docs))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("node", F.lit(0)).withColumn("key", F.lit(0)).withColumn("p", F.lit(0))
     got = {r["doc_id"]: r["class_id"] for r in minhash.classes(docs).collect()}
-    assert got == brute_classes(rows, weights)
-    kept = {r["doc_id"] for r in minhash.keep_one(docs).collect()}
-    assert kept == set(got.values())
-
-
-def test_samples_agree_as_often_as_sets_are_similar():
-    weights = np.full(1 << minhash.SKETCH_BITS, 2.0, np.float32)
-    sampler = minhash.WeightedSampler(weights)
-    words = [f"w{i}" for i in range(400)]
-    other = words[:360] + [f"v{i}" for i in range(40)]
-    texts = [" ".join(words), " ".join(other)]
-    a, b = minhash.weighted_sets(texts, weights)
-    s = minhash.weighted_jaccard(a, b)
-    trials, hits = 0, 0
-    for seed in range(6):
-        r = random.Random(seed)
-        names = {w: f"{w}x{r.random()}" for w in {*words, *other}}
-        keys = sampler.band_keys([" ".join(names[w] for w in t.split()) for t in texts])
+    assert got == brute_classes(rows)
+    if not small:
+        kept = {r["doc_id"] for r in minhash.keep_one(docs).collect()}
+        assert kept == set(got.values())
+
+
+def test_links_of_whole_documents_are_found(spark):
+    """Recall against all pairs of sf0.01, which must be 0.99 or more; classes hold nothing else."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = sorted((r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect())
+    got = {r["doc_id"]: r["class_id"] for r in minhash.classes(docs).collect()}
+    links = brute_links(rows)
+    found = sum(got[rows[a][0]] == got[rows[b][0]] for a, b in links)
+    assert len(links) > 50 and found >= 0.99 * len(links)
+    want = brute_classes(rows)
+    assert sum(got[i] != want[i] for i in got) <= 0.01 * len(got) and all(got[i] == got[want[i]] or got[i] == i for i in got)
+
+
+@pytest.mark.parametrize("words", [400, 20_000])
+def test_samples_agree_as_often_as_sets_are_similar(words):
+    """In short texts, and in those with many more shingles than a table of draws has."""
+    sampler = minhash.WeightedSampler()
+    hits, trials, rng = 0, 0, np.random.default_rng(1)
+    for _ in range(6):
+        h = np.sort(rng.integers(0, 1 << 63, words + words // 10, np.uint64))
+        w = rng.choice([1.0, 2.0, 7.5], len(h))
+        part = rng.permutation(len(h))
+        own = [np.sort(part[words // 10 :]), np.sort(part[: len(h) - words // 10])]
+        s = np.intersect1d(*own)
+        similar = w[s].sum() / w.sum()
+        of, at = np.repeat([0, 1], [len(x) for x in own]), np.concatenate(own)
+        keys = sampler.band_keys(2, of, h[at], w[at])
         trials += len(keys[0])
-        hits += int((keys[0] == keys[1]).sum())
-    assert abs(hits / trials - s**minhash.ROWS) < 0.15
+        hits += int((keys[0] == keys[1]).sum()) - len(keys[0]) * similar**minhash.ROWS
+    assert abs(hits / trials) < 0.15
 
 
 def test_near_duplicates_of_odd_rows(spark):
