@@ -2,18 +2,15 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomery.session import shared_folder
+
 
 def cut(df: DataFrame) -> DataFrame:
     """Writes df to the shared checkpoint folder, so that rounds don't pile up lineage and survive lost executors."""
-    spark: SparkSession = df.sparkSession
-    if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):
-        spark.sparkContext.setCheckpointDir(os.path.join(tempfile.gettempdir(), "loomery-checkpoints"))
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

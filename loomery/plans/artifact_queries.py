@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import zlib
 from collections.abc import Iterator
 
@@ -17,6 +16,7 @@ from loomery.operators import contract as K
 from loomery.plans.corpus_queries import reviewed
 from loomery.plans.registry import query as q
 from loomery.plans.semantic_queries import members
+from loomery.session import shared_folder
 from loomery.sources import pdf as P
 from loomery.sources import records as R
 from loomery.sources.views import CORPUS, DENSE, corpus, dense, table, with_views
@@ -28,8 +28,7 @@ def _shared(spark, name: str) -> str:
     """A new folder that all executors see."""
     import uuid
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="loomery-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def sample_pdfs(spark, sf_dir):

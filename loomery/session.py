@@ -28,6 +28,23 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir, or the session's own where it is unset.
+
+    Without either, a local session gets one under its temporary folder; on a cluster that would be a folder of the driver's
+    alone, and what executors write would be lost, so it is an error.
+    """
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not named:
+        if not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        named = os.path.join(tempfile.gettempdir(), "loomery-checkpoints")
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(named)
+    return named.rstrip("/")
+
+
 def session(name: str = "loomery", **conf: str) -> SparkSession:
     """A session with adaptive execution and UTC, and the package shipped; conf takes Spark's settings with _ for dots."""
     builder = SparkSession.builder.appName(name).config("spark.sql.adaptive.enabled", "true").config("spark.sql.session.timeZone", "UTC")
