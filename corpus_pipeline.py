@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as Parquet to the shared folder and read
 again as the next stage's docs.  All but the last return the columns of documents.
+
+Defined results: null, empty and letterless texts go with the first stage, as do those in none of the learned languages;
+rows without an id are no one's duplicates and stay; of rows that share an id, and of near duplicates (ties: equal texts), the
+one of the smallest id stays, one row an id; other columns of documents, whatever their names, stay with their rows up to the
+last stage; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -12,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomery.llm import bpe, common, decontaminate, langid, minhash, secrets
+from loomery.session import shared_folder
 
 #: A document whose best language scores below this is rejected, as is one without letters or in none of the languages.
 LEAST_LANGUAGE_SCORE = 0.2
@@ -65,9 +71,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages one after the other over sf_dir's documents."""
     common.prepare(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    run_folder = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/pipeline-{uuid.uuid4().hex}"
     for name, stage in STAGES:
-        path = f"{shared}/pipeline-{uuid.uuid4().hex}/{name}"
+        path = f"{run_folder}/{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs

@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import ctypes
 import gc
-import os
-import tempfile
 import time
 import uuid
 import zlib
@@ -13,19 +11,17 @@ import zlib
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomery.session import ship
+from loomery.session import shared_folder, ship
 
 #: Rows in an Arrow batch, and in a batch of the Parquet reader: with documents of some KB, both stay at a MB or two.
 BATCH_ROWS = 400
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Bounds batches by rows, and sets a checkpoint folder where the cluster names none."""
+    """Bounds batches by rows, and sees to it that there is a folder for checkpoints."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", str(BATCH_ROWS))
-    context = ship(spark).sparkContext
-    if not (spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()):
-        context.setCheckpointDir(os.path.join(tempfile.gettempdir(), "loomery-checkpoints"))
+    shared_folder(ship(spark))
     return spark
 
 
@@ -35,16 +31,10 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir, or the session's own where it is unset."""
-    prepare(spark)
-    return (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()).rstrip("/")
-
-
 def store(df: DataFrame) -> DataFrame:
     """Like cut(), as compressed Parquet: for tables that hold texts."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    path = f"{shared_folder(prepare(spark))}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.parquet(path)
 

@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline as P
 
@@ -66,6 +67,28 @@ def test_empty_input(spark, folder):
         assert stage(spark, docs, path).count() == 0
 
 
+def test_odd_rows(spark, folder):
+    """Nulls in any column, repeated rows and ids, a very long text, columns whose names the stages use themselves."""
+    path, item = folder
+    r = random.Random(3)
+    words = LANGS["en"].split()
+    long = " ".join(r.choice(words) + str(r.randrange(10)) for _ in range(60_000))
+    clean = spark.read.parquet(f"{path}/documents.parquet").where("doc_id < 40")
+    texts = [" ".join(r.choice(words) for _ in range(50)) for _ in range(3)]
+    rows = [(300, texts[0], None, None, None), (300, texts[0], None, None, None), (301, texts[1], "en", None, 1), (301, texts[2], "en", None, 1), (None, texts[0], "en", "s", 1), (None, None, None, None, None), (302, "", None, None, 0), (303, long, None, None, None), (None, item, "en", "s", 1)]
+    docs = clean.unionByName(spark.createDataFrame(rows, SCHEMA))
+    for name in ("node", "key", "p", "spans", "score", "lang_pred", "h_id", "k_id", "n_words", "found", "shared"):
+        docs = docs.withColumn(name, F.lit(name))
+    columns, out = docs.columns, docs
+    for k, (_, stage) in enumerate(P.STAGES):
+        out = stage(spark, out, path)
+        assert k == len(P.STAGES) - 1 or out.columns == columns
+        out.write.parquet(f"{path}/odd{k}")
+        out = spark.read.parquet(f"{path}/odd{k}")
+    got = sorted((r["doc_id"] for r in out.collect()), key=lambda i: (i is None, i))
+    assert got == [*range(40), 300, 301, 303, None]
+
+
 def test_foreign_text_and_gibberish_go(spark, tmp_path):
     r = random.Random(2)
     clean = spark.createDataFrame([(i, " ".join(r.choice(LANGS[lang].split()) for _ in range(30 + 5 * i)), lang, "s", 1) for i in range(40) for lang in [list(LANGS)[i % 2]]], SCHEMA)
