@@ -12,31 +12,32 @@ from loomery.plans.registry import query as q
 from loomery.sources.views import AUTHORSHIP, BIBLIOGRAPHY, CITED, authorship, bibliography, cited_records, table, with_views
 
 C = F.col
-#: A thinner bibliography and authorship, whose graphs fall into components.
-_THIN = "bibliography AS (SELECT l_orderkey AS record_id, l_linenumber AS pos, 'part ' || l_partkey AS key FROM lineitem WHERE l_quantity >= 50)"
-_FEW = "few AS (SELECT l_orderkey AS work_id, l_suppkey AS author, 'Name ' || (l_suppkey % 40) AS name, o_orderpriority AS topic FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderkey % 100 = 0)"
-_OCC = "occ AS (SELECT DISTINCT l_orderkey AS work_id, 'Name ' || (l_suppkey % 40) AS name, l_orderkey || ':' || (l_suppkey % 40) AS occ, o_orderpriority AS topic FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderkey % 20 = 0)"
+_FEW = "few AS (SELECT l_orderkey AS work_id, l_suppkey AS author, 'Name ' || (l_suppkey % 40) AS name, o_orderpriority AS topic FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"
+_OCC = "occ AS (SELECT DISTINCT l_orderkey AS work_id, 'Name ' || (l_suppkey % 40) AS name, l_orderkey || ':' || (l_suppkey % 40) AS occ, o_orderpriority AS topic FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"
 _EDGES = "sizes AS (SELECT record_id, count(*) AS n FROM bibliography GROUP BY 1), u AS (SELECT DISTINCT record_id, key FROM bibliography), pairs AS (SELECT x.record_id AS a, y.record_id AS b, count(*) AS shared FROM u x JOIN u y ON x.key = y.key AND x.record_id < y.record_id GROUP BY 1, 2), edges AS (SELECT a, b, shared, round(shared::DOUBLE / greatest(1, least(p.n, r.n)), 4) AS score FROM pairs JOIN sizes p ON a = p.record_id JOIN sizes r ON b = r.record_id)"
 _LINKS = "u AS (SELECT DISTINCT work_id, author FROM {t}), links AS (SELECT x.author AS a, y.author AS b, count(*) AS shared FROM u x JOIN u y ON x.work_id = y.work_id AND x.author < y.author GROUP BY 1, 2)"
 
 
-def _reach(edges: str) -> str:
-    """Components by reachability, to be put behind WITH RECURSIVE."""
-    return f"two AS (SELECT a, b FROM {edges} UNION SELECT b, a FROM {edges}), reach AS (SELECT a AS node, a AS label FROM two UNION SELECT two.b, reach.label FROM reach JOIN two ON two.a = reach.node), labels AS (SELECT node, min(label) AS label FROM reach GROUP BY 1)"
+def _labels(groups: str, rounds: int = 16) -> str:
+    """Components of what shares a group (table of node, k), by passing on the smallest label; to be put behind WITH RECURSIVE."""
+    mem = f"mem AS (SELECT DISTINCT node, k FROM ({groups}) QUALIFY count(*) OVER (PARTITION BY k) > 1)"
+    heard = "SELECT it, k, min(label) AS label FROM lab JOIN mem USING (node) GROUP BY 1, 2"
+    lab = f"lab AS (SELECT DISTINCT 0 AS it, node, node AS label FROM mem UNION ALL SELECT it + 1, mem.node, min(g.label) FROM mem JOIN ({heard}) g USING (k) WHERE it < {rounds} GROUP BY 1, 2)"
+    return f"{mem}, {lab}, labels AS (SELECT node, label FROM lab WHERE it = {rounds})"
 
 
-def thin(spark, sf_dir):
-    li = table(spark, sf_dir, "lineitem").where(C("l_quantity") >= 50)
-    return li.select(C("l_orderkey").alias("record_id"), C("l_linenumber").alias("pos"), F.concat(F.lit("part "), C("l_partkey").cast("string")).alias("key"))
+_CITING = _labels("SELECT DISTINCT record_id AS node, key AS k FROM bibliography")
+_STRONG = _labels("SELECT a AS node, a || '-' || b AS k FROM links WHERE shared >= 2 UNION ALL SELECT b, a || '-' || b FROM links WHERE shared >= 2")
+_SAME = _labels("SELECT DISTINCT x.occ AS node, x.name || '|' || y.name AS k FROM occ x JOIN occ y ON x.work_id = y.work_id AND x.name <> y.name")
 
 
 def few(spark, sf_dir):
-    a = authorship(spark, sf_dir).where(C("work_id") % 100 == 0)
-    return a.select("work_id", F.substring("author", 2, 20).cast("long").alias("author"), "name", "topic")
+    """Whole authorship, authors as numbers."""
+    return authorship(spark, sf_dir).select("work_id", F.substring("author", 2, 20).cast("long").alias("author"), "name", "topic")
 
 
 def occurrences(spark, sf_dir):
-    a = authorship(spark, sf_dir).where(C("work_id") % 20 == 0)
+    a = authorship(spark, sf_dir)
     return a.select("work_id", "name", F.concat_ws(":", "work_id", F.substring("name", 6, 10)).alias("occ"), "topic").distinct()
 
 
@@ -50,9 +51,9 @@ def e4(spark, sf_dir):
     return G.shared_pairs(bibliography(spark, sf_dir), "key", "record_id").agg(F.count(F.lit(1)).alias("pairs"), F.sum("shared").alias("shared"))
 
 
-@q("k2_communities", f"WITH RECURSIVE {_THIN}, {CITED}, {_EDGES}, {_reach('edges')}, sz AS (SELECT label, count(*) AS members FROM labels GROUP BY 1), ins AS (SELECT label, count(*) AS edges, max(shared) AS max_shared FROM edges JOIN labels ON a = node GROUP BY 1), modes AS (SELECT label, category FROM labels JOIN cited ON node = record_id GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY label ORDER BY count(*) DESC, min(node)) = 1) SELECT label, members, edges, max_shared, category FROM sz JOIN ins USING (label) JOIN modes USING (label) ORDER BY members DESC, label LIMIT 12")
+@q("k2_communities", f"WITH RECURSIVE {BIBLIOGRAPHY}, {CITED}, {_EDGES}, {_CITING}, sz AS (SELECT label, count(*) AS members FROM labels GROUP BY 1), ins AS (SELECT label, count(*) AS edges, max(shared) AS max_shared FROM edges JOIN labels ON a = node GROUP BY 1), modes AS (SELECT label, category FROM labels JOIN cited ON node = record_id GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY label ORDER BY count(*) DESC, min(node)) = 1) SELECT label, members, edges, max_shared, category FROM sz JOIN ins USING (label) JOIN modes USING (label) ORDER BY members DESC, label LIMIT 12")
 def k2(spark, sf_dir):
-    return X.communities(X.overlap_edges(thin(spark, sf_dir)), cited_records(spark, sf_dir))
+    return X.communities(X.overlap_edges(bibliography(spark, sf_dir)), cited_records(spark, sf_dir))
 
 
 @q("k3_bridge_pairs", f"{with_views(BIBLIOGRAPHY, _EDGES)} SELECT row_number() OVER (ORDER BY score DESC, shared DESC, a, b)::INTEGER AS rank, a, b, shared, score FROM edges ORDER BY rank LIMIT 10")
@@ -65,14 +66,14 @@ def k4(spark, sf_dir):
     return X.foundations(bibliography(spark, sf_dir))
 
 
-@q("k5_citation_neighbourhood", f"{with_views(_THIN, _EDGES)}, two AS (SELECT a AS record_id, b AS other, shared, score FROM edges UNION ALL SELECT b, a, shared, score FROM edges) SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY score DESC, shared DESC, other)::INTEGER AS rank FROM two QUALIFY rank <= 20")
+@q("k5_citation_neighbourhood", f"{with_views(BIBLIOGRAPHY, _EDGES)}, two AS (SELECT a AS record_id, b AS other, shared, score FROM edges UNION ALL SELECT b, a, shared, score FROM edges) SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY score DESC, shared DESC, other)::INTEGER AS rank FROM two QUALIFY rank <= 20")
 def k5(spark, sf_dir):
-    return X.neighbourhoods(X.overlap_edges(thin(spark, sf_dir)))
+    return X.neighbourhoods(X.overlap_edges(bibliography(spark, sf_dir)))
 
 
-@q("f14_reference_summary", f"{with_views(_THIN, _EDGES)} SELECT (SELECT count(DISTINCT record_id) FROM bibliography) AS records, (SELECT count(DISTINCT key) FROM bibliography) AS keys, (SELECT count(*) FROM (SELECT a FROM edges UNION SELECT b FROM edges)) AS overlapping, (SELECT count(*) FROM edges) AS edges")
+@q("f14_reference_summary", f"{with_views(BIBLIOGRAPHY, _EDGES)} SELECT (SELECT count(DISTINCT record_id) FROM bibliography) AS records, (SELECT count(DISTINCT key) FROM bibliography) AS keys, (SELECT count(*) FROM (SELECT a FROM edges UNION SELECT b FROM edges)) AS overlapping, (SELECT count(*) FROM edges) AS edges")
 def f14(spark, sf_dir):
-    refs = thin(spark, sf_dir)
+    refs = bibliography(spark, sf_dir)
     return X.summary(refs, X.overlap_edges(refs))
 
 
@@ -81,16 +82,16 @@ def g7(spark, sf_dir):
     return top(bibliography(spark, sf_dir).select("key", "record_id").distinct(), ["key"], [F.asc("record_id")], 40)
 
 
-@q("l7_reference_health", f"{with_views(_THIN)} SELECT (SELECT count(*) FROM orders) AS records, count(DISTINCT record_id) AS with_references, round(count(DISTINCT record_id) * 100.0 / (SELECT count(*) FROM orders), 2)::DOUBLE AS percent, count(*) AS refs FROM bibliography")
+@q("l7_reference_health", f"{with_views(BIBLIOGRAPHY)} SELECT (SELECT count(*) FROM orders) AS records, count(DISTINCT record_id) AS with_references, round(count(DISTINCT record_id) * 100.0 / (SELECT count(*) FROM orders), 2)::DOUBLE AS percent, count(*) AS refs FROM bibliography")
 def l7(spark, sf_dir):
-    refs = thin(spark, sf_dir).agg(F.count_distinct("record_id").alias("with_references"), F.count(F.lit(1)).alias("refs"))
+    refs = bibliography(spark, sf_dir).agg(F.count_distinct("record_id").alias("with_references"), F.count(F.lit(1)).alias("refs"))
     n = table(spark, sf_dir, "orders").agg(F.count(F.lit(1)).alias("records"))
     return n.join(F.broadcast(refs)).select("records", "with_references", F.round(C("with_references") * 100.0 / C("records"), 2).alias("percent"), "refs")
 
 
-@q("l11_reference_artifacts", f"{with_views(_THIN, _EDGES)} SELECT 'edges' AS artifact, count(*) AS n FROM edges UNION ALL SELECT 'bridges', least(10, count(*)) FROM edges UNION ALL SELECT 'foundations', least(20, count(*)) FROM (SELECT key FROM bibliography GROUP BY 1 HAVING count(DISTINCT record_id) >= 2) UNION ALL SELECT 'summary', 1")
+@q("l11_reference_artifacts", f"{with_views(BIBLIOGRAPHY, _EDGES)} SELECT 'edges' AS artifact, count(*) AS n FROM edges UNION ALL SELECT 'bridges', least(10, count(*)) FROM edges UNION ALL SELECT 'foundations', least(20, count(*)) FROM (SELECT key FROM bibliography GROUP BY 1 HAVING count(DISTINCT record_id) >= 2) UNION ALL SELECT 'summary', 1")
 def l11(spark, sf_dir):
-    made = X.reference_artifacts(thin(spark, sf_dir), cited_records(spark, sf_dir))
+    made = X.reference_artifacts(bibliography(spark, sf_dir), cited_records(spark, sf_dir))
     parts = [made[k].agg(F.lit(k).alias("artifact"), F.count(F.lit(1)).alias("n")) for k in ("edges", "bridges", "foundations", "summary")]
     return parts[0].unionAll(parts[1]).unionAll(parts[2]).unionAll(parts[3])
 
@@ -105,21 +106,18 @@ def k7(spark, sf_dir):
     return P.coauthor_links(few(spark, sf_dir), "author")
 
 
-@q("k8_coauthor_groups", f"WITH RECURSIVE {_FEW}, {_LINKS.format(t='few')}, strong AS (SELECT a, b FROM links WHERE shared >= 2), {_reach('strong')}, ins AS (SELECT label, work_id FROM u JOIN labels ON author = node GROUP BY 1, 2 HAVING count(*) >= 2), w AS (SELECT label, count(*) AS works FROM ins GROUP BY 1 HAVING count(*) >= 2), sz AS (SELECT label, count(*) AS members FROM labels GROUP BY 1) SELECT label, members, works FROM sz JOIN w USING (label)")
+@q("k8_coauthor_groups", f"WITH RECURSIVE {_FEW}, {_LINKS.format(t='few')}, {_STRONG}, ins AS (SELECT label, work_id FROM u JOIN labels ON author = node GROUP BY 1, 2 HAVING count(*) >= 2), w AS (SELECT label, count(*) AS works FROM ins GROUP BY 1 HAVING count(*) >= 2), sz AS (SELECT label, count(*) AS members FROM labels GROUP BY 1) SELECT label, members, works FROM sz JOIN w USING (label)")
 def k8(spark, sf_dir):
     own = few(spark, sf_dir)
     return P.groups(own, P.coauthor_links(own, "author"), "author")
 
 
-_SAME = "same AS (SELECT DISTINCT x.occ AS a, y.occ AS b FROM occ x JOIN occ y ON x.name = y.name AND x.occ < y.occ JOIN occ xc ON xc.work_id = x.work_id AND xc.name <> x.name JOIN occ yc ON yc.work_id = y.work_id AND yc.name <> y.name AND yc.name = xc.name)"
-
-
-@q("e6_identity_candidates", f"WITH RECURSIVE {_OCC}, {_SAME}, {_reach('same')} SELECT count(*) AS occurrences, count(DISTINCT label) AS people FROM labels")
+@q("e6_identity_candidates", f"WITH RECURSIVE {_OCC}, {_SAME} SELECT count(*) AS occurrences, count(DISTINCT label) AS people FROM labels")
 def e6(spark, sf_dir):
     return G.components(P.identity_edges(occurrences(spark, sf_dir))).agg(F.count(F.lit(1)).alias("occurrences"), F.count_distinct("label").alias("people"))
 
 
-_IDENT = f"{_OCC}, {_SAME}, {_reach('same')}, resolved AS (SELECT occ.*, coalesce(label, occ) AS identity FROM occ LEFT JOIN labels ON node = occ)"
+_IDENT = f"{_OCC}, {_SAME}, resolved AS (SELECT occ.*, coalesce(label, occ) AS identity FROM occ LEFT JOIN labels ON node = occ)"
 
 
 @q("k6_identity_resolution", f"WITH RECURSIVE {_IDENT} SELECT occ, identity FROM resolved")
@@ -152,12 +150,12 @@ def f18(spark, sf_dir):
     return P.insights(*_people(spark, sf_dir))
 
 
-@q("k10_components", f"WITH RECURSIVE {_FEW}, {_LINKS.format(t='few')}, strong AS (SELECT a, b FROM links WHERE shared >= 2), {_reach('strong')} SELECT node, label FROM labels")
+@q("k10_components", f"WITH RECURSIVE {_FEW}, {_LINKS.format(t='few')}, {_STRONG} SELECT node, label FROM labels")
 def k10(spark, sf_dir):
     return G.components(P.coauthor_links(few(spark, sf_dir), "author").where(C("shared") >= 2))
 
 
-@q("k11_islands", f"WITH RECURSIVE {_FEW}, {_LINKS.format(t='few')}, strong AS (SELECT a, b FROM links WHERE shared >= 2), {_reach('strong')}, w AS (SELECT author AS node, count(DISTINCT work_id) AS weight FROM few GROUP BY 1), i AS (SELECT label, count(*) AS size, sum(weight)::BIGINT AS weight FROM labels JOIN w USING (node) GROUP BY 1 HAVING count(*) >= 2) SELECT *, row_number() OVER (ORDER BY size DESC, weight DESC, label)::INTEGER AS rank FROM i QUALIFY rank <= 10")
+@q("k11_islands", f"WITH RECURSIVE {_FEW}, {_LINKS.format(t='few')}, {_STRONG}, w AS (SELECT author AS node, count(DISTINCT work_id) AS weight FROM few GROUP BY 1), i AS (SELECT label, count(*) AS size, sum(weight)::BIGINT AS weight FROM labels JOIN w USING (node) GROUP BY 1 HAVING count(*) >= 2) SELECT *, row_number() OVER (ORDER BY size DESC, weight DESC, label)::INTEGER AS rank FROM i QUALIFY rank <= 10")
 def k11(spark, sf_dir):
     own = few(spark, sf_dir)
     labels = G.components(P.coauthor_links(own, "author").where(C("shared") >= 2))
