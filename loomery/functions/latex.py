@@ -10,7 +10,9 @@ from loomery.functions.text import ordered_distinct_ignoring_case, present
 # Greek letters by name, and macros whose argument stands for itself.
 GREEK = {"alpha": "α", "beta": "β", "gamma": "γ", "delta": "δ", "epsilon": "ε", "lambda": "λ", "mu": "μ", "pi": "π", "sigma": "σ", "theta": "θ"}
 STYLES = "texttt|textbf|textit|mathrm|mathbf|mathsf|operatorname"
-TEXT_STYLES = "textit|texttt|textbf|textrm|textsc|emph|text|mathbb|mathbf|mathrm|mathsf|mathcal"
+# Macros of text, and then those of mathematics, that abstracts lose; in two passes, in this order.
+TEXT_STYLES = "textit|texttt|textbf|textrm|textsc|emph|text"
+MATH_STYLES = "mathbb|mathbf|mathrm|mathsf|mathcal"
 # Plain text between dollar signs, and lines that are no titles.
 PLAIN_MATH = r"""^[A-Za-z0-9][A-Za-z0-9\s.,;:'"!?+\-/]*(?:\^[0-9]+)?$"""
 NO_TITLES = (
@@ -37,15 +39,16 @@ def plain_math_title(x: Column) -> Column:
 def clean_abstract(x: Column) -> Column:
     """Without citations, styles unwrapped, plain text between dollar signs freed of them, no space before punctuation."""
     t = F.regexp_replace(F.regexp_replace(present(x), r"(?i)\[cite:\s*\d+(?:\s*,\s*\d+)*\]", ""), r"\\cite[tp]?\{[^{}]*\}", "")
-    t = F.regexp_replace(t, rf"\\(?:{TEXT_STYLES})\{{([^{{}}]*)\}}", "$1")
-    parts = F.split(t, r"\$", -1)
+    for styles in (TEXT_STYLES, MATH_STYLES):
+        t = F.regexp_replace(t, rf"\\(?:{styles})\{{([^{{}}]*)\}}", "$1")
 
-    def part(p: Column, i: Column) -> Column:
-        inside, last = i % 2 == 1, i == F.size(parts) - 1
-        plain = F.trim(p).rlike(PLAIN_MATH)
-        return F.when(inside & last, F.concat(F.lit("$"), p)).when(inside & plain, F.trim(p)).when(inside, F.concat(F.lit("$"), F.trim(p), F.lit("$"))).otherwise(p)
+    def shown(inside: Column) -> Column:
+        return F.when(inside.rlike(PLAIN_MATH), inside).otherwise(F.concat(F.lit("$"), inside, F.lit("$")))
 
-    joined = F.array_join(F.transform(parts, part), "")
+    formula = r"\$([^$]+)\$"
+    between, formulas = F.split(t, formula, -1), F.regexp_extract_all(t, F.lit(formula), F.lit(1))
+    behind = F.zip_with(formulas, F.slice(between, 2, F.size(between)), lambda f, rest: F.concat(shown(F.trim(f)), rest))
+    joined = F.concat(between[0], F.array_join(behind, ""))
     return F.regexp_replace(F.regexp_replace(joined, r"\s+([,.;:])", "$1"), r"\s{2,}", " ")
 
 

@@ -22,7 +22,13 @@ ROUNDS, POWER_ROUNDS = 30, 60
 
 
 def pack(vectors: DataFrame, order: DataFrame) -> tuple[DataFrame, int]:
-    """(id, term, w) as packed rows, and the number of dimensions; order has id and ord.
+    """(id, term, w) as packed rows, and the number of dimensions; order has id and ord."""
+    rows, dims = numbered(vectors)
+    return rows.join(order, "id").select("id", "ord", "idx", "w"), dims
+
+
+def numbered(vectors: DataFrame) -> tuple[DataFrame, int]:
+    """(id, term, w) as rows id, idx, w, and the number of dimensions.
 
     Terms get numbers in their own order; the table of them is the vocabulary, joined, not collected.
     """
@@ -37,7 +43,7 @@ def pack(vectors: DataFrame, order: DataFrame) -> tuple[DataFrame, int]:
     start = F.create_map(*[F.lit(x) for kv in before.items() for x in kv]) if before else None
     numbered = local.select("term", (F.col("place") + start[F.col("part")]).cast("int").alias("i")) if before else local.select("term", F.lit(0).alias("i"))
     rows = vectors.join(numbered, "term").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("i", "w"))).alias("x"))
-    return rows.join(order, "id").select("id", "ord", F.transform("x", lambda s: s["i"]).alias("idx"), F.transform("x", lambda s: s["w"].cast("double")).alias("w")), dims
+    return rows.select("id", F.transform("x", lambda s: s["i"]).alias("idx"), F.transform("x", lambda s: s["w"].cast("double")).alias("w")), dims
 
 
 def from_dense(vectors: DataFrame, vec: str = "vec") -> DataFrame:

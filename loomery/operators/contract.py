@@ -53,6 +53,22 @@ def level_sizes(assigned: DataFrame, records: DataFrame, artifact: str = "cluste
     return violation(per.join(F.broadcast(n)).where((F.col("rows") != F.col("n")) | (F.col("ids") != F.col("n")) | (F.col("k") < 2)), artifact, "level", "k")
 
 
+def shards(spark, path: str, name: str, index: DataFrame, by: str = "type") -> DataFrame:
+    """A published table of shards against the index (id, and the shard's column): ids, shards without rows, and its pin."""
+    from loomery.operators import artifacts
+
+    rows = artifacts.read(spark, path, name, check=False)
+    parts = rows.groupBy(by).agg(F.count(F.lit(1)).alias("n"))
+    checks = [
+        violation(unknown(rows, "id", index), "shards", "known id", "id"),
+        violation(unknown(index.select("id"), "id", rows), "shards", "id in no shard", "id"),
+        violation(unknown(index.select(by).distinct(), by, parts, by), "shards", "empty shard", by),
+    ]
+    if name in artifacts.broken(spark, path):
+        checks.append(spark.createDataFrame([("shards", "pin", name)], "artifact string, rule string, detail string"))
+    return all_of(*checks)
+
+
 def all_of(*checks: DataFrame) -> DataFrame:
     out = checks[0]
     for c in checks[1:]:

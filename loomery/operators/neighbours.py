@@ -1,4 +1,10 @@
-"""Exact cosine nearest neighbours of sparse unit vectors, and searches against them."""
+"""Exact cosine nearest neighbours of unit vectors, and searches against them.
+
+All go through one product of blocks.  Vectors are packed into chunks of a bounded number of entries; each chunk of the one
+side meets each chunk of the other and leaves only the best scores of each row, so what is shuffled for the ranking is
+bounded by rows times chunks, never by pairs.  The chunks of the smaller side are broadcast while they stay below BROADCAST
+bytes; beyond, both are shuffled by groups of chunks.  The driver sees counts alone.
+"""
 
 from __future__ import annotations
 
@@ -9,98 +15,146 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomery.operators.cluster import numbered
+from loomery.operators.graph import cut
 from loomery.operators.ranking import top
 
 # Neighbours of a record, and the score that they exceed.
 NEIGHBOURS, LEAST_SCORE = 12, 0.02
-#: Products up to which postings are joined; beyond, blocks of rows are broadcast one after the other.
-JOIN_LIMIT = 50_000_000
-#: Postings in a block: 16 bytes each, so a broadcast of 32 MB.
-BLOCK_POSTINGS = 2_000_000
-
-
-def products(vectors: DataFrame) -> int:
-    """How many pairs of postings have a term in common."""
-    d = vectors.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    return int(d.agg(F.sum(F.col("df") * (F.col("df") - 1))).first()[0] or 0)
+#: Entries of a chunk, 12 bytes each, and its rows; bytes of one side's chunks up to which they are broadcast.
+CHUNK_ENTRIES, CHUNK_ROWS, BROADCAST = 250_000, 2048, 64_000_000
+#: Dimensions up to which chunks are multiplied as dense matrices; beyond, by the postings of their terms.
+DENSE = 2048
+_CHUNK = "chunk long, ids binary, sizes binary, terms binary, weights binary"
+
+
+def _pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    from pyspark import TaskContext
+
+    number = TaskContext.get().partitionId() << 33
+    held: list[tuple] = []
+    entries = 0
+
+    def chunk() -> pd.DataFrame:
+        nonlocal number
+        ids, terms, weights = zip(*held, strict=True)
+        values = [np.array(ids, np.int64), np.array([len(t) for t in terms], np.int32), np.concatenate(terms).astype(np.int32), np.concatenate(weights).astype(np.float64)]
+        number += 1
+        return pd.DataFrame([(number, *[v.tobytes() for v in values])], columns=["chunk", "ids", "sizes", "terms", "weights"])
+
+    for b in batches:
+        for row in zip(b["id"], b["idx"], b["w"], strict=True):
+            held.append(row)
+            entries += len(row[1])
+            if entries >= CHUNK_ENTRIES or len(held) >= CHUNK_ROWS:
+                yield chunk()
+                held, entries = [], 0
+    if held:
+        yield chunk()
+
+
+def _unpack(ids: bytes, sizes: bytes, terms: bytes, weights: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """ids, and row, term and weight of each entry."""
+    n = np.frombuffer(sizes, np.int32)
+    return np.frombuffer(ids, np.int64), np.repeat(np.arange(len(n)), n), np.frombuffer(terms, np.int32), np.frombuffer(weights, np.float64)
+
+
+def _scores(a: tuple, b: tuple, dims: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(first row, scores) of some rows of a with all rows of b at a time."""
+    (ids, row, term, w), (other, row_b, term_b, w_b) = a, b
+    if dims <= DENSE:
+        x, y = np.zeros((len(ids), dims)), np.zeros((len(other), dims))
+        x[row, term], y[row_b, term_b] = w, w_b
+        for at in range(0, len(ids), 512):
+            yield at, x[at : at + 512] @ y.T
+        return
+    order = np.argsort(term_b, kind="stable")
+    sorted_, row_b, w_b = term_b[order], row_b[order], w_b[order]
+    names, begin = np.unique(sorted_, return_index=True)
+    place = np.minimum(np.searchsorted(names, term), max(0, len(names) - 1))
+    lo = begin[place] if len(names) else np.zeros(len(term), np.int64)
+    n = np.where(names[place] == term, np.append(begin[1:], len(sorted_))[place] - lo, 0) if len(names) else lo
+    edges = np.searchsorted(row, np.arange(len(ids) + 1))
+    total = np.append(0, np.cumsum(n))[edges]  # postings met by the rows before each
+    first = 0
+    while first < len(ids):  # some rows at a time: a million postings, or a million scores
+        last = max(first + 1, min(int(np.searchsorted(total, total[first] + 1_000_000, "right")) - 1, first + 1_000_000 // max(1, len(other))))
+        s, e = edges[first], edges[last]
+        at = np.repeat(lo[s:e] - np.cumsum(n[s:e]) + n[s:e], n[s:e]) + np.arange(n[s:e].sum())
+        cell = np.repeat((row[s:e] - first) * len(other), n[s:e]) + row_b[at]
+        yield first, np.bincount(cell, w_b[at] * np.repeat(w[s:e], n[s:e]), minlength=(last - first) * len(other)).reshape(last - first, -1)
+        first = last
+
+
+def products(rows: DataFrame, others: DataFrame, dims: int, most: int, least: float, strictly: bool = False) -> DataFrame:
+    """id, other, score, rank: the `most` best others of each row by inner product, rounded to 4 places; ties to smaller ids.
+
+    Both have id, idx, w; scores reach `least`, or exceed it if strictly so.  A row isn't its own answer if rows is others.
+    """
+    same = rows is others
+    left = cut(rows.select("id", "idx", "w").mapInPandas(_pack, _CHUNK))
+    right = left if same else cut(others.select("id", "idx", "w").mapInPandas(_pack, _CHUNK))
+    size = lambda df: df.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("terms") * 3 + F.octet_length("ids")), F.lit(0))).first()
+    (n_left, b_left), (n_right, b_right) = size(left), size(right)
+    names = lambda df, side: df.select(*[F.col(c).alias(f"{side}_{c}") for c in ("ids", "sizes", "terms", "weights")], F.pmod(F.xxhash64("chunk"), F.lit(groups)).alias(f"{side}_group"))
+    groups = max(1, min(n_left, n_right, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    a, b = names(left, "a"), names(right, "b")
+    all_ = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long")))
+    if min(b_left, b_right) <= BROADCAST:
+        small = b if b_right <= b_left else a
+        spread = (a if small is b else b).repartition(max(1, min(n_left if small is b else n_right, 4 * groups)))
+        met = spread.withColumn("one", F.lit(1)).join(F.broadcast(small.withColumn("one", F.lit(1))), "one")
+    else:
+        met = a.withColumn("b_group", all_).join(b.withColumn("a_group", all_), ["a_group", "b_group"])
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for r in batch.itertuples():
+                x, y = _unpack(r.a_ids, r.a_sizes, r.a_terms, r.a_weights), _unpack(r.b_ids, r.b_sizes, r.b_terms, r.b_weights)
+                for at, s in _scores(x, y, dims):
+                    hit = s > least if strictly else s >= least
+                    if same:
+                        hit &= x[0][at : at + len(s), None] != y[0][None, :]
+                    i, j = np.nonzero(hit)
+                    value = np.floor(s[i, j] * 1e4 + 0.5) / 1e4
+                    order = np.lexsort((y[0][j], -value, i))
+                    i, j, value = i[order], j[order], value[order]
+                    first = np.flatnonzero(np.diff(i, prepend=-1))
+                    best = np.arange(len(i)) - np.repeat(first, np.diff(np.append(first, len(i)))) < most
+                    yield pd.DataFrame({"id": x[0][at + i[best]], "other": y[0][j[best]], "score": value[best]})
+
+    scored = met.select(*[f"{s}_{c}" for s in "ab" for c in ("ids", "sizes", "terms", "weights")]).mapInPandas(score, "id long, other long, score double")
+    return top(scored, ["id"], [F.desc("score"), F.asc("other")], most)
 
 
 def nearest(vectors: DataFrame, most: int = NEIGHBOURS, least: float = LEAST_SCORE) -> DataFrame:
     """id, nbr, score, rank: the records of the highest cosine, rounded to 4 places before they are ranked; ties by id order.
 
-    vectors: id (a number that orders the records), term, w.
+    vectors: id (a number that orders the records), term, w, with a row for each term of a record.
     """
-    scored = joined_scores(vectors, least) if products(vectors) <= JOIN_LIMIT else blocked_scores(vectors, most, least)
-    return top(scored, ["id"], [F.desc("score"), F.asc("nbr")], most)
-
+    rows, dims = numbered(vectors)
+    return products(rows, rows, dims, most, least, strictly=True).withColumnRenamed("other", "nbr")
 
-def joined_scores(vectors: DataFrame, least: float) -> DataFrame:
-    """All pairs above the threshold, by a join of postings on their terms."""
-    other = vectors.select(F.col("id").alias("nbr"), "term", F.col("w").alias("v"))
-    sums = vectors.join(other, "term").where(F.col("id") != F.col("nbr")).groupBy("id", "nbr").agg(F.sum(F.col("w") * F.col("v")).alias("s"))
-    return sums.where(F.col("s") > least).select("id", "nbr", F.round("s", 4).alias("score"))
 
+def by_row(vectors: DataFrame) -> DataFrame:
+    """(id, term, w), whose terms are small numbers, as rows id, idx, w."""
+    x = F.array_sort(F.collect_list(F.struct(F.col("term").cast("int").alias("i"), F.col("w").cast("double").alias("w"))))
+    return vectors.groupBy("id").agg(x.alias("x")).select("id", F.transform("x", lambda s: s["i"]).alias("idx"), F.transform("x", lambda s: s["w"]).alias("w"))
 
-def blocked_scores(vectors: DataFrame, most: int, least: float) -> DataFrame:
-    """The best pairs of each record with each block of others.
 
-    Records are packed into rows; the blocks, of a bounded number of postings, are broadcast in turn and every record is
-    scored against a block by adding up the postings of its terms.  Each block leaves at most `most` rows a record.
-    """
-    spark = vectors.sparkSession
-    coded = vectors.select("id", F.xxhash64("term").alias("t"), F.col("w").cast("double").alias("w"))
-    packed = coded.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("t", "w"))).alias("x")).select("id", F.transform("x", lambda s: s["t"]).alias("t"), F.transform("x", lambda s: s["w"]).alias("w")).persist()
-    total = packed.agg(F.sum(F.size("t"))).first()[0] or 0
-    parts = max(1, -(-int(total) // BLOCK_POSTINGS))
-    out = None
-    for part in range(parts):
-        rows = packed.where(F.pmod(F.xxhash64("id"), F.lit(parts)) == part).collect()
-        if not rows:
-            continue
-        ids = np.array([r["id"] for r in rows], np.int64)
-        order = np.argsort(ids)
-        place = np.empty(len(ids), np.int64)
-        place[order] = np.arange(len(ids))
-        t = np.concatenate([np.array(r["t"], np.int64) for r in rows])
-        w = np.concatenate([np.array(r["w"]) for r in rows])
-        who = np.repeat(place, [len(r["t"]) for r in rows])
-        by_term = np.argsort(t, kind="stable")
-        on = spark.sparkContext.broadcast((ids[order], t[by_term], w[by_term], who[by_term]))
-
-        def score(batches: Iterator[pd.DataFrame], on=on) -> Iterator[pd.DataFrame]:
-            ids, t, w, who = on.value
-            for b in batches:
-                found = []
-                for me, mine, weights in zip(b["id"], b["t"], b["w"], strict=True):
-                    lo, hi = np.searchsorted(t, mine, "left"), np.searchsorted(t, mine, "right")
-                    n = hi - lo
-                    at = np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
-                    sums = np.bincount(who[at], w[at] * np.repeat(np.asarray(weights), n), minlength=len(ids))
-                    sums[ids == me] = 0
-                    above = np.flatnonzero(sums > least)
-                    rounded = np.floor(sums[above] * 1e4 + 0.5) / 1e4
-                    best = np.lexsort((ids[above], -rounded))[:most]
-                    found.append(pd.DataFrame({"id": me, "nbr": ids[above][best], "score": rounded[best]}))
-                yield pd.concat(found) if found else pd.DataFrame({"id": [], "nbr": [], "score": []})
-
-        more = packed.mapInPandas(score, "id long, nbr long, score double")
-        out = more if out is None else out.unionAll(more)
-    return out if out is not None else spark.createDataFrame([], "id long, nbr long, score double")
-
-
-def sparse_search(queries: DataFrame, docs: DataFrame, least: float = 0.045, most: int = 260) -> DataFrame:
+def sparse_search(queries: DataFrame, docs: DataFrame, dims: int = 512, least: float = 0.045, most: int = 260) -> DataFrame:
     """query, id, score, rank: documents whose product with a query's vector reaches the threshold."""
-    q = queries.select(F.col("id").alias("query"), "term", F.col("w").alias("v"))
-    sums = docs.join(q, "term").groupBy("query", "id").agg(F.sum(F.col("w") * F.col("v")).alias("s")).where(F.col("s") >= least)
-    return top(sums.select("query", "id", F.round("s", 4).alias("score")), ["query"], [F.desc("score"), F.asc("id")], most)
+    found = products(by_row(queries), by_row(docs), dims, most, least)
+    return found.select(F.col("id").alias("query"), F.col("other").alias("id"), "score", "rank")
 
 
 def dense_search(queries: DataFrame, docs: DataFrame, scale: int = 127, least: float = 0.12, most: int = 260) -> DataFrame:
     """query, id, score, rank for unit query vectors and quantised documents, over the shorter of both lengths."""
-    q = queries.select(F.col("id").alias("query"), F.posexplode("vec").alias("term", "v"))
-    d = docs.select("id", F.posexplode("vec").alias("term", "d"))
-    sums = d.join(F.broadcast(q), "term").groupBy("query", "id").agg(F.sum(F.col("v") * F.col("d") / scale).alias("s")).where(F.col("s") >= least)
-    return top(sums.select("query", "id", F.round("s", 4).alias("score")), ["query"], [F.desc("score"), F.asc("id")], most)
+    places = F.transform("vec", lambda x, i: i).alias("idx")
+    q = queries.select("id", places, F.col("vec").cast("array<double>").alias("w"))
+    d = docs.select("id", places, F.transform("vec", lambda x: x.cast("double") / scale).alias("w"))
+    dims = max(x.agg(F.coalesce(F.max(F.size("vec")), F.lit(0))).first()[0] for x in (queries, docs))
+    return products(q, d, max(1, dims), most, least).select(F.col("id").alias("query"), F.col("other").alias("id"), "score", "rank")
 
 
 def keyword_scores(hits: DataFrame, needle: str, hay: str = "hay", title: str = "title_norm") -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomery.functions.text import fnv1a, raw_words, normalize_token, tokenize, topic_text, with_bigrams, SEARCH_STOP_WORDS, STOP_WORDS
+from loomery.operators.graph import cut
 from loomery.operators.ranking import top
 
 # What an occurrence counts in each field; dimensions, scale and thresholds of the hashed search index.
@@ -18,9 +19,12 @@ def tags_text() -> Column:
 
 
 def field_counts(records: DataFrame) -> DataFrame:
-    """id, term, tf: weighted counts of words and word pairs; pairs stay within a field."""
+    """id, term, tf: weighted counts of words and word pairs; pairs stay within a field.
+
+    Records are dealt by id before they are cut into words: everything about one stays in its task from there on.
+    """
     fields = {"title": F.col("title"), "abstract": F.col("abstract"), "tags": tags_text()}
-    toks = records.select("id", *[tokenize(c).alias(k) for k, c in fields.items()])
+    toks = records.repartition("id").select("id", *[tokenize(c).alias(k) for k, c in fields.items()])
     weighted = [F.transform(with_bigrams(F.col(k)), _weigh(FIELD_WEIGHTS[k])) for k in fields]
     each = toks.select("id", F.explode(F.concat(*weighted)).alias("x"))
     return each.groupBy("id", F.col("x.term").alias("term")).agg(F.sum("x.w").alias("tf"))
@@ -43,9 +47,9 @@ def tfidf(counts: DataFrame, n: int) -> DataFrame:
 
 
 def unit(raw: DataFrame) -> DataFrame:
-    """Rows of each id divided by their root of summed squares."""
-    norms = raw.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return raw.join(norms, "id").select("id", "term", (F.col("w") / F.when(F.col("norm") == 0, 1.0).otherwise(F.col("norm"))).alias("w"))
+    """Rows of each id divided by their root of summed squares: a window, so raw is worked out once."""
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("id")))
+    return raw.withColumn("norm", norm).select("id", "term", (F.col("w") / F.when(F.col("norm") == 0, 1.0).otherwise(F.col("norm"))).alias("w"))
 
 
 def display_forms(records: DataFrame, fields: Column, ord_: str = "ord") -> DataFrame:
@@ -60,7 +64,7 @@ def topic_vectors(records: DataFrame, most: int = 6000) -> DataFrame:
     n = records.count()
     fields = {"title": topic_text(F.col("title")), "abstract": topic_text(F.col("abstract")), "tags": F.array_join("category_tags", " ")}
     weighted = [F.transform(tokenize(c), _weigh(FIELD_WEIGHTS[k])) for k, c in fields.items()]
-    each = records.select("id", F.explode(F.concat(*weighted)).alias("x"))
+    each = records.repartition("id").select("id", F.explode(F.concat(*weighted)).alias("x"))
     counts = each.groupBy("id", F.col("x.term").alias("term")).agg(F.sum("x.w").alias("tf"))
     least, limit = max(2, -(-3 * n // 1000)), int(0.4 * n)
     kept = document_frequency(counts).where(F.col("df").between(least, limit)).orderBy(F.desc("df"), "term").limit(most)
@@ -70,18 +74,19 @@ def topic_vectors(records: DataFrame, most: int = 6000) -> DataFrame:
 def concept_scores(records: DataFrame) -> DataFrame:
     """id, phrase, weight: title phrases count 2, abstract ones 1.4 if the title has them, else 0.6; rare ones more, common ones not at all."""
     n = records.count()
-    toks = records.select("id", tokenize(F.col("title")).alias("t"), tokenize(F.col("abstract")).alias("a"))
+    toks = records.repartition("id").select("id", tokenize(F.col("title")).alias("t"), tokenize(F.col("abstract")).alias("a"))
     parts = toks.select("id", with_bigrams(F.col("t")).alias("t"), with_bigrams(F.col("a")).alias("a"))
     weigh_title = F.transform("t", _weigh(2.0))
     weigh_abstract = F.transform("a", lambda x: F.struct(x.alias("term"), F.when(F.array_contains(F.col("t"), x), 1.4).otherwise(0.6).alias("w")))
     scores = parts.select("id", F.explode(F.concat(weigh_title, weigh_abstract)).alias("x")).groupBy("id", F.col("x.term").alias("phrase")).agg(F.sum("x.w").alias("s"))
+    scores = cut(scores)
     df = scores.groupBy("phrase").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") <= 0.6 * n)
     return scores.join(df, "phrase").select("id", "phrase", (F.col("s") * F.log(1 + n / F.col("df"))).alias("weight"))
 
 
 def hashed_vectors(texts: DataFrame, id_col: str = "id", text: str = "text") -> DataFrame:
     """id, term (the bucket), w: signed hashed vectors of search tokens and pairs, of length 1."""
-    toks = texts.select(F.col(id_col).alias("id"), tokenize(F.col(text), SEARCH_STOP_WORDS).alias("ts"))
+    toks = texts.repartition(F.col(id_col)).select(F.col(id_col).alias("id"), tokenize(F.col(text), SEARCH_STOP_WORDS).alias("ts"))
     counts = toks.select("id", F.explode(with_bigrams(F.col("ts"))).alias("token")).groupBy("id", "token").agg(F.count(F.lit(1)).alias("n"))
     h = fnv1a(F.col("token"))
     hashed = counts.withColumn("h", h)

@@ -43,3 +43,11 @@ def content_fingerprint(df: DataFrame) -> DataFrame:
     parts = [F.conv(F.substring(digest, 1 + 8 * i, 8), 16, 10).cast("decimal(38,0)") for i in range(8)]
     sums = df.agg(*[F.coalesce(F.sum(p), F.lit(0)).alias(f"s{i}") for i, p in enumerate(parts)], F.count(F.lit(1)).alias("n"))
     return sums.select(F.concat(F.lit("sha256:"), F.sha2(F.concat_ws(",", *[F.col(f"s{i}").cast("string") for i in range(8)], F.col("n").cast("string")), 256)).alias("fingerprint"))
+
+
+def selected(wanted: DataFrame, filtered: DataFrame, ord_: str = "ord") -> DataFrame:
+    """wanted, selected: the id that is wanted if the filters leave it, else the first that they leave; null if none is left."""
+    first = filtered.agg(F.min_by("id", ord_).alias("_first"))
+    there = filtered.select(F.col("id").alias("_there")).distinct()
+    joined = wanted.join(there, wanted["wanted"] == there["_there"], "left").join(F.broadcast(first))  # one row
+    return joined.select("wanted", F.coalesce("_there", "_first").alias("selected"))

@@ -140,9 +140,9 @@ def d11(spark, sf_dir):
 
 # joins
 
-@q("e1_records_with_files", "SELECT coalesce(s_name, 'file ' || c_custkey) AS id, s_suppkey IS NULL AS made, c_custkey IS NOT NULL AS has_file FROM supplier FULL JOIN (SELECT * FROM customer WHERE c_custkey % 2 = 0 AND c_custkey < 150) ON s_suppkey = c_custkey")
+@q("e1_records_with_files", "SELECT coalesce(s_name, 'file ' || c_custkey) AS id, s_suppkey IS NULL AS made, c_custkey IS NOT NULL AS has_file FROM supplier FULL JOIN (SELECT * FROM customer WHERE c_acctbal > 0) ON s_suppkey = c_custkey")
 def e1(spark, sf_dir):
-    s, c = table(spark, sf_dir, "supplier"), table(spark, sf_dir, "customer").where((C("c_custkey") % 2 == 0) & (C("c_custkey") < 150))
+    s, c = table(spark, sf_dir, "supplier"), table(spark, sf_dir, "customer").where(C("c_acctbal") > 0)
     j = s.join(c, s["s_suppkey"] == c["c_custkey"], "full")
     return j.select(F.coalesce("s_name", F.concat(F.lit("file "), C("c_custkey"))).alias("id"), C("s_suppkey").isNull().alias("made"), C("c_custkey").isNotNull().alias("has_file"))
 

@@ -36,7 +36,7 @@ def records(spark, sf_dir):
 
 def vectors(spark, sf_dir):
     c = records(spark, sf_dir)
-    return G.cut(P.tfidf(G.cut(P.field_counts(c)), c.count()))
+    return P.tfidf(G.cut(P.field_counts(c)), c.count())
 
 
 def dense_long(spark, sf_dir):
@@ -99,7 +99,7 @@ def j1(spark, sf_dir):
 
 @q("j2_nearest_neighbours", f"{with_views(CORPUS, _VECS, _KNN)} SELECT * FROM knn")
 def j2(spark, sf_dir):
-    return N.nearest(vectors(spark, sf_dir))
+    return N.nearest(G.cut(vectors(spark, sf_dir)))
 
 
 @q("e3_knn_join", f"{with_views(DENSE, _DEDGES)} SELECT id, nbr, score, rank FROM edges")
@@ -143,7 +143,7 @@ def j5(spark, sf_dir):
 @q("g4_top_terms", f"{with_views(CORPUS, _VECS)}, m AS (SELECT ord AS id, area_tags[1] AS cluster FROM corpus), base AS (SELECT term, sum(w) / max(n) AS base FROM vecs, n GROUP BY 1), sz AS (SELECT cluster, count(*) AS size FROM m GROUP BY 1), own AS (SELECT cluster, term, sum(w) AS s FROM vecs JOIN m USING (id) GROUP BY 1, 2) SELECT cluster, term, round(s / size - 0.6 * base, 6) AS score, row_number() OVER (PARTITION BY cluster ORDER BY round(s / size - 0.6 * base, 6) DESC, term)::INTEGER AS rank FROM own JOIN sz USING (cluster) JOIN base USING (term) QUALIFY rank <= 5")
 def g4(spark, sf_dir):
     c = records(spark, sf_dir)
-    return P.top_terms(vectors(spark, sf_dir), c.select("id", C("area_tags")[0].alias("cluster")), c.count())
+    return P.top_terms(G.cut(vectors(spark, sf_dir)), c.select("id", C("area_tags")[0].alias("cluster")), c.count())
 
 
 @q("j6_cluster_levels")
@@ -243,9 +243,10 @@ def j13(spark, sf_dir):
     return v.select("id", F.aggregate("vec", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"), F.size(F.filter("vec", lambda x: x != 0)).cast("long").alias("cells"))
 
 
-@q("b7_search_index", f"{with_views(CORPUS, _HDOCS)} SELECT DISTINCT id, 512 AS dims FROM hd")
+@q("b7_search_index", f"{with_views(CORPUS, _HDOCS)}, m AS (SELECT id, map_from_entries(list((term, trunc(round(w * 127, 9))::INTEGER))) AS m FROM hd GROUP BY 1) SELECT id, 512 AS dims, array_to_string(list_transform(range(512), lambda i: coalesce(m[i], 0)), ',') AS vec FROM m")
 def b7(spark, sf_dir):
-    return P.quantised(hashed_docs(spark, sf_dir)).select("id", F.size("vec").alias("dims"))
+    v = P.quantised(hashed_docs(spark, sf_dir).withColumn("w", F.round(C("w") * 127, 9) / 127))
+    return v.select("id", F.size("vec").alias("dims"), F.array_join(F.transform("vec", lambda x: x.cast("string")), ",").alias("vec"))
 
 
 @q("j14_import_quantise", f"{with_views(DENSE, _DEDGES)} SELECT id, array_to_string(list_transform(v, lambda x: greatest(-127, least(127, floor(x * 127 + 0.5)))::INTEGER), ',') AS vec FROM u")
@@ -299,7 +300,7 @@ def _hay(spark, sf_dir):
 @q("j18_map_search", f"{with_views(CORPUS, _VECS, _KNN, _HAY)}, s AS (SELECT id FROM hay WHERE contains(hay, 'the of and')) SELECT id FROM s UNION SELECT nbr FROM knn WHERE id IN (SELECT id FROM s) AND rank <= 10")
 def j18(spark, sf_dir):
     seeds = _hay(spark, sf_dir).where(F.contains("hay", F.lit("the of and"))).select("id")
-    near = N.nearest(vectors(spark, sf_dir)).where(C("rank") <= 10).join(seeds, "id", "left_semi").select(C("nbr").alias("id"))
+    near = N.nearest(G.cut(vectors(spark, sf_dir))).where(C("rank") <= 10).join(seeds, "id", "left_semi").select(C("nbr").alias("id"))
     return seeds.union(near).distinct()
 
 
@@ -315,21 +316,15 @@ def f21(spark, sf_dir):
     return seeds.agg(F.count(F.lit(1)).alias("seeds")).join(F.broadcast(near.agg(F.count(F.lit(1)).alias("semantic"))))
 
 
-@q("j19_keyword_search", f"{with_views(CORPUS, _HAY)} SELECT id, round(CASE WHEN contains(t, 'src') THEN 3 ELSE 0 END + least(2, 120.0 * 3 / greatest(1, length(hay)))::DOUBLE, 6) AS score FROM hay WHERE contains(hay, 'and') AND contains(hay, 'src') = false")
+@q("j19_keyword_search", f"{with_views(CORPUS, _HAY)} SELECT id, round(CASE WHEN contains(t, 'and') THEN 3 ELSE 0 END + least(2, 120.0 * 3 / greatest(1, length(hay)))::DOUBLE, 6) AS score FROM hay WHERE contains(hay, 'and')")
 def j19(spark, sf_dir):
-    return _hay_scores(spark, sf_dir)
-
-
-def _hay_scores(spark, sf_dir):
-    hits = _hay(spark, sf_dir).where(~F.contains("hay", F.lit("src")))
-    length = N.keyword_scores(hits, "and").select("id", "score", "title_norm")
-    return length.select("id", F.round(C("score") - F.when(F.contains("title_norm", F.lit("and")), 3.0).otherwise(0.0), 6).alias("score"))
+    return N.keyword_scores(_hay(spark, sf_dir), "and").select("id", "score")
 
 
-@q("c51_client_vectors", f"{with_views(CORPUS, _HDOCS, _HQ)} SELECT hq.id AS query, max(round(hd.w * hq.w, 6)) AS best FROM hd JOIN hq USING (term) GROUP BY 1")
+@q("c51_client_vectors", f"{with_views(_HQ)} SELECT id AS query, term, round(w, 6) + 0.0 AS w FROM hq")
 def c51(spark, sf_dir):
-    qv = hashed_queries(spark, sf_dir).select(C("id").alias("query"), "term", C("w").alias("v"))
-    return hashed_docs(spark, sf_dir).join(qv, "term").groupBy("query").agg(F.max(F.round(C("w") * C("v"), 6)).alias("best"))
+    """Queries go through the tokens, hashes and lengths that documents went through."""
+    return hashed_queries(spark, sf_dir).select(C("id").alias("query"), "term", (F.round("w", 6) + 0.0).alias("w"))
 
 
 # graph views of the neighbours

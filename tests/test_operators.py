@@ -1,4 +1,6 @@
 import numpy as np
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -30,11 +32,31 @@ def test_vectors_have_length_one(vectors):
         assert abs(r["s"] - 1) < 1e-9
 
 
-def test_neighbours_share_the_theme_and_both_ways_agree(vectors):
-    joined = neighbours.nearest(vectors, 4).collect()
-    assert all(r["id"] % 2 == r["nbr"] % 2 for r in joined if r["rank"] == 1)
-    blocked = ranking.top(neighbours.blocked_scores(vectors, 4, 0.02), ["id"], [F.desc("score"), F.asc("nbr")], 4).collect()
-    assert sorted(map(tuple, joined)) == sorted((r["id"], r["nbr"], r["score"], r["rank"]) for r in blocked)
+def brute_neighbours(rows, most):
+    own = {}
+    for r in rows:
+        own.setdefault(r["id"], {})[r["term"]] = r["w"]
+    out = []
+    for i, x in own.items():
+        scores = [(math.floor(sum(w * y.get(t, 0) for t, w in x.items()) * 1e4 + 0.5) / 1e4, j) for j, y in own.items() if j != i and sum(w * y.get(t, 0) for t, w in x.items()) > 0.02]
+        out += [(i, j, s, k + 1) for k, (s, j) in enumerate(sorted(scores, key=lambda v: (-v[0], v[1]))[:most])]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("way", ["broadcast", "shuffled", "sparse"])
+def test_neighbours_agree_with_all_pairs(monkeypatch, vectors, way):
+    monkeypatch.setattr(neighbours, "CHUNK_ROWS", 2)
+    if way == "shuffled":
+        monkeypatch.setattr(neighbours, "BROADCAST", -1)
+    if way == "sparse":
+        monkeypatch.setattr(neighbours, "DENSE", 0)
+    found = neighbours.nearest(vectors, 4).collect()
+    assert all(r["id"] % 2 == r["nbr"] % 2 for r in found if r["rank"] == 1)
+    assert sorted((r["id"], r["nbr"], r["score"], r["rank"]) for r in found) == brute_neighbours(vectors.collect(), 4)
+
+
+def test_neighbours_of_nothing(vectors):
+    assert neighbours.nearest(vectors.limit(0), 4).count() == 0
 
 
 def test_clusters_part_the_themes(spark, vectors):
