@@ -97,6 +97,12 @@ def embedding_text(title: Column, abstract: Column, *tags: Column) -> Column:
     return F.concat_ws("\n", *[F.nullif(p, F.lit("")) for p in parts])
 
 
+def client_embedding_text(title: Column, search: dict[str, Column], areas: Column, domains: Column, categories: Column, cluster: Column) -> Column:
+    """What the client makes a record's search vector of: the plain title, the search parts, tags and the cluster's label, a part a line."""
+    parts = [title, search["title"], search["abstract"], search["tags"], *[F.array_join(x, " ") for x in (areas, domains, categories)], cluster]
+    return F.concat_ws("\n", *[F.nullif(p, F.lit("")) for p in parts])
+
+
 def scale_map_value(v: Column, low: Column, high: Column) -> Column:
     return F.when(low == high, 50.0).otherwise(5 + (v - low) / (high - low) * 90)
 

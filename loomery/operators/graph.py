@@ -31,11 +31,26 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             return labels
 
 
+#: Members of a key beyond which its pairs are made in blocks of as many by as many.
+HOT = 2000
+
+
 def shared_pairs(members: DataFrame, key: str, node: str) -> DataFrame:
-    """a, b, shared: pairs of nodes (a < b) and how many keys hold both."""
+    """a, b, shared: pairs of nodes (a < b) and how many keys hold both.
+
+    A hot key's members are dealt to parts, and each pair of parts meets in a task of its own.
+    """
     one = members.select(key, node).distinct()
-    left, right = one.select(key, F.col(node).alias("a")), one.select(key, F.col(node).alias("b"))
-    return left.join(right, key).where(F.col("a") < F.col("b")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
+    hot = members.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / HOT).alias("parts")).where(F.col("parts") > 1)
+    if not hot.limit(1).count():
+        left, right = one.select(key, F.col(node).alias("a")), one.select(key, F.col(node).alias("b"))
+        return left.join(right, key).where(F.col("a") < F.col("b")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
+    parts = F.coalesce("parts", F.lit(1))
+    dealt = cut(one.join(hot, key, "left").select(key, node, parts.alias("parts"), F.pmod(F.xxhash64(node), parts).alias("own")))
+    all_ = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
+    left = dealt.select(key, F.col(node).alias("a"), F.col("own").alias("i"), all_.alias("j"))
+    right = dealt.select(key, F.col(node).alias("b"), all_.alias("i"), F.col("own").alias("j"))
+    return left.join(right, [key, "i", "j"]).where(F.col("a") < F.col("b")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
 
 
 def undirected(edges: DataFrame) -> DataFrame:

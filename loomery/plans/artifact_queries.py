@@ -94,12 +94,12 @@ def a7(spark, sf_dir):
     return P.extracted(sample_pdfs(spark, sf_dir)).where(F.length("sha256") == 64).select("file")
 
 
-@q("a8_pdf_text", "SELECT 'p' || s_suppkey AS file, 'Paper ' || s_suppkey AS info_title, 'A Sample Paper About ' || s_name || ' (with 100\% more)' AS first_line FROM supplier")
+@q("a8_pdf_text", "SELECT 'p' || s_suppkey AS file, 'Paper ' || s_suppkey AS info_title, 'A Sample Paper About ' || s_name || ' (with 100\\% more)' AS first_line FROM supplier")
 def a8(spark, sf_dir):
     return P.extracted(sample_pdfs(spark, sf_dir)).select("file", "info_title", F.split("full_text", "\n")[0].alias("first_line"))
 
 
-_PDF_TEXT = """'A Sample Paper About ' || s_name || ' (with 100\% more)' || chr(10) || chr(10) || 'abstract' || chr(10) || 'This abstract is about a supplier and says so at some length, with more than eighty characters in it.' || chr(10) || chr(10) || '1 Introduction' || chr(10) || 'Words.' || chr(10) || 'References' || chr(10) || array_to_string(list_transform([0, 1, 2], lambda i: '[' || (i + 1) || '] A shared reference title number ' || ((s_suppkey + i) // 3) || '. Venue of many words, ' || (1990 + (s_suppkey + i) % 30) || ', with pages.'), chr(10))"""
+_PDF_TEXT = """'A Sample Paper About ' || s_name || ' (with 100\\% more)' || chr(10) || chr(10) || 'abstract' || chr(10) || 'This abstract is about a supplier and says so at some length, with more than eighty characters in it.' || chr(10) || chr(10) || '1 Introduction' || chr(10) || 'Words.' || chr(10) || 'References' || chr(10) || array_to_string(list_transform([0, 1, 2], lambda i: '[' || (i + 1) || '] A shared reference title number ' || ((s_suppkey + i) // 3) || '. Venue of many words, ' || (1990 + (s_suppkey + i) % 30) || ', with pages.'), chr(10))"""
 
 
 @q("a9_native_extraction_parity", f"SELECT 'p' || s_suppkey AS file, {_PDF_TEXT} AS full_text FROM supplier")
@@ -187,7 +187,7 @@ def c22(spark, sf_dir):
     return refs.select("file", "pos", "r.title", "r.year")
 
 
-@q("c23_guess_title", "SELECT 'p' || s_suppkey AS file, 'A Sample Paper About ' || s_name || ' (with 100\% more)' AS title FROM supplier")
+@q("c23_guess_title", "SELECT 'p' || s_suppkey AS file, 'A Sample Paper About ' || s_name || ' (with 100\\% more)' AS title FROM supplier")
 def c23(spark, sf_dir):
     return P.extracted(sample_pdfs(spark, sf_dir)).select("file", P.guess_title(C("full_text")).alias("title"))
 

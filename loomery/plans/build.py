@@ -45,8 +45,22 @@ def authors(records: DataFrame) -> dict[str, DataFrame]:
     return out
 
 
+class Refused(ValueError):
+    """What was to be published breaks the contract."""
+
+
+def gate(*checks: DataFrame) -> None:
+    """Refuses to go on if any check finds a violation; the message names some."""
+    found = contract.all_of(*checks).limit(5).collect()
+    if found:
+        raise Refused("; ".join(f"{r['artifact']}: {r['rule']}: {r['detail']}" for r in found))
+
+
 def build(records: DataFrame, references: DataFrame, path: str) -> dict:
-    """Publishes all tables under path; the semantic stage is taken from a former build of the same records."""
+    """Publishes all tables under path; the semantic stage is taken from a former build of the same records.
+
+    Nothing is published if ids repeat, references lead nowhere, places aren't finite, or a table of people holds an address.
+    """
     spark = records.sparkSession
     key = fingerprint(records.select("ord", "title", "abstract", "category_tags", "area_tags", "domain_tags"))
     made: dict[str, DataFrame] = {}
@@ -59,14 +73,15 @@ def build(records: DataFrame, references: DataFrame, path: str) -> dict:
     edges = citations.overlap_edges(citations.known(references, cited))
     concepts = top(postings.concept_scores(records), ["id"], [F.desc("weight"), F.asc("phrase")], 9)
     index = postings.quantised(postings.hashed_vectors(records.select("id", F.concat_ws("\n", "title", "abstract", "category").alias("text"))))
+    made_people = authors(records)
+    gate(*[contract.no_email(df, f"people {name}", df.columns[0]) for name, df in made_people.items()])
     tables = {
         "records": records, "neighbours": made["neighbours"], "clusters": made["clusters"], "cluster_terms": made["terms"], "map_points": made["map"],
         "trend_sizes": own["sizes"], "trend_representatives": own["representatives"], "trend_sentences": own["sentences"],
         "trails": summaries.trail(members, made["neighbours"], INTRO, APPLIED), "outliers": summaries.outliers(members, made["neighbours"]),
-        "concepts": concepts, "search_index": index, "overlaps": edges, "foundations": citations.foundations(references), **{f"people_{k}": v for k, v in authors(records).items()},
+        "concepts": concepts, "search_index": index, "overlaps": edges, "foundations": citations.foundations(references), **{f"people_{k}": v for k, v in made_people.items()},
     }
-    bad = contract.all_of(contract.unique_ids(records, "records"), contract.known_ids(made["neighbours"], "map", "nbr", members), contract.level_sizes(made["clusters"], records), contract.finite(made["map"], "map", "x"))
-    tables["violations"] = bad
+    gate(contract.unique_ids(records, "records"), contract.known_ids(made["neighbours"], "map", "nbr", members), contract.level_sizes(made["clusters"], records), contract.finite(made["map"], "map", "x"))
     return publish(tables, path, {"records": "type"})
 
 

@@ -82,6 +82,8 @@ scalar("c18_normalized_name", lambda: {"value": T.normalized_name(C("authors"))}
 scalar("c19_parse_authors", lambda: {"names": F.array_join(T.parse_authors(C("authors")), "|")}, {"names": "array_to_string(list_transform(string_split(authors, ';'), lambda n: trim(n)), '|')"})
 scalar("c20_reference_key", lambda: {"value": T.reference_key(C("abstract"))}, {"value": "substr(trim(regexp_replace(lower(coalesce(abstract, '')), '[^a-z0-9]+', ' ', 'g')), 1, 240)"})
 scalar("c24_record_embedding_text", lambda: {"value": R.embedding_text(C("title"), C("abstract"), C("group"), C("category"), F.array_join("category_tags", " "), F.array_join("area_tags", " "))}, {"value": rf"concat_ws(chr(10), nullif(title, ''), nullif({sql_ws(chr(114) + 'egexp_replace(title, ' + chr(39) + '[$^~' + chr(92) * 2 + ']' + chr(39) + ', ' + chr(39) + ' ' + chr(39) + ', ' + chr(39) + 'g' + chr(39) + ')')}, ''), nullif({sql_ws('abstract')}, ''), nullif({sql_ws(chr(34) + 'group' + chr(34) + ' || ' + chr(39) + ' ' + chr(39) + ' || category || ' + chr(39) + ' ' + chr(39) + ' || category_tags[1] || ' + chr(39) + ' ' + chr(39) + ' || area_tags[1]')}, ''))"})
+_PARTS = lambda: R.search_parts(C("title"), C("authors"), C("abstract"), F.concat_ws(" ", "category", C("area_tags")[0]))
+scalar("c25_client_embedding_text", lambda: {"value": R.client_embedding_text(C("id"), _PARTS(), C("area_tags"), C("domain_tags"), C("category_tags"), F.when(C("ord") % 3 == 0, "label").otherwise(""))}, {"value": f"concat_ws(chr(10), id, nullif({sql_search('title')}, ''), nullif({sql_search('abstract')}, ''), nullif({sql_search("concat_ws(' ', category, area_tags[1])")}, ''), nullif(area_tags[1], ''), nullif(category_tags[1], ''), CASE WHEN ord % 3 = 0 THEN 'label' END)"})
 scalar("c26_record_haystack", lambda: {"value": F.concat_ws(" ", *[R.search_parts(C("title"), C("authors"), C("abstract"), C("category"))[k] for k in ("title", "abstract", "authors", "tags")])}, {"value": f"concat_ws(' ', {sql_search('title')}, {sql_search('abstract')}, {sql_search('authors')}, {sql_search('category')})"})
 scalar("c27_matched_field", lambda: {"field": R.matched_field(R.search_parts(C("title"), C("authors"), C("abstract"), C("category")), F.lit("src1"))}, {"field": f"CASE WHEN contains({sql_search('title')}, 'src1') THEN 'title' WHEN contains({sql_search('authors')}, 'src1') THEN 'authors' WHEN contains({sql_search('abstract')}, 'src1') THEN 'abstract' WHEN contains({sql_search('category')}, 'src1') THEN 'tags' ELSE '' END"})
 scalar("c28_category_tags", lambda: {"tags": F.array_join(F.when(F.size("domain_tags") > 0, C("domain_tags")).otherwise(F.array(F.coalesce("category", F.lit("Other")))), ",")}, {"tags": "coalesce(category, 'Other')"})

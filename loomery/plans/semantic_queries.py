@@ -200,7 +200,14 @@ def j9(spark, sf_dir):
 
 @q("j10_topic_labels")
 def j10(spark, sf_dir):
-    return O.proportions(_topics(spark, sf_dir)[0]).select("id", "topic", "secondary")
+    """Each record's topic and secondary topic, with the labels and sizes of the topics."""
+    weights, h, _ = _topics(spark, sf_dir)
+    shares = G.cut(O.proportions(weights).select("id", "topic", "secondary"))
+    sizes = {r["topic"]: r["count"] for r in shares.groupBy("topic").count().collect()}  # a row a topic
+    terms = [r["term"] for r in P.topic_vectors(records(spark, sf_dir)).select("term").distinct().orderBy("term").collect()]  # 6000 at most
+    named = [(t["component"], t["id"], t["label"], t["size"]) for t in O.labels(h, terms, sizes)]
+    labels = spark.createDataFrame(named, "topic int, topic_id string, label string, size long")
+    return shares.join(F.broadcast(labels), "topic").select("id", "topic_id", "label", "size", "secondary")
 
 
 @q("j9d_topic_display", f"{with_views(CORPUS)}, w AS (SELECT ord, generate_subscripts(r, 1) AS i, unnest(r) AS word FROM (SELECT ord, regexp_extract_all(lower(title || ' ' || coalesce(abstract, '')), '[a-z0-9][a-z0-9+\\-]+') AS r FROM corpus)), f AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(word, '^[-+]+|[-+]+$', '', 'g'), 'ies$', 'y'), '(ing|ers|er|ed|s)$', '') AS term FROM w) SELECT term, arg_min(word, ord * 1000000 + i) AS display FROM f WHERE length(term) > 2 AND NOT list_contains({T.STOP_WORDS!r}, term) GROUP BY 1")

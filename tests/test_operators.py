@@ -1,13 +1,13 @@
-import numpy as np
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from loomery.operators import artifacts as A
 from loomery.operators import citations, cluster, contract, graph, neighbours, people, postings, ranking, summaries, topics
 from loomery.plans import catalog
-from loomery.plans.build import build
+from loomery.plans.build import Refused, build
 
 WORDS = {"a": "language models decode tokens grammar text corpus", "b": "robot arms control grasp motion torque planning"}
 
@@ -211,7 +211,7 @@ def test_the_build_publishes_tables_without_violations(spark, tmp_path):
     refs = spark.createDataFrame([("a0", 0, "k"), ("b1", 0, "k")], "record_id string, pos int, key string")
     path = str(tmp_path / "site")
     entries = build(records, refs, path)
-    assert entries["violations"]["rows"] == 0 and entries["records"]["rows"] == 8
+    assert entries["records"]["rows"] == 8
     assert entries["people_authors"]["rows"] > 0 and entries["overlaps"]["rows"] == 1
     assert A.broken(spark, path) == []
     calls = []
@@ -220,6 +220,49 @@ def test_the_build_publishes_tables_without_violations(spark, tmp_path):
     assert calls == [1]
 
 
+@pytest.mark.parametrize("fault", ["address among the authors", "repeated id"])
+def test_the_build_refuses_what_breaks_the_contract(spark, tmp_path, fault):
+    records = small_records(spark)
+    if fault == "repeated id":
+        records = records.withColumn("id", F.when(F.col("ord") == 3, "a2").otherwise(F.col("id")))
+    else:
+        records = records.withColumn("authors", F.when(F.col("ord") == 1, "X; Jo jo@example.org").otherwise(F.col("authors")))
+    refs = spark.createDataFrame([("a0", 0, "k"), ("b1", 0, "k")], "record_id string, pos int, key string")
+    path = str(tmp_path / "site")
+    with pytest.raises(Refused, match="no email|unique id"):
+        build(records, refs, path)
+    assert not A.exists(spark, f"{path}/{A.MANIFEST}")
+
+
+def test_tampering_with_shards_is_seen(spark, tmp_path):
+    path, rows = str(tmp_path / "site"), small_records(spark).select("id", "type")
+    A.publish({"records": rows}, path, {"records": "type"})
+    assert contract.shards(spark, path, "records", rows).count() == 0
+    assert {(r["rule"], r["detail"]) for r in contract.shards(spark, path, "records", rows.where("id <> 'a0'")).collect()} == {("known id", "a0")}
+    rows.where("id <> 'b1'").write.mode("overwrite").partitionBy("type").parquet(f"{path}/records")
+    assert {(r["rule"], r["detail"]) for r in contract.shards(spark, path, "records", rows).collect()} == {("id in no shard", "b1"), ("pin", "records")}
+
+
+def test_shared_pairs_of_a_hot_key_are_split_and_whole(spark, monkeypatch):
+    monkeypatch.setattr(graph, "HOT", 5)
+    members = spark.createDataFrame([(k, n) for k in range(4) for n in range(12 if k == 0 else k + 2)] + [(0, 3)], "key int, node int")
+    got = {(r["a"], r["b"]): r["shared"] for r in graph.shared_pairs(members, "key", "node").collect()}
+    want = {}
+    for k in range(4):
+        own = range(12 if k == 0 else k + 2)
+        for a in own:
+            for b in own:
+                if a < b:
+                    want[a, b] = want.get((a, b), 0) + 1
+    assert got == want
+
+
+def test_topics_have_labels():
+    h = np.array([[0.1, 0.9, 0.5], [0.7, 0.0, 0.2]])
+    made = topics.labels(h, ["alpha", "beta", "gamma"], {0: 3, 1: 5})
+    assert [(t["id"], t["component"], t["size"]) for t in made] == [("topic-1", 1, 5), ("topic-2", 0, 3)] and made[1]["label"].split()[0] == "Beta"
+
+
 def test_new_files_are_those_of_other_bytes(spark):
     files = spark.createDataFrame([("a", "1"), ("b", "2")], "file string, sha256 string")
     assert [r["file"] for r in A.new_files(files, files.limit(1)).collect()] == ["b"]

@@ -10,7 +10,11 @@ from loomery.plans import catalog
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SOME = ["c3_tokenize", "c29_record_labels", "d3_filtered_records", "e9_paper_posters", "f10_topic_trends", "g2_unique_works", "j2_nearest_neighbours", "j15_lexical_search", "k2_communities", "k6_identity_resolution", "l2_study_trail"]
+SOME = [
+    "a2_csv_header", "a9_native_extraction_parity", "a17_pinned_reads", "c3_tokenize", "c14_plain_math_title", "c15_clean_abstract", "c25_client_embedding_text", "c29_record_labels", "c35_citation_titles",
+    "d3_filtered_records", "e7_email_union", "e9_paper_posters", "f10_topic_trends", "g2_unique_works", "g13_selection_fallback", "j2_nearest_neighbours", "j15_lexical_search", "j16_dense_search",
+    "j19_keyword_search", "k2_communities", "k6_identity_resolution", "l2_study_trail", "m2_manifest_shards", "m12_json_validity",
+]
 
 
 def rows(df):
