@@ -63,29 +63,34 @@ def _matrix(b: pd.DataFrame, dims: int) -> Iterator[tuple[np.ndarray, np.ndarray
         yield some["ord"].to_numpy(), x
 
 
-def _sums(packed: DataFrame, dims: int, centroids: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-    """Sum and number of the rows nearest to each centroid (the first of equal ones); of all rows without centroids."""
-    on = packed.sparkSession.sparkContext.broadcast(centroids)
-    k = 1 if centroids is None else len(centroids)
+def _sums(packed: DataFrame, dims: int, sets: list[np.ndarray | None]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each set of centroids, in one pass over the rows: sum and number of the rows nearest to each centroid.
+
+    Of equally near centroids the first counts; None stands for one set of all rows.
+    """
+    on = packed.sparkSession.sparkContext.broadcast(sets)
+    ks = [1 if c is None else len(c) for c in sets]
+    starts = np.concatenate([[0], np.cumsum(ks)]).astype(int)
 
     def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums, n = np.zeros((k, dims)), np.zeros(k, np.int64)
+        sums, n = np.zeros((starts[-1], dims)), np.zeros(starts[-1], np.int64)
         for b in batches:
             for _, x in _matrix(b, dims):
-                own = np.zeros(len(x), np.int64) if on.value is None else (x @ on.value.T).argmax(axis=1)
-                np.add.at(sums, own, x)
-                n += np.bincount(own, minlength=k)
-        yield pd.DataFrame({"c": np.arange(k), "n": n, "s": list(sums)})
+                for at, k, c in zip(starts, ks, on.value, strict=False):
+                    own = at + (np.zeros(len(x), np.int64) if c is None else (x @ c.T).argmax(axis=1))
+                    np.add.at(sums, own, x)
+                    n[at : at + k] += np.bincount(own - at, minlength=k)
+        yield pd.DataFrame({"c": np.arange(len(n)), "n": n, "s": list(sums)})
 
     def add(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"c": [key[0]], "n": [pdf["n"].sum()], "s": [np.sum(np.stack(pdf["s"].to_numpy()), axis=0)]})
 
     schema = "c int, n long, s array<double>"
     got = packed.select("ord", "idx", "w").mapInPandas(part, schema).groupBy("c").applyInPandas(add, schema).collect()
-    sums, n = np.zeros((k, dims)), np.zeros(k, np.int64)
+    sums, n = np.zeros((starts[-1], dims)), np.zeros(starts[-1], np.int64)
     for r in got:
         sums[r["c"]], n[r["c"]] = r["s"], r["n"]
-    return sums, n
+    return [(sums[at : at + k], n[at : at + k]) for at, k in zip(starts, ks, strict=False)]
 
 
 def _farthest(packed: DataFrame, dims: int, seeds: np.ndarray) -> tuple[int, np.ndarray, float]:
@@ -110,7 +115,7 @@ def _farthest(packed: DataFrame, dims: int, seeds: np.ndarray) -> tuple[int, np.
 
 def seeds(packed: DataFrame, dims: int, k: int) -> np.ndarray:
     """The row farthest from the mean, then each time the row farthest from the seeds so far."""
-    total, n = _sums(packed, dims, None)
+    total, n = _sums(packed, dims, [None])[0]
     first = _farthest(packed, dims, total / max(1, n[0]))[1]
     out = [first]
     while len(out) < min(k, int(n[0])):
@@ -123,15 +128,28 @@ def seeds(packed: DataFrame, dims: int, k: int) -> np.ndarray:
 
 def kmeans(packed: DataFrame, dims: int, k: int, rounds: int = ROUNDS) -> np.ndarray:
     """Centroids after at most `rounds` rounds: means, not brought to length 1; an empty cluster keeps its seed."""
-    start = seeds(packed, dims, k)
-    c = start
+    return _kmeans(packed, dims, [k], rounds)[0]
+
+
+def _kmeans(packed: DataFrame, dims: int, ks: list[int], rounds: int) -> list[np.ndarray]:
+    """Centroids for several numbers of clusters, a pass over the rows for all of them in each round.
+
+    The seeds of fewer clusters are the first of those of more.
+    """
+    most = seeds(packed, dims, max(ks))
+    starts = [most[:k] for k in ks]
+    made, going = list(starts), list(range(len(ks)))
     for _ in range(rounds):
-        sums, n = _sums(packed, dims, c)
-        new = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], start)
-        if np.allclose(new, c, rtol=0, atol=1e-12):
-            return new
-        c = new
-    return c
+        still = []
+        for i, (sums, n) in zip(going, _sums(packed, dims, [made[i] for i in going]), strict=True):
+            new = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], starts[i])
+            if not np.allclose(new, made[i], rtol=0, atol=1e-12):
+                still.append(i)
+            made[i] = new
+        going = still
+        if not going:
+            break
+    return made
 
 
 def assign(packed: DataFrame, dims: int, centroids: np.ndarray) -> DataFrame:
@@ -195,16 +213,16 @@ def label_of(terms: list[str], fallback: str) -> str:
 
 def levels(packed: DataFrame, dims: int, n: int, edges: DataFrame | None = None) -> dict[int, DataFrame]:
     """Assignments (id, cluster) of each usable level, smoothed by the neighbours if there are any."""
-    out = {}
-    for k in usable_levels(n):
-        own = assign(packed, dims, kmeans(packed, dims, k))
+    out, ks = {}, usable_levels(n)
+    for k, centroids in zip(ks, _kmeans(packed, dims, ks, ROUNDS), strict=True):
+        own = assign(packed, dims, centroids)
         out[k] = cut(smooth(own, edges) if edges is not None else own)
     return out
 
 
 def project(packed: DataFrame, dims: int, rounds: int = POWER_ROUNDS) -> DataFrame:
     """id, x, y: the two first principal components by power iteration over the rows, each axis up to 1, to 4 places."""
-    total, count = _sums(packed, dims, None)
+    total, count = _sums(packed, dims, [None])[0]
     n, mean = int(count[0]), total[0] / max(1, count[0])
     spark = packed.sparkSession
     if n < 3:

@@ -97,6 +97,16 @@ def test_every_embedding_is_in_every_level(spark, tmp_path):
     assert sorted((r["k"], r["id"]) for r in got) == [(k, i) for k in cluster.LEVELS for i in range(60)]
 
 
+def test_levels_are_those_of_single_runs(spark):
+    r = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in r.normal(size=4)]) for i in range(30)]
+    packed = graph.cut(cluster.from_dense(spark.createDataFrame(rows, "id long, vec array<double>")))
+    made = cluster.levels(packed, 4, 30)
+    assert list(made) == [5, 10, 15]
+    for k, own in made.items():
+        assert sorted(own.collect()) == sorted(cluster.assign(packed, 4, cluster.kmeans(packed, 4, k)).collect())
+
+
 def test_topics_fit_no_worse_each_round(spark):
     c = small_records(spark, 40)
     rows, dims = cluster.pack(postings.topic_vectors(c), c.select("id", "ord"))
