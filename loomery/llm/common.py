@@ -8,6 +8,7 @@ import time
 import uuid
 import zlib
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,11 +43,13 @@ def store(df: DataFrame) -> DataFrame:
 def give_back(*tables: dict) -> None:
     """Empties a worker's tables and hands freed memory back to the system.
 
-    A worker process is kept for whatever stage comes next, and what it holds would count against that.
+    A worker process is kept for whatever stage comes next, and what it holds would count against that.  Arrow has a pool of
+    its own, which the C library doesn't know.
     """
     for t in tables:
         t.clear()
     gc.collect()
+    pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
     except (AttributeError, OSError):  # another C library

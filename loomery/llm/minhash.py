@@ -39,9 +39,9 @@ BANDS, ROWS = 16, 4
 TABLE_BITS = 16
 SEED = 17
 #: Texts of a bucket that are compared with as many others in one task.
-BLOCK = 1000
+BLOCK = 500
 #: Bytes of text in a flush, and for each bucket of shingles: a worker holds some ten times as much.
-FLUSH_BYTES, BUCKET_BYTES = 10_000_000, 16_000_000
+FLUSH_BYTES, BUCKET_BYTES = 6_000_000, 10_000_000
 #: Documents up to which the side of a join that holds only ids is broadcast (16 MB).
 ID_LIMIT = 1_000_000
 #: Rows of one key beyond which its group is joined by broadcast; there are at most 100 000 such groups.
@@ -300,6 +300,7 @@ def _links_between_parts(buckets: DataFrame, labels: DataFrame, reps: DataFrame,
         found = []
         for _, rows in pdf.groupby(["key", "row", "col"], sort=False):
             found += _compare_block(rows, n)
+        give_back()
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
     blocks = dealt.join(texts, "node").select("pack", "key", "row", "col", "node", "part", "asks", "text", "df")
