@@ -11,8 +11,9 @@ repeats() marks each byte covered by a 50-byte string that also starts in a docu
 strings together without moving whole texts, a 50-byte string is known by its minimiser, the least hash of its 35 runs
 of 16 bytes; neighbouring strings with the same minimiser form one stretch.  Minimisers that one document alone holds are
 out after a first exchange of 8 bytes for each stretch; the stretches of the rest are grouped by minimiser, equal ones as
-one, and the suffix array over the different ones of a bucket tells which 50-byte strings they share.  Hashes only bring
-candidates together: equal stretches are compared byte by byte.
+one, and the suffix array over the different ones of a bucket tells which 50-byte strings they share; what lies before the
+first and after the last window whose hash others have too stays out of it.  Hashes only bring candidates together: equal
+stretches are compared byte by byte.
 
 Hot passages: a partition sends one copy of a stretch, with its smallest document; larger ones are decided where they are.
 Hot minimisers, those of more than HOT documents, are split: their strings go by the pair of least and greatest hash, which
@@ -35,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomery.llm.common import cut, prepare, release, row_key
-from loomery.llm.words import SpanHashes, mix, span_hash
+from loomery.llm.words import mix, span_hash
 
 LENGTH, GRAM = 50, 16
 _PER = LENGTH - GRAM + 1
@@ -242,6 +243,28 @@ def _flush_ids() -> Iterator[int]:
         n += 1
 
 
+def _distinct(x: np.ndarray) -> np.ndarray:
+    """What np.unique() returns, by sorting: its hash table takes ten times as long."""
+    x = np.sort(x)
+    return x[np.append(True, x[1:] != x[:-1])] if len(x) else x
+
+
+def _among(x: np.ndarray, some: np.ndarray) -> np.ndarray:
+    """Whether each x is one of some, which are in order."""
+    return some[np.minimum(np.searchsorted(some, x), len(some) - 1)] == x if len(some) else np.zeros(len(x), bool)
+
+
+def _within(sizes: np.ndarray) -> np.ndarray:
+    """0, 1, ... for each size, one after the other."""
+    ends = np.cumsum(sizes)
+    return np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - sizes, sizes)
+
+
+def _bytes_at(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The bytes of spans of data, one after the other."""
+    return data[np.repeat(starts, sizes) + _within(sizes)]
+
+
 def _packed(x: object) -> bytes:
     return zstandard.ZstdCompressor(level=3).compress(pickle.dumps(x, 5))
 
@@ -275,7 +298,7 @@ def _send_minimisers(buckets: int):
         """Minimisers of a flush, each in 8 bytes with its document's place; those that it has in several documents are known to be shared."""
         for flush, b in zip(_flush_ids(), _flushes(batches)):
             of, _, _, m = stretches([t.encode("utf-8", "replace") for t in b["text"]])
-            pairs = np.unique(m << np.uint64(16) | of.astype(np.uint64))
+            pairs = _distinct(m << np.uint64(16) | of.astype(np.uint64))
             m = pairs >> np.uint64(16)
             first = np.flatnonzero(np.diff(m, prepend=np.uint64(1 << 50)))
             count = np.diff(np.append(first, len(m)))
@@ -329,32 +352,33 @@ def _send_stretches(buckets: int):
             texts = [t.encode("utf-8", "replace") for t in b["text"]]
             of, begin, n, m = stretches(texts)
             wanted = [np.frombuffer(x, np.uint64) for x in b["shared"]]
-            bounds = np.searchsorted(of, np.arange(len(texts) + 1))
-            keep = np.concatenate([np.isin(m[s:e], w & ~_HOT) for s, e, w in zip(bounds[:-1], bounds[1:], wanted, strict=True)] or [np.zeros(0, bool)])
+            in_ = np.repeat(np.arange(len(texts), dtype=np.uint64), np.array([len(w) for w in wanted], np.int64))
+            keep = _among(of.astype(np.uint64) << np.uint64(48) | m, np.sort(in_ << np.uint64(48) | np.concatenate([np.zeros(0, np.uint64), *wanted]) & ~_HOT))
             of, begin, n, m = of[keep], begin[keep], n[keep], m[keep]
             if not len(of):
                 continue
             hot = np.unique(np.concatenate([w[w >= _HOT] for w in wanted]) & ~_HOT)
             of, begin, n, m, key = split_hot(texts, of, begin, n, m, hot)
             lengths = np.array([len(t) for t in texts])
+            data = np.frombuffer(b"".join(texts), np.uint8)
+            start, size = (np.cumsum(lengths) - lengths)[of] + begin, n + LENGTH - 1
             content = np.empty(len(of), np.uint64)
             for s in range(0, len(texts), 256):  # hashes of the stretches, some documents at a time
                 lo, hi = np.searchsorted(of, [s, s + 256])
                 if hi > lo:
-                    data = np.frombuffer(b"".join(texts[s : s + 256]), np.uint8)
-                    base = np.cumsum(lengths[s : s + 256]) - lengths[s : s + 256]
-                    a = base[of[lo:hi] - s] + begin[lo:hi]
-                    content[lo:hi] = span_hash(data, a, a + n[lo:hi] + LENGTH - 1)
+                    base = int(lengths[:s].sum())
+                    a = start[lo:hi] - base
+                    content[lo:hi] = span_hash(data[base : base + int(lengths[s : s + 256].sum())], a, a + size[lo:hi])
             keys = b[["k_id", "k_text"]].to_numpy(np.int64)
             ids = keys[of, 0]
-            body = lambda i: texts[of[i]][begin[i] : begin[i] + n[i] + LENGTH - 1]  # noqa: B023, E731
+            body = lambda i: data[start[i] : start[i] + size[i]].tobytes()  # noqa: B023, E731
             order = np.lexsort((ids, content, key))
-            of, begin, n, m, key, content, ids = (x[order] for x in (of, begin, n, m, key, content, ids))
+            of, begin, n, m, key, content, ids, start, size = (x[order] for x in (of, begin, n, m, key, content, ids, start, size))
             new = _starts(key, content)
-            if not _equal(body, new):  # hashes met by chance: number the stretches by their bytes
+            if not _equal(data, start, size, new):  # hashes met by chance: number the stretches by their bytes
                 content = _numbers(body, len(of))
                 order = np.lexsort((ids, content, key))
-                of, begin, n, m, key, content, ids = (x[order] for x in (of, begin, n, m, key, content, ids))
+                of, begin, n, m, key, content, ids, start, size = (x[order] for x in (of, begin, n, m, key, content, ids, start, size))
                 new = _starts(key, content)
             lead = np.flatnonzero(new)
             group = np.cumsum(new) - 1
@@ -362,14 +386,13 @@ def _send_stretches(buckets: int):
             later = ids > least[group]
             rows, small = [], int(lengths.max()) < 2**31
             if later.any():
-                rows.append((flush % buckets, flush, 1, _packed((keys[of[later]], begin[later], begin[later] + n[later] + LENGTH - 1))))
-            own = np.flatnonzero(~later)
-            owner = np.split(own, np.flatnonzero(np.diff(group[own])) + 1)
+                rows.append((flush % buckets, flush, 1, _packed((keys[of[later]], begin[later], begin[later] + size[later]))))
+            held = np.bincount(group[~later], minlength=len(lead))  # in order of ids, so these come first in their group
 
             def parcel(i: np.ndarray) -> tuple:
-                holders = np.concatenate([owner[g] for g in i])
-                number = np.repeat(np.arange(len(i)), [len(owner[g]) for g in i])
-                bodies = b"".join(body(lead[g]) for g in i)
+                number = np.repeat(np.arange(len(i)), held[i])
+                holders = lead[i][number] + _within(held[i])
+                bodies = _bytes_at(data, start[lead[i]], size[lead[i]]).tobytes()
                 docs, who = np.unique(of[holders], return_inverse=True)
                 return m[lead[i]], key[lead[i]], content[lead[i]], least[i], n[lead[i]].astype(np.uint8), bodies, number.astype(np.int32), keys[docs], who.astype(np.uint16), begin[holders].astype(np.int32 if small else np.int64)
 
@@ -387,19 +410,13 @@ def _starts(key: np.ndarray, content: np.ndarray) -> np.ndarray:
     return new
 
 
-def _equal(body, new: np.ndarray) -> bool:
-    """Whether each body has the bytes of the one that its group begins with."""
-    lead, i = b"", 0
-    for i, first in enumerate(new.tolist()):
-        if first:
-            lead = None
-            start = i
-        else:
-            if lead is None:
-                lead = body(start)
-            if body(i) != lead:
-                return False
-    return True
+def _equal(data: np.ndarray, start: np.ndarray, size: np.ndarray, new: np.ndarray) -> bool:
+    """Whether each span of data has the bytes of the one that its group begins with."""
+    lead, rest = np.flatnonzero(new)[np.cumsum(new) - 1], np.flatnonzero(~new)
+    if (size[rest] != size[lead[rest]]).any():
+        return False
+    some = (rest[s : s + 10_000] for s in range(0, len(rest), 10_000))
+    return all(np.array_equal(_bytes_at(data, start[i], size[i]), _bytes_at(data, start[lead[i]], size[i])) for i in some)
 
 
 def _numbers(body, n: int) -> np.ndarray:
@@ -416,12 +433,13 @@ def _covered(pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame(rows, columns=["flush", "parcel"])
     sent = [(f, m, key, content, least, n.astype(np.int64), bodies, number, keys[who], begin.astype(np.int64)) for f, m, key, content, least, n, bodies, number, keys, who, begin in sent]
     m, key, content, least, n = (np.concatenate([x[j] for x in sent]) for j in range(1, 6))
-    parcel_of = np.repeat(np.arange(len(sent)), [len(x[1]) for x in sent])
-    body_at = np.concatenate([np.cumsum(x[5] + LENGTH - 1) - (x[5] + LENGTH - 1) for x in sent])
-    body = lambda i: sent[parcel_of[i]][6][body_at[i] : body_at[i] + n[i] + LENGTH - 1]
+    raw = b"".join(x[6] for x in sent)
+    data, size = np.frombuffer(raw, np.uint8), n + LENGTH - 1
+    start = np.cumsum(size) - size
+    body = lambda i: raw[start[i] : start[i] + size[i]]
     order = np.lexsort((least, content, key))
     new = _starts(key[order], content[order])
-    if not _equal(lambda i: body(order[i]), new):
+    if not _equal(data, start[order], size[order], new):
         content = _numbers(body, len(n))
         order = np.lexsort((least, content, key))
         new = _starts(key[order], content[order])
@@ -433,89 +451,75 @@ def _covered(pdf: pd.DataFrame) -> pd.DataFrame:
     # stretches whose key others have: which of their windows do smaller documents have?
     _, back, count = np.unique(key[lead], return_inverse=True, return_counts=True)
     several = np.flatnonzero(count[back] > 1)  # in order of their keys, as lead is
-    windows = dict(zip(several.tolist(), _smaller_windows([body(i) for i in lead[several]], m[lead[several]], key[lead[several]], smallest[several]), strict=True))
+    of_run, run_from, run_to = _runs(_smaller_windows([body(i) for i in lead[several]], key[lead[several]], smallest[several]))
+    of_run = several[of_run]
 
     base = 0
     for f, own_m, _, _, own_least, own_n, _, number, keys, begin in sent:
-        spans = []
         g = group[base : base + len(own_m)]
-        whole = own_least > smallest[g]
-        for j in np.flatnonzero(whole[number]):
-            spans.append((j, begin[j], begin[j] + own_n[number[j]] + LENGTH - 1))
-        for j in np.flatnonzero(~whole[number]):
-            flags = windows.get(g[number[j]])
-            if flags is not None:
-                hit = np.flatnonzero(flags)
-                for run in np.split(hit, np.flatnonzero(np.diff(hit) > LENGTH) + 1) if len(hit) else ():
-                    spans.append((j, begin[j] + run[0], begin[j] + run[-1] + LENGTH))
         base += len(own_m)
-        if spans:
-            s = np.array(spans, np.int64)
-            rows.append((f, _packed((keys[s[:, 0]], s[:, 1], s[:, 2]))))
+        whole = (own_least > smallest[g])[number]
+        j, part = np.flatnonzero(whole), np.flatnonzero(~whole)
+        first = np.searchsorted(of_run, g[number[part]])
+        runs = np.searchsorted(of_run, g[number[part]], "right") - first
+        part, run = np.repeat(part, runs), np.repeat(first, runs) + _within(runs)
+        if len(j) or len(part):
+            s, e = np.append(begin[j], begin[part] + run_from[run]), np.append(begin[j] + own_n[number[j]] + LENGTH - 1, begin[part] + run_to[run])
+            rows.append((f, _packed((keys[np.append(j, part)], s, e))))
     return pd.DataFrame(rows, columns=["flush", "parcel"])
 
 
-def _reach(bodies: list[bytes], m: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The part (from, to) of each body that may be shared with others of its key; empty if too short for a window.
+def _runs(flags: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of flags of windows: the body, first byte and end of each run of bytes that flagged windows cover."""
+    sizes = np.array([len(x) for x in flags], np.int64)
+    hit = np.flatnonzero(np.concatenate(flags)) if flags else np.zeros(0, np.int64)
+    if not len(hit):
+        return hit, hit, hit
+    of = np.repeat(np.arange(len(flags)), sizes)[hit]
+    at = hit - (np.cumsum(sizes) - sizes)[of]
+    new = np.append(True, (of[1:] != of[:-1]) | (np.diff(at) > LENGTH))
+    first = np.flatnonzero(new)
+    return of[first], at[first], at[np.append(first[1:], len(hit)) - 1] + LENGTH
 
-    Equal windows have their minimiser at the same place, so a body shares to the left of it at most as many bytes as some
-    other body has in common there, and to the right likewise; both are found by hashes of growing length.  Where a
-    minimiser stands in some body more than once, all bodies of its key stay whole.
-    """
-    size = np.array([len(b) for b in bodies])
-    start = np.cumsum(size) - size
-    data = np.frombuffer(b"".join(bodies), np.uint8)
-    h, base, n = data.astype(np.uint64) + np.uint64(1), np.array([_BASE]), 1
-    while n < GRAM:
-        h = h[:-n] * base + h[n:]
-        base, n = np.multiply(base, base, dtype=np.uint64), 2 * n
-    h = mix(h) >> np.uint64(16)
-    of = np.repeat(np.arange(len(bodies)), size)[: len(h)]
-    at = np.flatnonzero(h == m[of])
-    at = at[at + GRAM <= (start + size)[of[at]]]
-    times = np.bincount(of[at], minlength=len(bodies))
-    gram = np.zeros(len(bodies), np.int64)
-    gram[of[at]] = at
-    hashes = SpanHashes(data)
-    low, high = gram.copy(), gram + GRAM
-    for step in (-1, 1):
-        act = np.flatnonzero(times == 1)
-        for r in range(1, _PER):
-            a, b = (gram[act] - r, gram[act] + GRAM) if step < 0 else (gram[act], gram[act] + GRAM + r)
-            fits = (a >= start[act]) & (b <= (start + size)[act])
-            act, a, b = act[fits], a[fits], b[fits]
-            if not len(act):
-                break
-            key = hashes(a, b)
-            order = np.argsort(key, kind="stable")
-            same = np.zeros(len(key), bool)
-            same[1:] = key[order][1:] == key[order][:-1]
-            same[:-1] |= same[1:]
-            kept = np.zeros(len(key), bool)
-            kept[order] = same
-            act = act[kept]
-            if step < 0:
-                low[act] = a[kept]
-            else:
-                high[act] = b[kept]
-    whole = np.isin(keys, keys[times != 1])  # with it, those that might share with another place of the minimiser
-    low[whole], high[whole] = start[whole], (start + size)[whole]
-    short = high - low < LENGTH
-    low[short] = high[short] = start[short]
-    return low - start, high - start
 
+def _shared_part(bodies: list[bytes], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The part (from, to) of each body between the first and the last window whose hash stands elsewhere under its key too.
 
-def _smaller_windows(bodies: list[bytes], m: np.ndarray, keys: np.ndarray, ids: np.ndarray) -> list[np.ndarray]:
+    Bodies come in order of their keys; the part is empty if there is no such window.
+    """
+    low, high = np.zeros(len(bodies), np.int64), np.zeros(len(bodies), np.int64)
+    size = np.array([len(b) for b in bodies], np.int64)
+    upto, at = np.cumsum(size), 0
+    while at < len(bodies):  # all bodies of some keys, about a piece of text at a time
+        last = min(len(bodies), int(np.searchsorted(upto, upto[at] + PIECE)) + 1)
+        end = int(np.searchsorted(keys, keys[last - 1], "right"))
+        own, windows = size[at:end], size[at:end] - (LENGTH - 1)
+        data = np.frombuffer(b"".join(bodies[at:end]), np.uint8)
+        of, place = np.repeat(np.arange(end - at), windows), _within(windows)
+        begin = (np.cumsum(own) - own)[of] + place
+        h = span_hash(data, begin, begin + LENGTH) ^ mix(keys[at:end])[of]
+        order = np.argsort(h)
+        same = h[order][1:] == h[order][:-1]
+        shared = np.zeros(len(h), bool)
+        shared[order] = np.append(same, False) | np.append(False, same)
+        some = np.flatnonzero(shared)
+        first = np.flatnonzero(np.diff(of[some], prepend=-1))
+        low[at + of[some[first]]] = place[some[first]]
+        high[at + of[some[first]]] = place[some[np.append(first[1:], len(some)) - 1]] + LENGTH if len(some) else 0
+        at = end
+    return low, high
+
+
+def _smaller_windows(bodies: list[bytes], keys: np.ndarray, ids: np.ndarray) -> list[np.ndarray]:
     """For each body a flag for each window: does a body of a smaller id, with the same key, have its bytes?"""
     flags = [np.zeros(len(b) - LENGTH + 1, bool) for b in bodies]
     if not bodies:
         return flags
-    low, high = _reach(bodies, m, keys)
+    low, high = _shared_part(bodies, keys)
     cores: dict[tuple[int, bytes], int] = {}
     core_of = np.full(len(bodies), -1)
-    for i, (b, lo, hi) in enumerate(zip(bodies, low.tolist(), high.tolist(), strict=True)):
-        if hi > lo:
-            core_of[i] = cores.setdefault((int(keys[i]), b[lo:hi]), len(cores))
+    for i in np.flatnonzero(high > low).tolist():
+        core_of[i] = cores.setdefault((int(keys[i]), bodies[i][low[i] : high[i]]), len(cores))
     texts = [t for _, t in cores]
     some = core_of >= 0
     least = np.full(len(cores), np.iinfo(np.int64).max)

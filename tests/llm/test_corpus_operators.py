@@ -187,6 +187,26 @@ def test_parts_of_repeats_agree_with_brute_force(monkeypatch, case):
     assert run_alone(rows) == brute_kept(rows)
 
 
+def test_arrays_hold_only_what_may_repeat(monkeypatch):
+    """Texts that share what stands before a minimiser with one text and what stands behind it with another, never 50 bytes."""
+    import pyspark
+
+    monkeypatch.setattr(pyspark, "TaskContext", type("Task", (), {"get": staticmethod(lambda: type("Context", (), {"partitionId": lambda self: 0})())}))
+    sorted_, plain = [], suffix.equal_starts
+    monkeypatch.setattr(suffix, "equal_starts", lambda text, length: sorted_.append(len(text)) or plain(text, length))
+    r = random.Random(5)
+    some = lambda n: "".join(r.choice("abcdefghijklmnop") for _ in range(n))
+    least = min((some(suffix.GRAM) for _ in range(3000)), key=lambda g: min([int(m) for m, n in zip(*suffix.stretches([some(34).encode() + g.encode() + some(34).encode()])[:1:-1], strict=True) if n == 35], default=1 << 48))
+    rows = []
+    for _ in range(5):
+        before, behind = some(22), some(22)
+        rows += [some(60) + before + least + behind + some(60), some(60) + before + least + some(60), some(60) + least + behind + some(60)]
+    rows = [*enumerate(rows), (99, rows[0])]
+    assert run_alone(rows) == brute_kept(rows) and not sorted_
+    rows += [(100 + i, rows[3][1][30 + 9 * i : 120 + 9 * i] + some(50)) for i in range(4)]
+    assert run_alone(rows) == brute_kept(rows) and 0 < sum(sorted_) < 1000
+
+
 def test_repeats_of_odd_rows(spark):
     rows = {(r["doc_id"], r["n_removed"]) for r in suffix.without_repeats(odd(spark)).collect()}
     assert rows == {(1, 0), (2, 0), (None, 0), (4, 0), (5, 0)}
