@@ -2,7 +2,9 @@
 
 A text is a weighted set: shingles of five words, each weighted by its count times its inverse document frequency.  Two
 texts are linked if their weighted Jaccard similarity, the sum of the smaller weights over the sum of the larger ones, is
-0.8 or more; classes are what links connect.
+0.8 or more; classes are what links connect.  In a large group of copies the group itself makes its shingles frequent, so
+the few that an edit changes outweigh them, the more so the more documents there are.  Texts with half of their shingles in
+FAMILY or more documents are therefore also linked with one another if they are as similar by counts alone.
 
 * Exact copies are grouped first; one text stands for each group, and counts for all of it in what follows.
 * Document frequencies are exact, over all documents.  Texts are dealt to flushes by a hash of their key; each flush sends the
@@ -11,6 +13,7 @@ texts are linked if their weighted Jaccard similarity, the sum of the smaller we
   the answers, to draw the samples: what it holds follows from keys alone, so a task that is tried again finds it the same.
 * Each of 64 consistent weighted samples is one shingle (and level) that two texts share with a chance equal to their
   similarity.  Sixteen bands of four samples make the buckets: texts at 0.8 meet in one with a chance of 0.9998.
+  Texts that may be linked by counts alone are sampled by these as well, into as many further buckets.
 * In a bucket every text is compared with the first.  Where these links leave a bucket in several parts, its texts outside
   the largest part are compared with all others of the bucket, in blocks of bounded size, each by one pass over the
   block's shingles.  So no link between parts is missed, and of the links that a text has to one part a single one is
@@ -36,6 +39,8 @@ from loomery.llm.words import mix, shingles, slices
 
 SIMILAR = 0.8
 BANDS, ROWS = 16, 4
+#: Documents from which on a shingle's frequency may be owed to one group of copies.
+FAMILY = 16
 TABLE_BITS = 16
 SEED = 17
 #: Texts of a bucket that are compared with as many others in one task.
@@ -121,6 +126,10 @@ def _draw(buckets: int, n: int):
             own[edges[bucket] + np.cumsum(unpack(places)).astype(np.int64)] = unpack(counts)
         df = own[place]
         keys = sampler[0].band_keys(len(texts), of, distinct[place], weigh(count, df, n))
+        crowd = np.flatnonzero(crowded(len(texts), of, count, df))
+        some = np.isin(of, crowd)
+        for i, more in zip(crowd, sampler[0].band_keys(len(crowd), np.searchsorted(crowd, of[some]), distinct[place][some], count[some]), strict=True):
+            keys[i] = np.append(keys[i], mix(~more.view(np.uint64)).view(np.int64))
         ends = np.searchsorted(of, np.arange(len(texts) + 1))
         rows = [(node, p, k, pack(df[s:e])) for node, p, k, s, e in zip(texts["node"], texts["p"], keys, ends[:-1], ends[1:], strict=True) if k is not None]
         give_back()
@@ -134,8 +143,14 @@ def weigh(count: np.ndarray, df: np.ndarray, n: int) -> np.ndarray:
     return count * np.log1p(n / df.astype(np.float64))
 
 
+def crowded(texts: int, of: np.ndarray, count: np.ndarray, df: np.ndarray) -> np.ndarray:
+    """Whether half of a text's shingles or more stand in FAMILY documents."""
+    many = np.bincount(of, count, texts)
+    return (2 * np.bincount(of, np.where(df >= FAMILY, count, 0), texts) >= many) & (many > 0)
+
+
 def signatures(reps: DataFrame, n: int) -> DataFrame:
-    """node, p, keys array<long>, df (packed document frequencies of its distinct shingles, by hash) of each text with words.
+    """node, p, keys array<long> (twice as many for crowded texts), df (packed document frequencies of its distinct shingles, by hash) of each text with words.
 
     reps: node, p (which name a text), copies (documents that have it), text; n: how many documents there are.
     """
@@ -221,11 +236,20 @@ def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.n
     return least / (float(a[1].sum()) + float(b[1].sum()) - least)
 
 
-def weighted_sets(texts: list[str], dfs: list[bytes], n: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(sorted hashes, weights) of texts, from the packed document frequencies of their shingles."""
+def weighted_sets(texts: list[str], dfs: list[bytes], n: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(sorted hashes, weights, counts) of texts, from the packed document frequencies of their shingles; counts are 0 unless crowded."""
     of, h, count = _all_shingles(texts)
     ends = np.searchsorted(of, np.arange(len(texts) + 1))
-    return [(h[s:e], weigh(count[s:e], unpack(df), n)) for df, s, e in zip(dfs, ends[:-1], ends[1:], strict=True)]
+    df = np.concatenate([np.zeros(0, np.uint64), *map(unpack, dfs)])
+    weight, plain = weigh(count, df, n), np.where(crowded(len(texts), of, count, df)[of], count, 0)
+    return [(h[s:e], weight[s:e], plain[s:e]) for s, e in zip(ends[:-1], ends[1:], strict=True)]
+
+
+def linked(a: tuple[np.ndarray, np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray, np.ndarray]) -> bool:
+    """Whether two of weighted_sets() are similar, by weights or, if both are crowded, by counts."""
+    if weighted_jaccard(a[:2], b[:2]) >= SIMILAR:
+        return True
+    return bool(a[2].any() and b[2].any()) and weighted_jaccard(a[::2], b[::2]) >= SIMILAR
 
 
 def _sized(df: DataFrame) -> DataFrame:
@@ -267,7 +291,7 @@ def _links(pairs: DataFrame, reps: DataFrame, signed: DataFrame, n: int) -> Data
                 some = b.iloc[at : at + 64]
                 own = dict(zip([*some["ta"], *some["tb"]], [*some["da"], *some["db"]], strict=True))
                 sets = dict(zip(own, weighted_sets(list(own), list(own.values()), n), strict=True))
-                keep = [weighted_jaccard(sets[x], sets[y]) >= SIMILAR for x, y in zip(some["ta"], some["tb"], strict=True)]
+                keep = [linked(sets[x], sets[y]) for x, y in zip(some["ta"], some["tb"], strict=True)]
                 yield some.loc[keep, ["a", "b"]]
         give_back()
 
@@ -319,15 +343,23 @@ def _compare_block(rows: pd.DataFrame, n: int) -> list[tuple[int, int]]:
     names, number = np.unique(np.concatenate([s[0] for s in sets] or [np.zeros(0, np.uint64)]), return_inverse=True)
     weight = np.concatenate([s[1] for s in sets] or [np.zeros(0)])
     total = np.bincount(of, weight, minlength=len(sets))
+    plain = np.concatenate([s[2] for s in sets] or [np.zeros(0, np.int64)])
+    crowd = np.flatnonzero(plain)
+    many = np.bincount(of, plain, minlength=len(sets))
     found = []
     asked = weighted_sets(list(asking["text"]), list(asking["df"]), n)
-    for node, part, (h, w) in zip(asking["node"], asking["part"], asked, strict=True):
+    for node, part, (h, w, c) in zip(asking["node"], asking["part"], asked, strict=True):
         own = np.zeros(len(names) + 1)
         at = np.searchsorted(names, h)
         known = (at < len(names)) & (names[np.minimum(at, max(0, len(names) - 1))] == h) if len(names) else np.zeros(len(h), bool)
         own[at[known]] = w[known]
         least = np.bincount(of, np.minimum(own[number], weight), minlength=len(sets))
-        similar = np.flatnonzero((least >= SIMILAR * (total + w.sum() - least)) & (parts != part) & (least > 0))
+        alike = (least >= SIMILAR * (total + w.sum() - least)) & (least > 0)
+        if len(crowd) and c.any():
+            own[at[known]] = c[known]
+            least = np.bincount(of[crowd], np.minimum(own[number[crowd]], plain[crowd]), minlength=len(sets))
+            alike |= (least >= SIMILAR * (many + c.sum() - least)) & (least > 0)
+        similar = np.flatnonzero(alike & (parts != part))
         _, first = np.unique(parts[similar], return_index=True)
         found += [(min(node, nodes[i]), max(node, nodes[i])) for i in similar[first]]
     return found
@@ -363,7 +395,7 @@ def classes(docs: DataFrame) -> DataFrame:
     signed = signatures(reps, n)
     spread = signed.select("node", F.explode("keys").alias("key"))
     shared = cut(spread.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last"), F.count(F.lit(1)).alias("n")).where(F.col("first") < F.col("last")))
-    buckets = cut(join_hot(spread, shared.select("key", "first", "n"), "key", F.col("n"), BANDS * n).select("node", "key", "first").distinct())
+    buckets = cut(join_hot(spread, shared.select("key", "first", "n"), "key", F.col("n"), 2 * BANDS * n).select("node", "key", "first").distinct())
 
     tried = buckets.where(F.col("first") < F.col("node")).select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
     links = _links(tried, reps, signed, n)

@@ -289,6 +289,29 @@ def test_classes_agree_with_all_pairs(spark, monkeypatch, small):
         assert kept == set(got.values())
 
 
+def test_near_copies_within_a_large_group_are_found(spark):
+    """The group makes its own shingles frequent, and what an edit changes rare; small groups are as before."""
+    r = random.Random(4)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
+    base = [word() for _ in range(400)]
+
+    def edited(words, edits):
+        for at in r.sample(range(5, len(words) - 5), edits):
+            words = [*words[:at], word(), *words[at + 1 :]]
+        return " ".join(words)
+
+    group = [" ".join(base)] * 20 + [edited(base, 7) for _ in range(30)]
+    unlike = [edited(base, 40) for _ in range(3)]
+    pair = [word() for _ in range(400)]
+    others = [" ".join(word() for _ in range(40)) for _ in range(400)]
+    texts = [*group, *unlike, " ".join(pair), edited(pair, 7), edited(pair, 7), *others]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["class_id"] for r in minhash.classes(docs).collect()}
+    assert {i for i, c in got.items() if c == 0} == set(range(50))
+    want = brute_classes(list(enumerate(texts)))
+    assert all(got[i] == want[i] for i in range(50, len(texts))) and len({want[i] for i in range(50)}) > 10
+
+
 def test_links_of_whole_documents_are_found(spark):
     """Recall against all pairs of sf0.01, which must be 0.99 or more; classes hold nothing else."""
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
