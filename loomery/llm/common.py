@@ -16,6 +16,8 @@ from loomery.session import shared_folder, ship
 
 #: Rows in an Arrow batch, and in a batch of the Parquet reader: with documents of some KB, both stay at a MB or two.
 BATCH_ROWS = 400
+#: Bytes of a row group of stored tables: a task holds one while it writes.
+ROW_GROUP = 8_000_000
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -36,7 +38,7 @@ def store(df: DataFrame) -> DataFrame:
     """Like cut(), as compressed Parquet: for tables that hold texts."""
     spark = df.sparkSession
     path = f"{shared_folder(prepare(spark))}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
     return spark.read.parquet(path)
 
 
@@ -56,11 +58,19 @@ def give_back(*tables: dict) -> None:
         pass
 
 
+def shrink_executors(spark: SparkSession) -> None:
+    """Has the executors collect their garbage, which hands heap back that earlier stages needed and later ones may not."""
+    n = spark.sparkContext.defaultParallelism
+    collected = F.java_method(F.lit("java.lang.System"), F.lit("gc"))
+    spark.range(0, n, 1, n).select(collected.alias("collected")).write.format("noop").mode("overwrite").save()
+
+
 def release(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files of frames that are no longer held; it does so after the driver's garbage collection.
 
     Events on their way to listeners hold the frames too, so these get a moment to arrive.
     """
+    shrink_executors(spark)
     for _ in range(2):
         gc.collect()
         time.sleep(0.5)

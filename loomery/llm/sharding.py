@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomery.llm.common import cut, prepare, store
+from loomery.llm.common import cut, prepare, shrink_executors, store
 
 #: Text bytes that a bucket aims at; a worker holds one bucket, a few times over.
 BUCKET_BYTES = 16_000_000
@@ -72,9 +72,10 @@ def shuffle_buckets(scattered: DataFrame, seed: int = SEED) -> DataFrame:
 
 def shuffle_to_shards(docs: DataFrame, shards: int = 24, text_col: str = "text", bucket_bytes: int = BUCKET_BYTES, seed: int = SEED) -> DataFrame:
     """docs with law `rows`: columns shard (0 to shards - 1) and slot (gapless from 0) are added, both replaced if docs has them."""
-    prepare(docs.sparkSession)
+    shrink_executors(prepare(docs.sparkSession))
     docs = docs.drop("shard", "slot")
     written = store(shuffle_buckets(scatter(docs, text_col, bucket_bytes, seed), seed))
+    shrink_executors(docs.sparkSession)
     counts = written.groupBy("_loom_bucket").agg(F.count(F.lit(1)).alias("_loom_n"))
     before = F.coalesce(F.sum("_loom_n").over(Window.orderBy("_loom_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = cut(counts.select("_loom_bucket", before.alias("_loom_before")))  # 16 bytes for each 16 MB of text

@@ -91,6 +91,18 @@ def test_fisher_yates_is_a_permutation_with_every_place_alike():
     assert len(sharding.fisher_yates(0, rng)) == 0
 
 
+def collections(spark):
+    beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+    return sum(b.getCollectionCount() for b in beans if re.search("Old|MarkSweep", b.getName()))
+
+
+def test_executors_hand_heap_back_between_passes(spark):
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(20)], "doc_id long, text string")
+    before = collections(spark)
+    assert sharding.shuffle_to_shards(docs, 3).count() == 20
+    assert collections(spark) >= before + 2
+
+
 def test_sharding_of_odd_and_no_rows(spark, tmp_path):
     out = sharding.shuffle_to_shards(odd(spark), 3)
     assert out.count() == len(ODD) and sharding.shuffle_to_shards(odd(spark).limit(0), 3).count() == 0
