@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomery.llm.common import cut, prepare, row_key
+from loomery.llm.common import cut, prepare, row_key, shrink_executors
 
 WINDOW = 13
 PROBE = 5
@@ -106,7 +106,9 @@ def verdicts(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without contaminated rows; of the rest, the hit words are cut from the text.  Columns stay as they are."""
+    shrink_executors(docs.sparkSession)
     found = cut(hits(docs, benchmark).select(F.col("k_id").alias("_loom_id"), F.col("k_text").alias("_loom_text"), "spans", _is_contaminated().alias("_loom_out")).withColumnRenamed("spans", "_loom_spans"))
+    shrink_executors(docs.sparkSession)
     key = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
     joined = docs.join(_sized(found, PROBE_LIMIT), [docs["doc_id"].eqNullSafe(found["_loom_id"]), key == found["_loom_text"]], "left").where(~F.coalesce("_loom_out", F.lit(False)))
     words, gaps = F.regexp_extract_all("text", F.lit(_ANY_WORD), F.lit(0)), F.split("text", _ANY_WORD, -1)

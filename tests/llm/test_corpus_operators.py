@@ -100,7 +100,10 @@ def test_executors_hand_heap_back_between_passes(spark):
     docs = spark.createDataFrame([(i, f"text {i}") for i in range(20)], "doc_id long, text string")
     before = collections(spark)
     assert sharding.shuffle_to_shards(docs, 3).count() == 20
-    assert collections(spark) >= before + 2
+    between = collections(spark)
+    assert between >= before + 2
+    assert decontaminate.clean(docs, docs.select(F.col("doc_id").alias("item_id"), F.lit("something else").alias("text"))).count() == 20
+    assert collections(spark) >= between + 2
 
 
 def test_sharding_of_odd_and_no_rows(spark, tmp_path):
