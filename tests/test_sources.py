@@ -116,3 +116,9 @@ def test_files_without_a_record_become_records(spark):
     out, refs = P.ingest(records, P.extracted(files))
     assert {(r["id"], r["title"]) for r in out.collect()} == {("a", "T"), ("b", "Test Title")}
     assert refs.count() == 0
+
+
+def test_the_year_of_a_reference_is_not_a_number_of_its_title(spark):
+    text = "x\nReferences\n[1] A shared reference title number 1984. Venue of many words, 2001, with pages.\n[2] A shared title that ends in 1999. Venue of many words, with pages alone."
+    r = spark.createDataFrame([(text,)], "t string").select(P.references_of(F.col("t")).alias("r")).first()["r"]
+    assert [x["year"] for x in r] == ["2001", "1999"]
