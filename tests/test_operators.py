@@ -55,6 +55,22 @@ def test_neighbours_agree_with_all_pairs(monkeypatch, vectors, way):
     assert sorted((r["id"], r["nbr"], r["score"], r["rank"]) for r in found) == brute_neighbours(vectors.collect(), 4)
 
 
+def test_what_is_ranked_grows_with_the_rows_alone(monkeypatch, vectors):
+    seen, own = [], neighbours.top
+    monkeypatch.setattr(neighbours, "CHUNK_ROWS", 1)
+    monkeypatch.setattr(neighbours, "top", lambda df, *a: seen.append(df.count()) or own(df, *a))
+    assert neighbours.nearest(vectors, 1).count() == 8
+    assert seen[0] <= 16  # one a row of each of two parts, however many chunks there are
+
+
+def test_some_records_neighbours_are_those_among_all(spark):
+    r = np.random.default_rng(7)
+    rows = spark.createDataFrame([(i, [float(x) for x in r.normal(size=5)]) for i in range(40)] + [(40, [float("nan")] * 5)], "id long, vec array<double>")
+    every = sorted(neighbours.nearest_dense(rows, 3).collect())
+    assert sorted(neighbours.nearest_dense(rows, 3, of=F.col("id") % 10 == 0).collect()) == [x for x in every if x["id"] % 10 == 0]
+    assert {x["id"] for x in every} <= set(range(40))
+
+
 def test_neighbours_of_nothing(vectors):
     assert neighbours.nearest(vectors.limit(0), 4).count() == 0
 
