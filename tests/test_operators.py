@@ -32,6 +32,21 @@ def test_vectors_have_length_one(vectors):
         assert abs(r["s"] - 1) < 1e-9
 
 
+def test_packed_vectors_are_the_vectors(spark, vectors):
+    c = small_records(spark).withColumn("id", F.col("ord"))
+    rows, dims = postings.packed_tfidf(graph.cut(postings.field_counts(c)), 8)
+    terms = sorted(r["term"] for r in vectors.select("term").distinct().collect())
+    got = {(r["id"], terms[i]): round(w, 12) for r in rows.collect() for i, w in zip(r["idx"], r["w"], strict=True)}
+    assert dims == len(terms) and got == {(r["id"], r["term"]): round(r["w"], 12) for r in vectors.collect()}
+
+
+def test_top_terms_count_a_record_in_each_of_its_clusters(spark):
+    v = spark.createDataFrame([(1, "x", 1.0), (2, "x", 0.5), (2, "y", 0.5), (3, "y", 1.0)], "id long, term string, w double")
+    m = spark.createDataFrame([(1, "a"), (2, "a"), (2, "b"), (3, None)], "id long, cluster string")
+    got = {(r["cluster"], r["term"]): (r["score"], r["rank"]) for r in postings.top_terms(v, m, 3, 5).collect()}
+    assert got == {("a", "x"): (0.45, 1), ("a", "y"): (-0.05, 2), ("b", "x"): (0.2, 1), ("b", "y"): (0.2, 2)}
+
+
 def brute_neighbours(rows, most):
     own = {}
     for r in rows:
