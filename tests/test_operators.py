@@ -185,6 +185,26 @@ def test_shared_references(spark):
     assert (s["records"], s["keys"], s["overlapping"]) == (2, 4, 2)
 
 
+def test_overlaps_make_no_links_of_pairs(spark, monkeypatch):
+    refs = spark.createDataFrame([(r, k, f"k{(r * 7 + k * k) % 30}") for r in range(40) for k in range(4)] + [(90, 0, "own"), (91, 0, None), (92, 0, None)], "record_id int, pos int, key string")
+    records = spark.createDataFrame([(r, "x" if r % 3 else "y") for r in range(93)], "record_id int, category string")
+    seen, own = [], citations.components
+    monkeypatch.setattr(citations, "components", lambda edges: seen.append(edges.count()) or own(edges))
+    edges = citations.overlap_edges(refs)
+    both = [(r["a"], r["b"], r["shared"], r["score"]) for r in edges.collect()]
+    both += [(b, a, *rest) for a, b, *rest in both]
+    want = {}
+    for a, b, shared, score in sorted(both, key=lambda x: (x[0], -x[3], -x[2], x[1])):
+        want.setdefault(a, []).append((b, shared, score))
+    got = {}
+    for r in citations.neighbourhoods(refs, 3).orderBy("record_id", "rank").collect():
+        got.setdefault(r["record_id"], []).append((r["other"], r["shared"], r["score"]))
+    assert got == {a: x[:3] for a, x in want.items()}
+    assert sum(r["edges"] for r in citations.communities(refs, records).collect()) == len(both) / 2
+    assert seen[0] <= 160 < len(both) / 2  # as many links as references at most
+    assert citations.summary(refs, edges).first()["overlapping"] == len(want)
+
+
 def occurrences(spark, rows):
     return spark.createDataFrame([(f"{w}:{n}", w, n, "t", e) for w, n, e in rows], "occ string, work_id int, name string, topic string, email string")
 
